@@ -1,0 +1 @@
+"""Every job in this library is batch; there are no streaming operators."""
