@@ -85,7 +85,7 @@ def safe_fraction(part: Column, whole: Column) -> Column:
 
 def sigmoid(c: Column, clip: float | None = None) -> Column:
     """Logistic function that never overflows; input optionally clipped to +/-clip."""
-    x = c if clip is None else F.greatest(F.least(c, F.lit(clip)), F.lit(-clip))
+    x = c if clip is None else F.when(c > clip, clip).when(c < -clip, -clip).otherwise(c)
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 

@@ -59,7 +59,9 @@ def affix_names(df: DataFrame, prefix: str = "", suffix: str = "", keep: Sequenc
 
 
 def title_text(c: Column) -> Column:
-    return F.initcap(F.trim(c))
+    """Trimmed, with a capital after every non-letter."""
+    pieces = F.split(F.lower(F.trim(c)), r"(?<!\p{L})(?=\p{L})")
+    return F.array_join(F.transform(pieces, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
 
 
 def ascii_only(c: Column) -> Column:
@@ -123,4 +125,5 @@ def select_matching(
 
 def swap_columns(df: DataFrame, a: str, b: str) -> DataFrame:
     """Exchange the roles of two columns."""
-    return df.withColumnsRenamed({a: b, b: a}).select(*df.columns)
+    roles = {a: b, b: a}
+    return df.select(*[F.col(f"`{roles.get(c, c)}`").alias(c) for c in df.columns])

@@ -81,7 +81,8 @@ def convert_parameter_units(df: DataFrame, parameter: str = "parameter", unit: s
     families = df.groupBy(parameter).agg(F.coalesce(family, F.lit("mixed")).alias("_family"))
     joined = df.join(families, parameter)
     kind, number = F.col("_family"), numbers.coerce_numeric(text)
-    counted = F.least(F.when(F.lower(text).isin(*TOO_NUMEROUS), TOO_NUMEROUS_VALUE).otherwise(number), F.lit(TOO_NUMEROUS_VALUE))
+    beyond = F.lower(text).isin(*TOO_NUMEROUS) | (number > TOO_NUMEROUS_VALUE)
+    counted = F.when(beyond, TOO_NUMEROUS_VALUE).otherwise(number)
     converted = (
         F.when(kind == "mixed", F.raise_error(F.concat(F.lit("several units for "), F.col(parameter))).cast("double"))
         .when(kind == "concentration", F.when(name == "ppb", number / 1000.0).otherwise(number))
