@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.registry.base import table
+from tablemill.session import settle
 
 # team_rows: one row per sold line between two different nations
 LINES_SQL = """lines AS (
@@ -61,12 +62,12 @@ def stats(spark: SparkSession, sf: str) -> DataFrame:
     """(date, team, opponent, game, player, pos, metric, value)"""
     keys = ["date", "team", "opponent", "game", "player", "pos"]
     metrics = ["passing:Yds", "passing:Att", "passing:Lg", "passing:YPA"]
-    return wide_stats(spark, sf).unpivot(keys, [F.col(f"`{m}`") for m in metrics], "metric", "value")
+    return settle(wide_stats(spark, sf), "stats").unpivot(keys, [F.col(f"`{m}`") for m in metrics], "metric", "value")
 
 
 def games(spark: SparkSession, sf: str) -> DataFrame:
     """One row per game and side: (game, date, team, opponent, is_home)."""
-    sides = lines(spark, sf).select("date", "team", "opponent").distinct()
+    sides = settle(lines(spark, sf).select("date", "team", "opponent").distinct(), "sides")
     both = sides.unionByName(sides.select("date", F.col("opponent").alias("team"), F.col("team").alias("opponent"))).distinct()
     low, high = F.least("team", "opponent").cast("string"), F.greatest("team", "opponent").cast("string")
     game = F.concat_ws(":", F.date_format("date", "yyyy-MM"), low, high)

@@ -1 +1,94 @@
+"""Ranking over the matchup graph of selling and buying nations."""
 
+from pyspark.sql import functions as F
+
+from tablemill.operators import ranking as ops
+from tablemill.registry import bindings
+from tablemill.registry.base import day_text, query, r6
+from tablemill.session import fresh_folder, settle
+from tablemill.sources.tables import keyed_upsert
+
+DATES = ["1997-07-01", "1999-01-01", "2001-03-01"]
+WEIGHTS = {"yds": 0.7, "att": 0.3}
+
+DATA_SQL = (
+    bindings.LINES_SQL
+    + """, data AS (SELECT date, year(date) AS year, team, opponent, sum(q) AS yds, count(*)::DOUBLE AS att FROM lines GROUP BY date, team, opponent),
+dates AS (SELECT unnest([DATE '1997-07-01', DATE '1999-01-01', DATE '2001-03-01']) AS upto),
+whole AS (SELECT upto, avg(yds) AS my, stddev_pop(yds) AS sy, avg(att) AS ma, stddev_pop(att) AS sa FROM dates JOIN data ON date < upto GROUP BY 1),
+scores AS (SELECT upto AS date, team, opponent, 0.7::DOUBLE * (avg(yds) - any_value(my)) / any_value(sy) + 0.3::DOUBLE * (avg(att) - any_value(ma)) / any_value(sa) AS score
+  FROM whole JOIN data ON date < upto AND year >= year(upto) - 3 GROUP BY upto, team, opponent)"""
+)
+MATRIX_SQL = """teams AS (SELECT date, count(DISTINCT opponent) AS n FROM scores GROUP BY 1),
+soft AS (SELECT date, team, opponent, CASE WHEN stddev_pop(score) OVER w = 0 THEN 1.0 ELSE exp(-(score - avg(score) OVER w) / stddev_pop(score) OVER w) END AS e FROM scores WINDOW w AS (PARTITION BY date, team)),
+edges AS (SELECT date, team, opponent, e / sum(e) OVER (PARTITION BY date, team) AS p, n FROM soft JOIN teams USING (date)),
+weights AS (SELECT date, team, opponent, p, (0.15::DOUBLE + 0.85::DOUBLE * p) / (0.15::DOUBLE * n + 0.85::DOUBLE) AS weight, 0.15::DOUBLE / (0.15::DOUBLE * n + 0.85::DOUBLE) AS base FROM edges)"""
+
+
+def matchups(spark, sf):
+    rows = bindings.lines(spark, sf).groupBy("date", F.year("date").alias("year"), "team", "opponent")
+    return settle(rows.agg(F.sum("q").alias("yds"), F.count("*").cast("double").alias("att")), "matchups")
+
+
+def scores(spark, sf):
+    return settle(ops.matchup_scores(matchups(spark, sf), DATES, WEIGHTS), "scores")
+
+
+@query("G01_matchup_scores", f"WITH {DATA_SQL} SELECT strftime(date, '%Y-%m-%d') AS day, team, opponent, R6(score) AS score FROM scores")
+def _(spark, sf):
+    return scores(spark, sf).select(day_text("date").alias("day"), "team", "opponent", r6("score").alias("score"))
+
+
+@query(
+    "G02_transition_rows",
+    f"WITH {DATA_SQL}, {MATRIX_SQL} SELECT strftime(date, '%Y-%m-%d') AS day, team, opponent, R6(p) AS p, R6(weight) AS weight, R6(base) AS base FROM weights",
+)
+def _(spark, sf):
+    rows = ops.transition_rows(scores(spark, sf), ["date"])
+    return rows.select(day_text("date").alias("day"), "team", "opponent", *[r6(c).alias(c) for c in ("p", "weight", "base")])
+
+
+@query(
+    "G02_transition_rows_linear",
+    f"""WITH {DATA_SQL}, s AS (SELECT *, score - min(score) OVER w AS v FROM scores WINDOW w AS (PARTITION BY date, team)),
+        p AS (SELECT date, team, opponent, 1 - v / sum(v) OVER (PARTITION BY date, team) AS p FROM s), n AS (SELECT date, count(DISTINCT opponent) AS n FROM scores GROUP BY 1)
+        SELECT strftime(date, '%Y-%m-%d') AS day, team, opponent, R6(p) AS p,
+               R6((0.3::DOUBLE + 0.7::DOUBLE * p) / (0.3::DOUBLE * n + 0.7::DOUBLE * sum(p) OVER (PARTITION BY date, team))) AS weight FROM p JOIN n USING (date)""",
+)
+def _(spark, sf):
+    rows = ops.transition_rows(scores(spark, sf), ["date"], linear=True, damping=0.3)
+    return rows.select(day_text("date").alias("day"), "team", "opponent", r6("p").alias("p"), r6("weight").alias("weight"))
+
+
+@query(
+    "G03_stationary_rank",
+    f"""WITH RECURSIVE {DATA_SQL}, {MATRIX_SQL},
+        names AS (SELECT DISTINCT date, opponent AS team FROM scores),
+        dense AS (SELECT a.date, a.team, b.team AS opponent, coalesce(w.weight, t.base) AS weight FROM names a JOIN names b USING (date) JOIN (SELECT DISTINCT date, team, base FROM weights) t ON t.date = a.date AND t.team = a.team
+                  LEFT JOIN weights w ON w.date = a.date AND w.team = a.team AND w.opponent = b.team),
+        walk AS (SELECT 0 AS i, date, team, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS rank FROM names
+                 UNION ALL SELECT i + 1, d.date, d.opponent, sum(rank * weight) FROM walk w JOIN dense d ON d.date = w.date AND d.team = w.team WHERE i < 60 GROUP BY i, d.date, d.opponent)
+        SELECT strftime(date, '%Y-%m-%d') AS day, team, R6(rank) AS rank FROM walk WHERE i = 60""",
+)
+def _(spark, sf):
+    ranks = ops.stationary_rank(ops.transition_rows(scores(spark, sf), ["date"]), ["date"])
+    return ranks.select(day_text("date").alias("day"), "team", r6("rank").alias("rank"))
+
+
+@query(
+    "G04_simple_strength",
+    f"""WITH {DATA_SQL}, m AS (SELECT opponent, avg(yds) AS v FROM data GROUP BY 1), i AS (SELECT opponent, 1 - (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) AS i FROM m)
+        SELECT opponent, R6(0.2::DOUBLE / count(*) OVER () + 0.8::DOUBLE * i / sum(i) OVER ()) AS strength FROM i""",
+)
+def _(spark, sf):
+    return ops.simple_strength(matchups(spark, sf), "yds", 0.2).select("opponent", r6("strength").alias("strength"))
+
+
+@query("G05_rank_timeseries")
+def _(spark, sf):
+    profiles = {"volume": {"yds": 0.7, "att": 0.3}, "size": {"yds": 1.0}}
+    ranks = ops.rank_timeseries(matchups(spark, sf), DATES, profiles, [0.2, 0.8])
+    path = fresh_folder(spark, "ranks")
+    ranks.where("damping = 0.2").write.parquet(path)
+    stored = keyed_upsert(spark.read.parquet(path), ranks, ["type", "direction", "damping", "date", "team"], ["rank"])
+    return stored.withColumn("date", day_text("date")).withColumn("rank", r6("rank"))

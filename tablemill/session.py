@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "tablemill") -> SparkSession:
@@ -41,8 +41,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the shared folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Write a result to the shared folder and read it back.
+
+    Cuts the lineage so that a lost executor costs a re-read, not the whole plan again,
+    and gives the planner the true size of the table.
+    """
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 ROWS_PER_SLICE = 2_000_000
 MAX_HOT_KEYS = 10_000
 MAX_SLICES = 4_096
-#: below this estimated size no task can be overloaded, so no count is taken
-SMALL_PLAN_BYTES = 64 << 20
+#: a plan that reads less than this cannot overload a task, so no count is taken
+SMALL_INPUT_BYTES = 64 << 20
 _SLICE = "_slice"
 
 
@@ -32,9 +32,10 @@ def rows_per_slice(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("tablemill.rowsPerSlice", str(ROWS_PER_SLICE)))
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the tables a plan reads, as far as Catalyst knows it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def order_columns(order: Sequence[str]) -> list[Column]:
@@ -51,14 +52,31 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[Row]:
 
     One column-pruned pass with map-side counting. At most total/limit keys can
     qualify; the list is cut at MAX_HOT_KEYS, beyond which every key holds less than
-    1/MAX_HOT_KEYS of the table and the plain window serves it.
+    1/MAX_HOT_KEYS of the table and the plain window serves it. The answer is kept with
+    the DataFrame, so operators that add columns to the same rows count only once.
     """
-    explicit = df.sparkSession.conf.get("tablemill.rowsPerSlice", None) is not None
-    if not explicit and plan_bytes(df) < SMALL_PLAN_BYTES:
-        return []
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    counts = counts.where(F.col("_rows") > rows_per_slice(df))
-    return counts.orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).collect()
+    known = _answers(df)
+    if tuple(keys) not in known:
+        explicit = df.sparkSession.conf.get("tablemill.rowsPerSlice", None) is not None
+        if not explicit and input_bytes(df) < SMALL_INPUT_BYTES:
+            known[tuple(keys)] = []
+        else:
+            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+            counts = counts.where(F.col("_rows") > rows_per_slice(df))
+            known[tuple(keys)] = counts.orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).collect()
+    return known[tuple(keys)]
+
+
+def _answers(df: DataFrame) -> dict:
+    if "_tablemill_hot" not in df.__dict__:
+        df.__dict__["_tablemill_hot"] = {}
+    return df.__dict__["_tablemill_hot"]
+
+
+def same_rows(out: DataFrame, source: DataFrame) -> DataFrame:
+    """Declare that a DataFrame has the rows and keys of another one."""
+    out.__dict__["_tablemill_hot"] = _answers(source)
+    return out
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -141,7 +159,7 @@ def running(
     hot = hot_keys(df, keys)
     if not hot:
         spec = window(keys, order).rowsBetween(*frame)
-        return df.withColumns({n: _MERGE[k][0](c).over(spec) for n, (k, c) in columns.items()})
+        return same_rows(df.withColumns({n: _MERGE[k][0](c).over(spec) for n, (k, c) in columns.items()}), df)
     parts = _sliced(df, keys, order, hot)
     inputs = {f"_in_{n}": c for n, (_, c) in columns.items()}
     parts = parts.withColumns(inputs)
@@ -163,7 +181,7 @@ def running(
     joined = join_on_keys(inside, carry, group)
     result = joined.withColumns({n: _MERGE[k][1](F.col(f"_loc_{n}"), F.col(f"_pre_{n}")) for n, (k, _) in columns.items()})
     extra = [f"{p}{n}" for n in columns for p in ("_in_", "_loc_", "_pre_")]
-    return result.drop("_hot", _SLICE, *extra)
+    return same_rows(result.drop("_hot", _SLICE, *extra), df)
 
 
 def _as_number(df: DataFrame, item: str) -> Column:
@@ -197,7 +215,7 @@ def bounded(
     hot = hot_keys(df, keys)
     if not hot:
         spec = window(keys, order)
-        return df.withColumns({n: f(spec) for n, f in columns.items()})
+        return same_rows(df.withColumns({n: f(spec) for n, f in columns.items()}), df)
     parts = _sliced(df, keys, order, hot)
     group = [*keys, _SLICE]
     body = [c for c in df.columns if c not in keys]
@@ -212,7 +230,7 @@ def bounded(
     for e in edges:
         everything = everything.unionByName(e)
     done = everything.withColumns({n: f(forward) for n, f in columns.items()})
-    return done.where(~F.col("_copy")).drop("_copy", _SLICE)
+    return same_rows(done.where(~F.col("_copy")).drop("_copy", _SLICE), df)
 
 
 def _edge_rows(parts, keys, group, body, spec, rows, side) -> DataFrame:
@@ -229,15 +247,21 @@ def _edge_rows(parts, keys, group, body, spec, rows, side) -> DataFrame:
     return copies.select(*group, *[F.col(f"_row.`{c}`").alias(c) for c in body], F.lit(True).alias("_copy"))
 
 
-def attach(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
-    """Add group aggregates to every row (no distinct aggregates)."""
-    if keys and not hot_keys(df, keys):
-        spec = window(keys)
-        return df.withColumns({n: c.over(spec) for n, c in columns.items()})
+def attach(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column], pre_grouped: bool = False) -> DataFrame:
+    """Add group aggregates to every row (no distinct aggregates).
+
+    With ``pre_grouped`` the aggregates come from a grouping joined back, whatever the
+    group sizes; otherwise only hot keys need that.
+    """
     if not keys:
         totals = df.agg(F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_t")).scalar()
-        return df.withColumn("_t", totals).select(*df.columns, *[F.col(f"_t.`{n}`").alias(n) for n in columns])
-    return join_on_keys(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()]), keys)
+        out = df.withColumn("_t", totals).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_t.`{n}`").alias(n) for n in columns])
+    elif not pre_grouped and not hot_keys(df, keys):
+        spec = window(keys)
+        out = df.withColumns({n: c.over(spec) for n, c in columns.items()})
+    else:
+        out = join_on_keys(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()]), keys)
+    return same_rows(out, df)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int = 1) -> DataFrame:
