@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.functions.text import swap_columns
 from tablemill.operators.joins import expanding_totals
 from tablemill.session import settle
 from tablemill.skew import attach, join_on_keys, top_rows
@@ -184,20 +185,19 @@ def rank_timeseries(
 ) -> DataFrame:
     """(type, direction, damping, date, team, rank) for every combination, in one iteration.
 
-    Direction 'offense' follows the table as it is, 'defense' its mirror. Missing or zero
-    ranks become 1 / n.
+    Direction 'defense' follows the table as it is with less counting as better, 'offense'
+    its mirror with more counting as better. Missing or zero ranks become 1 / n.
     """
-    parts = []
+    scored = None
     for name, weights in profiles.items():
-        for direction, better in (("defense", True), ("offense", False)):
-            scored = matchup_scores(data, dates, weights, seasons).withColumns({"type": F.lit(name), "direction": F.lit(direction)})
-            parts.append((scored, better))
-    factor = F.explode(F.array(*[F.lit(float(d)) for d in dampings]))
+        for direction, sign in (("defense", 1.0), ("offense", -1.0)):
+            rows = data if direction == "defense" else swap_columns(data, "team", "opponent")
+            part = matchup_scores(rows, dates, weights, seasons).withColumn("score", F.col("score") * sign)
+            part = part.withColumns({"type": F.lit(name), "direction": F.lit(direction)})
+            scored = part if scored is None else scored.unionByName(part)
     keys = ["type", "direction", "damping", "date"]
-    edges = None
-    for scored, better in parts:
-        rows = transition_rows(scored.withColumn("damping", factor), keys, less_is_better=better, damping=None)
-        edges = rows if edges is None else edges.unionByName(rows)
+    factor = F.explode(F.array(*[F.lit(float(d)) for d in dampings]))
+    edges = settle(transition_rows(settle(scored, "scores").withColumn("damping", factor), keys, damping=None), "edges")
     ranks = stationary_rank(edges, keys)
     sized = attach(ranks, keys, {"_n": F.count(F.lit(1))})
     return sized.withColumn("rank", F.when(F.coalesce("rank", F.lit(0.0)) == 0, 1.0 / F.col("_n")).otherwise(F.col("rank"))).drop("_n")
