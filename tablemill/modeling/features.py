@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import PCA, CountVectorizer, RFormula, StandardScaler, StopWordsRemover, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizer, NGram, RFormula, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,8 +169,8 @@ def text_terms(df: DataFrame, key: str, text: str, stop_words: Sequence[str]) ->
 
 
 def bigrams(terms: DataFrame, key: str) -> DataFrame:
-    pairs = F.transform(F.sequence(F.lit(1), F.size("terms") - 1), lambda i: F.concat_ws(" ", F.element_at("terms", i), F.element_at("terms", i + 1)))
-    return terms.select(key, F.when(F.size("terms") > 1, pairs).otherwise(F.array().cast("array<string>")).alias("terms"))
+    """(key, terms) of neighbouring word pairs."""
+    return NGram(n=2, inputCol="terms", outputCol="_pairs").transform(terms).select(key, F.col("_pairs").alias("terms"))
 
 
 def term_counts(terms: DataFrame, key: str) -> DataFrame:

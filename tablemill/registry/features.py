@@ -162,7 +162,7 @@ def _(spark, sf):
 
 @query(
     "X13_bigrams",
-    f"""WITH {WORDS_SQL}, u AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM w),
+    f"""WITH {WORDS_SQL}, z AS (SELECT doc_id, unnest(list_zip(t, t[2:], TRUE)) AS z FROM w), u AS (SELECT doc_id, z[1] || ' ' || z[2] AS term FROM z),
         c AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS documents FROM u GROUP BY 1)
         SELECT count(*) AS bigrams, sum(n)::BIGINT AS n, sum(documents)::BIGINT AS documents, max(n) AS top FROM c""",
 )
