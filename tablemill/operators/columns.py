@@ -197,8 +197,8 @@ def conditional_transform(
     """Replace a value where the mask holds; the observation reports changed and total rows."""
     seen = Observation()
     hit = F.coalesce(mask, F.lit(False))
-    out = df.withColumn(target or field, F.when(hit, value).otherwise(F.col(field)))
-    return out.observe(seen, F.count(F.when(hit, 1)).alias("changed"), F.count(F.lit(1)).alias("total")), seen
+    counted = df.observe(seen, F.count(F.when(hit, 1)).alias("changed"), F.count(F.lit(1)).alias("total"))
+    return counted.withColumn(target or field, F.when(hit, value).otherwise(F.col(field))), seen
 
 
 def weighted_priority(df: DataFrame, weights: Mapping[str, float], score: str = "priority") -> DataFrame:
