@@ -15,6 +15,8 @@ from tablemill.operators.checks import unique_rows
 from tablemill.skew import numbered, running
 
 REFERENCE_BLOCK = 2_000
+# numbers held at once while rows are compared with a reference block
+PAIR_CELLS = 4_000_000
 
 
 def inner(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -182,9 +184,10 @@ def _nearest_in(block: list[Row]):
     @F.pandas_udf("struct<distance double, id long>")
     def nearest(vectors: pd.Series) -> pd.DataFrame:
         x = np.stack(vectors.to_numpy()).astype(float)
-        # rows in steps of 256, so that memory holds 256 x block x dimensions numbers
         best, which = [], []
-        for part in np.array_split(x, max(1, len(x) // 256)):
+        step = max(1, PAIR_CELLS // points.size)
+        for start in range(0, len(x), step):
+            part = x[start : start + step]
             squared = ((part[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
             which.append(squared.argmin(axis=1))
             best.append(squared.min(axis=1))

@@ -59,7 +59,7 @@ def daily_interpolate(df: DataFrame, keys: Sequence[str], time: str = "unix_seco
     produces the gap that follows it, so nothing is joined or filled.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(time).cast("long").alias(time), F.col(value).cast("double").alias(value))
-    out = attach(known, keys, {"_first": F.min(time)})
+    out = attach(known, keys, {"_first": F.min(time)}, order=[time])
     out = bounded(out, keys, [time], 0, 1, {"_t1": lambda w: F.lead(time).over(w), "_v1": lambda w: F.lead(value).over(w)})
     t, v, t1, v1 = F.col(time), F.col(value), F.col("_t1"), F.col("_v1")
     gap = F.when(t1.isNotNull(), _steps_between(t, t1, F.col("_first"), step)).otherwise(F.array().cast("array<bigint>"))
@@ -100,6 +100,7 @@ def unstack_timeseries(df: DataFrame, dimensions: Sequence[str] = (), pre_aggreg
             "_first": F.min(F.when(F.col("total").isNotNull(), ts)),
             "_last_delta": F.max(F.when(F.col("_nd") > 0, ts)),
         },
+        order=["unix_seconds"],
     )
     ready = F.col("metric_id").isin(list(pre_aggregated))
     filled = ~ready & (F.col("_totals") > 0)
@@ -135,7 +136,7 @@ def grid_interpolate(
     not before the last time (``extend``), or at the last step not after it.
     """
     slim = df.select(*keys, F.col(time).cast("long").alias(time), F.col(value).cast("double").alias(value))
-    spans = attach(slim, keys, {"_lo": F.min(time), "_hi": F.max(time)})
+    spans = attach(slim, keys, {"_lo": F.min(time), "_hi": F.max(time)}, order=[time])
     on_grid = spans.where(((F.col(time) - F.col("_lo")) % step == 0) & F.col(value).isNotNull())
     linked = bounded(
         on_grid, keys, [time], 1, 1,

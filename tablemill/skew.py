@@ -247,17 +247,21 @@ def _edge_rows(parts, keys, group, body, spec, rows, side) -> DataFrame:
     return copies.select(*group, *[F.col(f"_row.`{c}`").alias(c) for c in body], F.lit(True).alias("_copy"))
 
 
-def attach(df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column], pre_grouped: bool = False) -> DataFrame:
+def attach(
+    df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column], pre_grouped: bool = False, order: Sequence[str] = ()
+) -> DataFrame:
     """Add group aggregates to every row (no distinct aggregates).
 
     With ``pre_grouped`` the aggregates come from a grouping joined back, whatever the
-    group sizes; otherwise only hot keys need that.
+    group sizes; otherwise only hot keys need that. ``order`` names the sort of a later
+    window on the same keys, so that both share one sort.
     """
     if not keys:
         totals = df.agg(F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_t")).scalar()
         out = df.withColumn("_t", totals).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_t.`{n}`").alias(n) for n in columns])
     elif not pre_grouped and not hot_keys(df, keys):
-        spec = window(keys)
+        spec = window(keys, order)
+        spec = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) if order else spec
         out = df.withColumns({n: c.over(spec) for n, c in columns.items()})
     else:
         out = join_on_keys(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()]), keys)

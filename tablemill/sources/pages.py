@@ -13,6 +13,8 @@ from tablemill.functions.numbers import ANY_NUMBER
 
 CELLS = "page_id long, table_no int, row_no int, col_no int, is_header boolean, text string, href string"
 
+CELLS_PER_BATCH = 50_000
+
 
 class _Cells(HTMLParser):
     """Collects (table, row, column, header flag, text, first link) while a page is read."""
@@ -56,13 +58,16 @@ class _Cells(HTMLParser):
 def _read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in CELLS.split(", ")]
     for batch in batches:
-        rows = []
+        rows: list[tuple] = []
         for page, html in zip(batch["page_id"], batch["html"]):
             reader = _Cells()
             reader.feed(html or "")
             reader.close()
             reader._close()
             rows += [(page, *cell) for cell in reader.cells]
+            if len(rows) >= CELLS_PER_BATCH:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
         yield pd.DataFrame(rows, columns=names)
 
 
