@@ -135,7 +135,7 @@ def stationary_rank(
     """(keys, team, rank): stationary distribution of the transition rows.
 
     Power iteration on the edge list; ``base`` carries the weight of all missing pairs. A
-    chain without damping may fall apart: then only the smallest strongly connected
+    team without a row of its own passes its mass on evenly. A chain without damping may fall apart: then only the smallest strongly connected
     component gets mass, and the iteration is made lazy so that it also settles on
     periodic chains.
     """
@@ -150,7 +150,7 @@ def stationary_rank(
     links = settle(edges.select(*keys, "team", "opponent", (F.col("weight") - F.col("base")).alias("extra"), "base"))
     bases = links.groupBy(*keys, "team").agg(F.max("base").alias("base"))
     state = attach(teams, keys, {"_n": F.count(F.lit(1))}).select(*keys, "team", (1.0 / F.col("_n")).alias("rank"))
-    state = settle(join_on_keys(state, bases, [*keys, "team"]).withColumn("base", F.coalesce("base", F.lit(0.0))))
+    state = settle(join_on_keys(state, bases, [*keys, "team"]).withColumn("base", F.coalesce("base", "rank")))
 
     def step(now: DataFrame) -> DataFrame:
         sent = links.drop("base").join(now.select(*keys, "team", "rank"), [*keys, "team"])

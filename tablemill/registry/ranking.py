@@ -64,7 +64,7 @@ def _(spark, sf):
     "G03_stationary_rank",
     f"""WITH RECURSIVE {DATA_SQL}, {MATRIX_SQL},
         names AS (SELECT DISTINCT date, opponent AS team FROM scores),
-        dense AS (SELECT a.date, a.team, b.team AS opponent, coalesce(w.weight, t.base) AS weight FROM names a JOIN names b USING (date) JOIN (SELECT DISTINCT date, team, base FROM weights) t ON t.date = a.date AND t.team = a.team
+        dense AS (SELECT a.date, a.team, b.team AS opponent, coalesce(w.weight, t.base, 1.0::DOUBLE / count(*) OVER (PARTITION BY a.date, a.team)) AS weight FROM names a JOIN names b USING (date) LEFT JOIN (SELECT DISTINCT date, team, base FROM weights) t ON t.date = a.date AND t.team = a.team
                   LEFT JOIN weights w ON w.date = a.date AND w.team = a.team AND w.opponent = b.team),
         walk AS (SELECT 0 AS i, date, team, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS rank FROM names
                  UNION ALL SELECT i + 1, d.date, d.opponent, sum(rank * weight) FROM walk w JOIN dense d ON d.date = w.date AND d.team = w.team WHERE i < 60 GROUP BY i, d.date, d.opponent)

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "tablemill") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.ui.retainedExecutions", "20")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
