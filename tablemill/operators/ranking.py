@@ -84,7 +84,8 @@ def transition_rows(
     uniform = F.col("_lo") == F.col("_hi")
     out = out.withColumn("p", F.when(uniform, 1.0 / F.col("_n")).otherwise(F.col("p") if linear else F.col("p") / F.col("_e")))
     out = attach(out, group, {"_row": F.sum("p")})
-    teams = scores.groupBy(*keys).agg(F.countDistinct("opponent").alias("_teams"))
+    everyone = scores.select(*keys, "team").unionByName(scores.select(*keys, F.col("opponent").alias("team")))
+    teams = everyone.groupBy(*keys).agg(F.countDistinct("team").alias("_teams"))
     out = join_on_keys(out, teams, keys) if keys else out.withColumn("_teams", teams.scalar())
     total = d * F.col("_teams") + (1 - d) * F.col("_row")
     out = out.withColumns({"weight": (d + (1 - d) * F.col("p")) / total, "base": d / total})

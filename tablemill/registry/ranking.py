@@ -19,7 +19,7 @@ whole AS (SELECT upto, avg(yds) AS my, stddev_pop(yds) AS sy, avg(att) AS ma, st
 scores AS (SELECT upto AS date, team, opponent, 0.7::DOUBLE * (avg(yds) - any_value(my)) / any_value(sy) + 0.3::DOUBLE * (avg(att) - any_value(ma)) / any_value(sa) AS score
   FROM whole JOIN data ON date < upto AND year >= year(upto) - 3 GROUP BY upto, team, opponent)"""
 )
-MATRIX_SQL = """teams AS (SELECT date, count(DISTINCT opponent) AS n FROM scores GROUP BY 1),
+MATRIX_SQL = """teams AS (SELECT date, count(DISTINCT k) AS n FROM (SELECT date, team AS k FROM scores UNION ALL SELECT date, opponent FROM scores) GROUP BY 1),
 soft AS (SELECT date, team, opponent, CASE WHEN stddev_pop(score) OVER w = 0 THEN 1.0 ELSE exp(-(score - avg(score) OVER w) / stddev_pop(score) OVER w) END AS e FROM scores WINDOW w AS (PARTITION BY date, team)),
 edges AS (SELECT date, team, opponent, e / sum(e) OVER (PARTITION BY date, team) AS p, n FROM soft JOIN teams USING (date)),
 weights AS (SELECT date, team, opponent, p, (0.15::DOUBLE + 0.85::DOUBLE * p) / (0.15::DOUBLE * n + 0.85::DOUBLE) AS weight, 0.15::DOUBLE / (0.15::DOUBLE * n + 0.85::DOUBLE) AS base FROM edges)"""
@@ -51,7 +51,7 @@ def _(spark, sf):
 @query(
     "G02_transition_rows_linear",
     f"""WITH {DATA_SQL}, s AS (SELECT *, score - min(score) OVER w AS v FROM scores WINDOW w AS (PARTITION BY date, team)),
-        p AS (SELECT date, team, opponent, 1 - v / sum(v) OVER (PARTITION BY date, team) AS p FROM s), n AS (SELECT date, count(DISTINCT opponent) AS n FROM scores GROUP BY 1)
+        p AS (SELECT date, team, opponent, 1 - v / sum(v) OVER (PARTITION BY date, team) AS p FROM s), n AS (SELECT date, count(DISTINCT k) AS n FROM (SELECT date, team AS k FROM scores UNION ALL SELECT date, opponent FROM scores) GROUP BY 1)
         SELECT strftime(date, '%Y-%m-%d') AS day, team, opponent, R6(p) AS p,
                R6((0.3::DOUBLE + 0.7::DOUBLE * p) / (0.3::DOUBLE * n + 0.7::DOUBLE * sum(p) OVER (PARTITION BY date, team))) AS weight FROM p JOIN n USING (date)""",
 )
@@ -63,7 +63,7 @@ def _(spark, sf):
 @query(
     "G03_stationary_rank",
     f"""WITH RECURSIVE {DATA_SQL}, {MATRIX_SQL},
-        names AS (SELECT DISTINCT date, opponent AS team FROM scores),
+        names AS (SELECT DISTINCT date, k AS team FROM (SELECT date, team AS k FROM scores UNION ALL SELECT date, opponent FROM scores)),
         dense AS (SELECT a.date, a.team, b.team AS opponent, coalesce(w.weight, t.base, 1.0::DOUBLE / count(*) OVER (PARTITION BY a.date, a.team)) AS weight FROM names a JOIN names b USING (date) LEFT JOIN (SELECT DISTINCT date, team, base FROM weights) t ON t.date = a.date AND t.team = a.team
                   LEFT JOIN weights w ON w.date = a.date AND w.team = a.team AND w.opponent = b.team),
         walk AS (SELECT 0 AS i, date, team, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS rank FROM names
