@@ -118,21 +118,23 @@ def mix(
     return out.select("__row.*", "source_size", "target", (F.col("passes") * F.col("__size") + once).cast("long").alias("taken"), "passes", "ranges")
 
 
-def emit(mixed: DataFrame, columns: Sequence[str], text: str = "text", chars: str = "n_chars") -> DataFrame:
+def emit(mixed: DataFrame, row: str, text: str = "text", chars: str = "n_chars", size: str = "size") -> DataFrame:
     """The documents of a mix: one row for each whole pass and one for each extra token range.
 
-    A range that covers the whole document repeats the row; a part keeps the words inside, with ``chars``
-    counted anew where that column exists. ``mixed`` must have ``size``.
+    ``row`` is the struct of a document's columns. A range that covers the whole document repeats it; a part
+    keeps the words inside, one space between, with ``chars`` counted anew where that field exists. Documents
+    without words (null texts too) take no share of a mix and are kept once.
     """
-    whole = F.transform(F.when(F.col("passes") > 0, F.sequence(F.lit(1), "passes")).otherwise(F.array().cast("array<int>")), lambda _: F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
-    # a document without words is taken no less often than its neighbours
-    pieces = F.when(F.col("size") == 0, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")))).otherwise(F.concat(whole, "ranges"))
+    fields = mixed.schema[row].dataType.names
+    span = lambda start, end: F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
+    passes = F.when(F.col("passes") > 0, F.sequence(F.lit(1), F.col("passes"))).otherwise(F.array().cast("array<int>"))
+    whole = F.transform(passes, lambda _: span(F.lit(0), F.col(size)))
+    pieces = F.when(F.col(size) == 0, F.array(span(F.lit(0), F.lit(0)))).otherwise(F.concat(whole, "ranges"))
     rows = mixed.withColumn("__piece", F.explode(pieces))
-    words = F.regexp_extract_all(text, F.lit(f"({WORDS})"), F.lit(1))
-    cut = F.concat_ws(" ", F.slice(words, (F.col("__piece.start") + 1).cast("int"), (F.col("__piece.end") - F.col("__piece.start")).cast("int")))
-    part = (F.col("__piece.start") > 0) | (F.col("__piece.end") < F.col("size"))
-    rows = rows.withColumn("__text", F.when(part, cut).otherwise(F.col(text)))
-    values = {text: F.col("__text")}
-    if chars in columns:
-        values[chars] = F.when(part, F.length("__text").cast("long")).otherwise(F.col(chars))
-    return rows.select(*[values.get(c, F.col(c)).alias(c) for c in columns])
+    start, end = F.col("__piece.start"), F.col("__piece.end")
+    old = F.col(row)[text]
+    part = (start > 0) | (end < F.col(size))
+    words = F.regexp_extract_all(old, F.lit(f"({WORDS})"), F.lit(1))
+    rows = rows.withColumn("__text", F.when(part, F.concat_ws(" ", F.slice(words, (start + 1).cast("int"), (end - start).cast("int")))).otherwise(old))
+    values = {text: F.col("__text"), chars: F.when(part, F.length("__text").cast("long")).otherwise(F.col(row)[chars]) if chars in fields else None}
+    return rows.select(*[(F.col(row)[c] if values.get(c) is None else values[c]).alias(c) for c in fields])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.llm import decontam, extraction, langid, mixing, pii, sharding, toxicity, warc
+from tablemill.llm import decontam, extraction, langid, lattice, mixing, ngram, pii, sharding, toxicity, warc
 from tablemill.llm.common import crc_fold, word_count
 from tablemill.session import fresh_folder
 
@@ -23,6 +23,30 @@ def op1_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "passes")
 
 
+def op2_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return lattice.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+OP2_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach AS r JOIN l ON l.a = r.b
+), c AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1
+)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     archive = fresh_folder(spark, "warc")
     records = warc.records(table(spark, folder, "pages"))
@@ -54,6 +78,32 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("r.lang").alias("lang_pred"), F.col("r.score").alias("score"), F.size("r.spans").alias("n_spans"))
 
 
+def op5_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = ngram.linked_components(docs, words=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, list_slice(w, k, k + least(4, len(w)) - 1) AS g
+  FROM w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS t(k) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s AS x JOIN s AS y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach AS r JOIN l ON l.a = r.b
+)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) AS c LEFT JOIN n USING (doc_id)
+"""
+
+
 def op6_shards(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, folder, "documents").select(
@@ -130,7 +180,7 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_mix": op1_mix, "op3_warc": op3_warc, "op4_language": op4_language, "op6_shards": op6_shards, "op7_decontaminate": op7_decontaminate,
+    "op1_mix": op1_mix, "op2_neardup": op2_neardup, "op5_ngram_join": op5_ngram_join, "op3_warc": op3_warc, "op4_language": op4_language, "op6_shards": op6_shards, "op7_decontaminate": op7_decontaminate,
     "op8_extract": op8_extract, "op9_toxicity": op9_toxicity, "op10_pii": op10_pii,
 }
-SQL = {"op3_warc": OP3_SQL, "op7_decontaminate": OP7_SQL}
+SQL = {"op2_neardup": OP2_SQL, "op5_ngram_join": OP5_SQL, "op3_warc": OP3_SQL, "op7_decontaminate": OP7_SQL}
