@@ -61,8 +61,8 @@ def shuffle_shards(docs: DataFrame, id_columns: list[str], shards: int = 8, rows
     ``rows_per_block`` rows, gives the places.
 
     Returns the columns of ``docs`` and shard int (0 ..), slot long (0 .. in each shard); columns of those
-    names are replaced. Nulls hash like values. Rows equal in ``id_columns`` are neighbours in every order,
-    so which of them is which does not matter. An empty table gives an empty result.
+    names are replaced. Nulls hash like values. Rows equal in ``id_columns`` are numbered and
+    placed independently; which of them is which does not matter. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     total = docs.count()
@@ -88,11 +88,13 @@ def shuffle_shards(docs: DataFrame, id_columns: list[str], shards: int = 8, rows
     matrix = scratch.settle(matrix, "matrix")
 
     def assigned(frame: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed + 1), "__h"), "__h"))
-        out = frame.withColumn("__place", place).join(matrix, "__block")
+        inside = Window.partitionBy("__block")
+        # equal rows get numbers of their own, so that each is placed by itself
+        out = frame.withColumn("__n", F.row_number().over(inside.orderBy("__h")))
+        out = out.withColumn("__place", F.row_number().over(inside.orderBy(F.xxhash64(F.lit(seed + 1), "__block", "__n"), "__n"))).join(matrix, "__block")
         out = out.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("__place"))))
-        mixed = F.xxhash64(F.lit(seed + 2), "__h")
-        return out.withColumn("__g", mixed).withColumn("__piece", F.pmod(F.shiftright("__g", 5), F.lit(pieces))).drop("ends", "__place")
+        out = out.withColumn("__g", F.xxhash64(F.lit(seed + 2), "__block", "__n"))
+        return out.withColumn("__piece", F.pmod(F.shiftright("__g", 5), F.lit(pieces))).drop("ends", "__place", "__n")
 
     counts = assigned(rows.drop("__row")).groupBy("shard", "__piece").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("__piece")) - F.col("n")
