@@ -134,66 +134,74 @@ def preorder(root: Node) -> list[Node]:
     return out
 
 
-FEATURES = 24
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol li dl table".split())
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     """One row for each node, parents before children: its own words, those above, subtree density, depth, siblings."""
-    place = {id(n): i for i, n in enumerate(nodes)}
+    place = {id(x): i for i, x in enumerate(nodes)}
     n = len(nodes)
-    parent = np.array([place[id(x.parent)] if x.parent is not None else -1 for x in nodes])
-    chars, linked, lines, tags, good_below, kids = (np.zeros(n) for _ in range(6))
-    commas = np.zeros(n)
+    parent = [place[id(x.parent)] if x.parent is not None else -1 for x in nodes]
+    chars, linked, lines, commas, tags = [0] * n, [0] * n, [0] * n, [0] * n, [1] * n
     for i, x in enumerate(nodes):
         seen = set()
         for c in x.items:
-            if not isinstance(c, Node):
+            if c.__class__ is tuple:
                 size = len(c[1])
                 chars[i] += size
-                linked[i] += size * c[2]
+                if c[2]:
+                    linked[i] += size
                 commas[i] += c[1].count(",") + c[1].count(".")
                 seen.add(c[0])
         lines[i] = len(seen)
-        good_below[i] = x.tag in FOR_TAGS
-    own = chars.copy()
-    tags[:] = 1
+    own = list(chars)
+    good = [x.tag in FOR_TAGS for x in nodes]
+    good_below = list(good)
+    kids = [0] * n
     for i in range(n - 1, 0, -1):
         p = parent[i]
-        for a in (chars, linked, lines, tags, commas):
-            a[p] += a[i]
-        good_below[p] = max(good_below[p], good_below[i])
+        chars[p] += chars[i]
+        linked[p] += linked[i]
+        lines[p] += lines[i]
+        commas[p] += commas[i]
+        tags[p] += tags[i]
+        good_below[p] |= good_below[i]
         kids[p] += 1
-    against = np.array([len(x.words & AGAINST) for x in nodes], float)
-    favour = np.array([len(x.words & FOR) for x in nodes], float)
-    bad_tag = np.array([x.tag in AGAINST_TAGS for x in nodes], float)
-    depth, above_words, above_tag, above_for, number, before = (np.zeros(n) for _ in range(6))
-    seen_kids, last_kid = np.zeros(n), np.full(n, -1)
-    previous, following = np.zeros(n), np.zeros(n)
-    start = np.concatenate([[0], np.cumsum(own)[:-1]])
-    good = np.array([x.tag in FOR_TAGS for x in nodes], float)
+    against = [len(x.words & AGAINST) if x.words else 0 for x in nodes]
+    favour = [len(x.words & FOR) if x.words else 0 for x in nodes]
+    bad_tag = [x.tag in AGAINST_TAGS for x in nodes]
+    depth, above_words, above_tag, above_for, number, seen_kids, previous, following = ([0] * n for _ in range(8))
+    last_kid = [-1] * n
     for i in range(1, n):
         p = parent[i]
         depth[i] = depth[p] + 1
         above_words[i] = max(above_words[p], against[p])
-        above_tag[i] = max(above_tag[p], bad_tag[p])
-        above_for[i] = max(above_for[p], good[p], favour[p] > 0)
+        above_tag[i] = above_tag[p] or bad_tag[p]
+        above_for[i] = above_for[p] or good[p] or favour[p] > 0
         number[i] = seen_kids[p]
         seen_kids[p] += 1
-        if last_kid[p] >= 0:
-            previous[i] = chars[last_kid[p]]
-            following[last_kid[p]] = chars[i]
+        before = last_kid[p]
+        if before >= 0:
+            previous[i] = chars[before]
+            following[before] = chars[i]
         last_kid[p] = i
-    total = max(chars[0], 1.0)
-    siblings = np.where(parent >= 0, kids[parent], 1)
-    up = np.where(parent >= 0, chars[parent], total)
-    log = np.log1p
-    columns = [
-        against, above_words, favour, above_for, bad_tag, above_tag, good, good_below, log(chars), log(own), linked / np.maximum(chars, 1),
-        chars / tags, chars / np.maximum(lines, 1), depth, number / siblings, siblings, start / total, chars / total, chars / np.maximum(up, 1),
-        [x.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for x in nodes], [x.tag in ("ul", "ol", "li", "dl", "table") for x in nodes],
-        log(previous), log(following), commas / np.maximum(chars, 1),
-    ]
-    return np.stack([np.asarray(c, float) for c in columns], 1)
+    heading = [x.tag in HEADINGS for x in nodes]
+    listed = [x.tag in LISTS for x in nodes]
+    raw = np.array([
+        against, above_words, favour, above_for, bad_tag, above_tag, good, good_below, chars, own, linked, tags, lines, depth, number, heading,
+        listed, previous, following, commas, parent, kids,
+    ], float)
+    of = raw[20].astype(int)
+    size, total = np.maximum(raw[8], 1), max(raw[8, 0], 1.0)
+    siblings = np.where(of >= 0, raw[21][of], 1)
+    up = np.where(of >= 0, raw[8][of], total)
+    start = np.cumsum(raw[9]) - raw[9]
+    return np.concatenate([
+        raw[:8], np.log1p(raw[8:10]),
+        [raw[10] / size, raw[8] / raw[11], raw[8] / np.maximum(raw[12], 1), raw[13], raw[14] / siblings, siblings, start / total, raw[8] / total, raw[8] / np.maximum(up, 1)],
+        raw[15:17], np.log1p(raw[17:19]), [raw[19] / size],
+    ]).T
 
 
 def mark(nodes: list[Node]) -> bool:
@@ -321,7 +329,7 @@ def train(pages: DataFrame, page: str = "html", order: str = "page_id", limit: i
     return exported(GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=seed, maxBins=32).fit(nodes))
 
 
-def decode(nodes: list[Node], p: np.ndarray, own: np.ndarray) -> np.ndarray:
+def decode(nodes: list[Node], p: np.ndarray, own: np.ndarray) -> list[bool]:
     """Which nodes stay open: the likeliest choice in which a dropped node drops all below it.
 
     Nodes weigh by the logarithm of their own text, so that empty wrappers follow what they hold.
@@ -329,18 +337,18 @@ def decode(nodes: list[Node], p: np.ndarray, own: np.ndarray) -> np.ndarray:
     p = np.clip(p, 1e-6, 1 - 1e-6)
     weight = np.log1p(own) + 0.1
     place = {id(n): i for i, n in enumerate(nodes)}
-    keep, drop = weight * np.log(p), weight * np.log(1 - p)
+    keep, drop = (weight * np.log(p)).tolist(), (weight * np.log(1 - p)).tolist()
     for i in range(len(nodes) - 1, 0, -1):
         up = place[id(nodes[i].parent)]
         keep[up] += max(keep[i], drop[i])
         drop[up] += drop[i]
-    open_ = np.zeros(len(nodes), bool)
+    open_ = [False] * len(nodes)
     for i, n in enumerate(nodes):
         open_[i] = (n.parent is None or open_[place[id(n.parent)]]) and keep[i] > drop[i]
     return open_
 
 
-def kept_text(nodes: list[Node], open_: np.ndarray) -> str:
+def kept_text(nodes: list[Node], open_: list[bool]) -> str:
     """Text of the open nodes: white space to one space, a line for each block, in page order."""
     lines: list[tuple[object, list[str]]] = []
     place = {id(n): i for i, n in enumerate(nodes)}
