@@ -20,6 +20,10 @@ EXAMPLES = 20_000
 TERMS = 4096
 #: A term must set the labels apart by so many standard deviations, which leaves no room for chance terms.
 SURE = 5.0
+#: And at least by this share of what the surest term does, so that a group of copies that share a label adds no terms.
+SURE_SHARE = 0.25
+#: And the odds of label 1 with and without it must differ by this factor, or words of longer texts would be terms.
+ODDS = 4.0
 NEIGHBOURS = 25
 #: Examples of a block of the index, whose largest weights bound its cosines.
 BLOCK = 128
@@ -164,11 +168,12 @@ def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
         table = rows.mapInPandas(count, "term string, no long, yes long").groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
         p = (F.col("no") + F.col("yes") + 1.0) / (n0 + n1 + 2.0)
         z = F.abs(F.col("yes") / n1 - F.col("no") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-        kept = table.withColumn("z", z).filter((F.col("z") >= SURE) & (F.col("no") + F.col("yes") >= 5)).orderBy(F.desc("z"), "term").limit(TERMS)
-        vocabulary = sorted(r["term"] for r in kept.collect())
+        odds = F.abs(F.log((F.col("yes") + 0.5) * (n0 - F.col("no") + 0.5) / ((F.col("no") + 0.5) * (n1 - F.col("yes") + 0.5))))
+        fit = table.withColumn("z", z).filter((F.col("z") >= SURE) & (odds >= math.log(ODDS)) & (F.col("no") + F.col("yes") >= 5))
+        kept = fit.orderBy(F.desc("z"), "term").limit(TERMS).collect()
+        vocabulary = sorted(r["term"] for r in kept if r["z"] >= SURE_SHARE * kept[0]["z"])
     total, df = document_frequencies(docs, text, vocabulary)
     idf = np.log((1.0 + total) / (1.0 + df)) + 0.01
-    automaton = matcher(vocabulary)
     collected = vectors(rows, vocabulary).orderBy("k").collect() if vocabulary else []
     made = [(r["k"], r["y"], *weigh(dict(zip(r["terms"], r["n"])), idf)) for r in collected]
     full = [m for m in made if len(m[2])]
@@ -190,16 +195,33 @@ def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
         vocabulary, idf, np.array([m[1] for m in full], float), np.array([m[0] for m in full], dtype=object), at, weight, cuts, tops,
         (sum(none) + prior) / (len(none) + 1.0) if n0 + n1 else 0.0, prior,
     )
-    del automaton
     if full:
-        votes = []
-        for j, m in enumerate(full):  # every example is judged by the others
-            at, cos = index.nearest(m[2], m[3], NEIGHBOURS, leave=j)
-            votes.append(index.vote(cos, at) if len(at) else prior)
-        index.curve = rising(np.array(votes), index.labels)
+        index.curve = rising(*judged(spark, index))
     return index
 
 
+def judged(spark: SparkSession, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Vote and label of every example that has terms, each judged by the others."""
+    held = spark.sparkContext.broadcast(index)
+    size = len(index.labels)
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ix = held.value
+        order = np.argsort(ix.at, kind="stable")
+        edges = np.searchsorted(ix.at[order], np.arange(size + 1))
+        term = np.searchsorted(ix.cuts[:, -1], order, "right")
+        for pdf in batches:
+            votes = []
+            for j in pdf["id"]:
+                own = slice(edges[j], edges[j + 1])
+                at, cos = ix.nearest(term[own], ix.weight[order[own]], NEIGHBOURS, leave=j)
+                votes.append(ix.vote(cos, at) if len(at) else ix.prior)
+            yield pd.DataFrame({"id": pdf["id"], "vote": votes})
+
+    found = spark.range(size).repartition(max(1, size // 500)).mapInPandas(judge, "id long, vote double").toPandas().sort_values("id")
+    return found["vote"].to_numpy(), index.labels
+
+
 def document_frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> tuple[int, np.ndarray]:
     """Number of documents and of those that hold each term, over all documents."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

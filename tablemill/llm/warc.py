@@ -36,25 +36,24 @@ def store(folder: str) -> tuple[arrow_fs.FileSystem, str]:
 
 
 def records(pages: DataFrame, key: str = "page_id", uri: str = "url", body: str = "html") -> DataFrame:
-    """What is to be archived: one row for each page with its payload, digest and record type.
-
-    Of equal payloads of at least ``REVISIT_BYTES`` the row with the smallest key is the response and the
-    others revisit it; rows that repeat the smallest key are responses too. Null keys never are referred to
-    and are responses when no keyed row has their payload. A null body is an empty payload.
-    """
+    """One row for each page: key, uri, payload, payload_bytes, payload_digest; a null body is an empty payload."""
     payload = F.coalesce(F.col(body).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(uri).cast("string").alias("uri"), payload.alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    large = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES)
-    twins = large.groupBy("payload_digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    # only the digests of repeated payloads meet the rows, and none of the payloads is moved for it
-    twins = Scratch(pages.sparkSession).settle(twins, "twins")
-    keys = rows.select("key", "payload_digest", F.xxhash64("uri").alias("u")).join(twins.select("payload_digest"), "payload_digest", "left_semi")
-    found = spread_join(keys, twins, "payload_digest", "n", ["key", "u"]).filter("key <> first or key is null and first is not null")
-    found = found.select("key", "payload_digest", F.col("first").alias("refers_to")).distinct()
-    again = (rows["key"].eqNullSafe(found["key"])) & (rows["payload_digest"] == found["payload_digest"])
-    out = rows.join(found, again, "left").select(rows["*"], found["refers_to"])
-    return out.withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
+    return rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
+
+
+def revisits(recs: DataFrame) -> DataFrame:
+    """(key, payload_digest, refers_to) of the records that only revisit another.
+
+    Of equal payloads of at least ``REVISIT_BYTES`` the record with the smallest key is the response and the
+    others revisit it; records that repeat the smallest key are responses too. Null keys never are referred
+    to; they revisit the smallest key with their payload, if there is one. Payloads are not moved for this.
+    """
+    large = recs.filter(F.col("payload_bytes") >= REVISIT_BYTES).select("key", "payload_digest", F.xxhash64("uri").alias("u"))
+    twins = large.groupBy("payload_digest").agg(F.min("key").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    twins = Scratch(recs.sparkSession).settle(twins, "twins")
+    found = spread_join(large, twins, "payload_digest", "n", ["key", "u"]).filter("key is null and refers_to is not null or key <> refers_to")
+    return found.select("key", "payload_digest", "refers_to").distinct()
 
 
 def boundaries(rows: DataFrame, shards: int, total: int) -> np.ndarray:
@@ -77,8 +76,9 @@ def base32_sha256(data: bytes) -> str:
     return "sha256:" + hashlib.sha256(data).hexdigest()
 
 
-def encode(key: int | None, uri: str | None, kind: str, refers_to: int | None, payload: bytes, digest: str, date: str) -> bytes:
+def encode(key: int | None, uri: str | None, refers_to: int | None, payload: bytes, digest: str, date: str) -> bytes:
     """The compressed member of one page; the payload is left out of a revisit."""
+    kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     name = lambda k: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record:{k}:{digest}')}>"
     fields = [("WARC-Record-ID", name(key)), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response")]
@@ -97,8 +97,8 @@ def encode(key: int | None, uri: str | None, kind: str, refers_to: int | None, p
     return packer.compress(head(kind, fields, block)) + packer.flush()
 
 
-def write(recs: DataFrame, folder: str, *, shard_bytes: int = 128 << 20, file_bytes: int = 32 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write the records as ``folder``/warc-SSSSS-PPPPP.warc.gz and return the manifest.
+def write(recs: DataFrame, folder: str, *, shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Write the result of ``records`` as ``folder``/warc-SSSSS-PPPPP.warc.gz and return the manifest.
 
     Records are ranged by key into shards of about ``shard_bytes`` of payload, sorted inside by key, and a new
     file is begun once the compressed size would pass ``file_bytes``, so the same records always give the same
@@ -118,7 +118,11 @@ def write(recs: DataFrame, folder: str, *, shard_bytes: int = 128 << 20, file_by
         known = keys.notna()
         return pd.Series(np.where(known, np.searchsorted(cuts, keys.fillna(0).astype("int64"), "right"), 0)).astype("int32")
 
-    dealt = recs.withColumn("shard", shard_of("key")).repartition(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "payload_digest", "uri")
+    # what is revisited travels with the records, in front of those it is about, so that payloads move once
+    notes = revisits(recs).select("key", F.lit(None).cast("string").alias("uri"), F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("long").alias("payload_bytes"), "payload_digest", "refers_to")
+    both = recs.withColumn("refers_to", F.lit(None).cast("long")).unionByName(notes).withColumn("shard", shard_of("key"))
+    dealt = both.repartitionById(len(cuts) + 1, F.col("shard"))
+    dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "payload_digest", F.col("refers_to").isNull(), "uri")
 
     def store_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         disk, root = store(folder)
@@ -126,6 +130,7 @@ def write(recs: DataFrame, folder: str, *, shard_bytes: int = 128 << 20, file_by
         task = TaskContext.get()
         attempt = f"{task.partitionId()}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         out, info, hasher, done = None, None, None, []
+        note = None
 
         def close() -> None:
             nonlocal out
@@ -138,7 +143,11 @@ def write(recs: DataFrame, folder: str, *, shard_bytes: int = 128 << 20, file_by
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 key = None if pd.isna(r.key) else int(r.key)
-                member = encode(key, r.uri, r.record_type, None if pd.isna(r.refers_to) else int(r.refers_to), r.payload, r.payload_digest, date)
+                if not pd.isna(r.refers_to):
+                    note = (key, r.payload_digest, int(r.refers_to))
+                    continue
+                target = note[2] if note is not None and note[:2] == (key, r.payload_digest) else None
+                member = encode(key, r.uri, target, r.payload, r.payload_digest, date)
                 if out is None or info["shard"] != r.shard or info["bytes"] + len(member) > file_bytes:
                     part = info["part"] + 1 if info is not None and info["shard"] == r.shard else 0
                     close()
