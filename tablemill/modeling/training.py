@@ -13,9 +13,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidatorModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.session import fresh_folder
 from tablemill.skew import quantiles
 
 REFIT_FOLD = -1
@@ -34,6 +35,13 @@ def _predictions(scored: DataFrame, keys: Sequence[str], name: str, fold: int, o
     )
 
 
+def plain(model: Model) -> Model:
+    """The model as saved and loaded again: without its training summary, which holds on to the session."""
+    path = fresh_folder(SparkSession.getActiveSession(), "model")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def cv_train(
     df: DataFrame,
     keys: Sequence[str],
@@ -66,7 +74,7 @@ def cv_train(
                 estimator = make().setFeaturesCol("features").setLabelCol(outcome)
                 if weight is not None:
                     estimator = estimator.setWeightCol(weight)
-                model = estimator.fit(train)
+                model = plain(estimator.fit(train))
                 models[name, i, outcome] = model
                 if i != REFIT_FOLD:
                     parts.append(_predictions(model.transform(test), keys, name, i, outcome, classify))

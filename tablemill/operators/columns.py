@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions import numbers, times
+from tablemill.operators.filters import Report
 from tablemill.skew import attach, order_columns
 
 # Words that mean "too many to count", their stand-in, and the sign rules.
@@ -193,12 +194,11 @@ def add_binary_fields(df: DataFrame, fields: Sequence[Mapping[str, str]]) -> Dat
 
 def conditional_transform(
     df: DataFrame, field: str, mask: Column, value: Column, target: str | None = None
-) -> tuple[DataFrame, Observation]:
-    """Replace a value where the mask holds; the observation reports changed and total rows."""
-    seen = Observation()
+) -> tuple[DataFrame, Report]:
+    """Replace a value where the mask holds; the report holds changed and total rows."""
     hit = F.coalesce(mask, F.lit(False))
-    counted = df.observe(seen, F.count(F.when(hit, 1)).alias("changed"), F.count(F.lit(1)).alias("total"))
-    return counted.withColumn(target or field, F.when(hit, value).otherwise(F.col(field))), seen
+    counts = df.agg(F.count(F.when(hit, 1)).alias("changed"), F.count(F.lit(1)).alias("total"))
+    return df.withColumn(target or field, F.when(hit, value).otherwise(F.col(field))), Report(counts)
 
 
 def weighted_priority(df: DataFrame, weights: Mapping[str, float], score: str = "priority") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.skew import attach, join_on_keys, quantiles, running
@@ -17,16 +17,26 @@ def all_of(*conditions: Column) -> Column:
     return out
 
 
-def subset_with_report(df: DataFrame, keep: Column) -> tuple[DataFrame, Observation]:
-    """Filter; the observation holds before, after, removed and the removed percentage."""
-    seen = Observation()
+class Report:
+    """Counts over a table, computed when ``get`` is first read; nothing is left behind in the session."""
+
+    def __init__(self, counts: DataFrame):
+        self._counts, self._values = counts, None
+
+    @property
+    def get(self) -> dict:
+        if self._values is None:
+            self._values = self._counts.first().asDict()
+        return self._values
+
+
+def subset_with_report(df: DataFrame, keep: Column) -> tuple[DataFrame, Report]:
+    """Filter; the report holds before, after, removed and the removed percentage."""
     kept = F.coalesce(keep, F.lit(False))
     before, after = F.count(F.lit(1)), F.count(F.when(kept, 1))
     share = F.coalesce(F.try_divide(100.0 * (before - after), before), F.lit(0.0))
-    marked = df.observe(
-        seen, before.alias("before"), after.alias("after"), (before - after).alias("removed"), share.alias("removed_percent")
-    )
-    return marked.where(kept), seen
+    counts = df.agg(before.alias("before"), after.alias("after"), (before - after).alias("removed"), share.alias("removed_percent"))
+    return df.where(kept), Report(counts)
 
 
 def exclude_containing(df: DataFrame, column: str, words: Sequence[str]) -> DataFrame:

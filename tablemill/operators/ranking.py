@@ -169,7 +169,7 @@ def stationary_rank(
             if distance is None or distance < tolerance:
                 return fresh.select(*keys, "team", "rank")
         state = fresh
-    return state.select(*keys, "team", "rank")
+    raise ArithmeticError(f"the ranks have not settled to {tolerance} after {max_iterations} rounds")
 
 
 def simple_strength(data: DataFrame, stat: str, damping: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -28,13 +29,21 @@ def local_session(cores: int | str = "*", app: str = "tablemill") -> SparkSessio
 def shared_folder(spark: SparkSession) -> str:
     """Root folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a local session that names none (a test) gets a folder of its own; on a cluster that is an error,
+    since each executor would write to its own disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tablemill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"master {master}: set spark.checkpoint.dir to a folder that all executors share")
+    return local_folder()
+
+
+@functools.cache
+def local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tablemill-")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

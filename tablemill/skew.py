@@ -97,12 +97,15 @@ def _hot_flag(df: DataFrame, keys: Sequence[str], hot: list[Row]) -> DataFrame:
     return join_on_keys(df, table, keys).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
 
 
-def _position(df: DataFrame, item: str) -> Column:
-    """Monotone double stand-in for a sort column (ties may merge, order never flips)."""
+def _position(df: DataFrame, item: str, offset: int = 0) -> Column:
+    """Monotone double stand-in for a sort column (ties may merge, order never flips).
+
+    A text is read six bytes at a time, from ``offset``.
+    """
     name, down = item.lstrip("-"), item.startswith("-")
     kind, column = df.schema[name].dataType, F.col(name)
     if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 6)), 12, "0")
+        head = F.rpad(F.hex(F.substring(column.cast("binary"), offset + 1, 6)), 12, "0")
         value = F.conv(head, 16, 10).cast("double")
     elif isinstance(kind, T.DateType):
         value = F.unix_date(column).cast("double")
@@ -122,19 +125,32 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: list[
     limit = rows_per_slice(df)
     wanted = min(MAX_SLICES, max(2, math.ceil(2 * sum(r["_rows"] for r in hot) / limit)))
     shares = [i / wanted for i in range(1, wanted)]
-    out = _hot_flag(df, keys, hot).withColumn("_open", F.col("_hot")).withColumn(_SLICE, F.lit(0).cast("long"))
+    out = _hot_flag(df, keys, hot).withColumn("_open", F.col("_hot")).withColumn(_SLICE, F.lit(""))
     for item in order:
-        out = out.withColumn("_pos", _position(df, item))
-        cuts = out.where("_open").agg(F.percentile_approx("_pos", shares, 10_000)).first()[0] or []
-        heavy = sorted({c for a, c in zip(cuts, cuts[1:]) if a == c})
-        points = set(cuts) | set(heavy) | {math.nextafter(h, math.inf) for h in heavy}
-        splits = [-math.inf, *sorted(p for p in points if math.isfinite(p)), math.inf]
-        bucketed = Bucketizer(splits=splits, inputCol="_pos", outputCol="_bucket", handleInvalid="keep").transform(out)
-        step = F.when(F.col("_open"), F.col("_bucket").cast("long")).otherwise(0)
-        out = bucketed.withColumn(_SLICE, F.col(_SLICE) * (3 * MAX_SLICES) + step).drop("_bucket")
-        if not heavy:
-            break
-        out = out.withColumn("_open", F.col("_open") & F.col("_pos").isin(heavy))
+        name, offset = item.lstrip("-"), 0
+        while True:
+            out = out.withColumn("_pos", _position(df, item, offset))
+            cuts = out.where("_open").agg(F.percentile_approx("_pos", shares, 10_000)).first()[0] or []
+            heavy = sorted({c for a, c in zip(cuts, cuts[1:]) if a == c})
+            points = set(cuts) | set(heavy) | {math.nextafter(h, math.inf) for h in heavy}
+            splits = [-math.inf, *sorted(p for p in points if math.isfinite(p)), math.inf]
+            bucketed = Bucketizer(splits=splits, inputCol="_pos", outputCol="_bucket", handleInvalid="keep").transform(out)
+            step = F.when(F.col("_open"), F.col("_bucket").cast("int")).otherwise(0)
+            out = bucketed.withColumn(_SLICE, F.concat(_SLICE, F.lpad(F.hex(step), 4, "0"))).drop("_bucket")
+            if not heavy:
+                return out.drop("_pos", "_open")
+            # only rows that are equal in this column may be cut by the next one
+            spread = out.where(F.col("_open") & F.col("_pos").isin(heavy)).groupBy("_pos").agg(
+                (F.min(name).eqNullSafe(F.max(name)) & F.count(name).isin(0, F.count(F.lit(1)))).alias("same"), F.max(F.octet_length(F.col(name).cast("string"))).alias("length")
+            ).collect()  # as many rows as there are heavy positions
+            longer = isinstance(df.schema[name].dataType, T.StringType) and max((r["length"] or 0 for r in spread), default=0) > offset + 6
+            kept = [r["_pos"] for r in spread if r["same"] or longer]
+            if not kept:
+                return out.drop("_pos", "_open")
+            out = out.withColumn("_open", F.col("_open") & F.col("_pos").isin(kept))
+            if not longer or all(r["same"] for r in spread):
+                break
+            offset += 6
     return out.drop("_pos", "_open")
 
 
@@ -170,7 +186,10 @@ def running(
     for n, (k, _) in columns.items():
         source = F.col(f"_in_{n}")
         if k == "last":
-            place = F.struct(*[(-_as_number(df, o)) if o.startswith("-") else F.col(o) for o in order])
+            # nulls come first in a rising column and last in a falling one
+            place = F.struct(*[
+                F.struct(F.col(o[1:]).isNull(), -_as_number(df, o)) if o.startswith("-") else F.struct(F.col(o).isNotNull(), F.col(o)) for o in order
+            ])
             totals.append(F.max_by(source, F.when(source.isNotNull(), place)).alias(f"_tot_{n}"))
         else:
             totals.append(_MERGE[k][0](source).alias(f"_tot_{n}"))

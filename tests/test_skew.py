@@ -96,3 +96,32 @@ def test_hot_keys_are_counted_once(tiny_slices, rows):
     out = skew.numbered(df, ["k"], ["t", "id"])
     assert skew._answers(out) is skew._answers(df)
     assert {r["k"] for r in skew.hot_keys(out, ["k"])} >= {0}
+
+
+def test_texts_with_a_common_beginning_keep_their_order(spark):
+    spark.conf.set("tablemill.rowsPerSlice", "500")
+    rows = spark.range(4000).select(F.lit(1).alias("k"), F.format_string("Customer#%09d", "id").alias("name"), (-F.col("id")).alias("o"))
+    got = skew.numbered(rows, ["k"], ["name", "o"], "n").collect()
+    spark.conf.unset("tablemill.rowsPerSlice")
+    assert sorted((r["name"], r["n"]) for r in got) == [(f"Customer#{i:09d}", i + 1) for i in range(4000)]
+
+
+def test_last_with_falling_nullable_order(spark):
+    rows = spark.range(3000).select(F.lit(1).alias("k"), "id", F.when(F.col("id") % 3 > 0, F.col("id") * 7 % 1000).alias("t"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("v"))
+    plain = {r["id"]: r["x"] for r in skew.running(rows, ["k"], ["-t", "-id"], {"x": ("last", F.col("v"))}).collect()}
+    spark.conf.set("tablemill.rowsPerSlice", "300")
+    other = rows.withColumn("again", F.lit(1))
+    sliced = {r["id"]: r["x"] for r in skew.running(other, ["k"], ["-t", "-id"], {"x": ("last", F.col("v"))}).collect()}
+    spark.conf.unset("tablemill.rowsPerSlice")
+    assert sliced == plain
+
+
+def test_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from tablemill.session import shared_folder
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError):
+        shared_folder(cluster)
+    assert shared_folder(spark)
