@@ -204,7 +204,9 @@ def viterbi(parts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 def label(texts: list[str], model: Model, penalty: float = PENALTY) -> list[list[tuple[int, int, int, int]]]:
     """Spans (start, end, language, letters) of each text, neighbours of one language joined."""
-    scores, starts, ends, scripts_known, doc = [], [], [], [], []
+    if not model.langs:
+        return [[] for _ in texts]
+    scores, starts, ends, doc = [], [], [], []
     group, index, held = [], [], 0
 
     def score_group() -> None:
@@ -227,7 +229,7 @@ def label(texts: list[str], model: Model, penalty: float = PENALTY) -> list[list
                 score_group()
     score_group()
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    if not scores or not model.langs:
+    if not scores:
         return out
     score, start, end, of = np.concatenate(scores), np.concatenate(starts), np.concatenate(ends), np.concatenate(doc)
     best, stays = constant_path(score, of, len(texts), penalty)
