@@ -65,10 +65,11 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, salt:
     and their group row is repeated for each salt. The list of hot keys cannot exceed 1 / HOT_SHARE rows,
     which is why it may be broadcast.
     """
-    total = groups.agg(F.sum(count)).first()[0] or 0
+    total, largest = groups.agg(F.sum(count), F.max(count)).first()
+    total = total or 0
     limit = max(HOT_ROWS, int(total * HOT_SHARE) + 1)
     hot = groups.filter(F.col(count) > limit).select(F.col(key), F.ceil(F.col(count) / limit).cast("int").alias("__cuts"))
-    if not total or hot.isEmpty():
+    if not total or largest <= limit:
         return rows.join(groups.drop(count), key, how)
     cuts = F.coalesce("__cuts", F.lit(1))
     salted = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(*salt), cuts).cast("int")).drop("__cuts")
