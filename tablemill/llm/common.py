@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 0.001
 #: A key with fewer rows than this is never spread.
 HOT_ROWS = 2000
+#: Once so few edges are left between what was joined, one task joins the rest; a round costs more than that.
+LAST_EDGES = 4096
 
 
 class Scratch:
@@ -78,12 +81,30 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, count: str, salt:
     return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 
+def join_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The smallest member of the component of every node of a few edges."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for pdf in batches:
+        for x, y in zip(pdf["a"], pdf["b"]):
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"label": list(up), "next": [root(x) for x in up]})
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Smallest member of the connected component of every node that an edge names: ``node``, ``component``.
 
     Every round each node joins the neighbour (or itself) with the smallest hash, and the edges are drawn
     between what remains; a random order makes the number of rounds logarithmic even on long chains. Edges
-    of a hub are spread over tasks. Nothing is collected but the count of remaining edges.
+    of a hub are spread over tasks. At most ``LAST_EDGES`` remaining edges are joined in one step at the end.
+    Nothing is collected but the count of remaining edges.
     """
     scratch = Scratch(edges.sparkSession)
     left = scratch.settle(
@@ -91,11 +112,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     labels = None
     turn = 0
-    while not left.isEmpty():
-        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        both = left.union(left.select("b", "a"))
-        best = both.groupBy(F.col("a").alias("label")).agg(F.min(order("b")).alias("m"), F.count("*").alias("n"))
-        best = best.select("label", F.least("m", order("label"))["id"].alias("next"), "n")
+    edges_left = left.count()
+    while edges_left:
+        if edges_left <= LAST_EDGES:
+            kind = left.schema["a"].dataType.simpleString()
+            best = left.coalesce(1).mapInPandas(join_all, f"label {kind}, next {kind}").withColumn("n", F.lit(1))
+        else:
+            order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+            both = left.union(left.select("b", "a"))
+            best = both.groupBy(F.col("a").alias("label")).agg(F.min(order("b")).alias("m"), F.count("*").alias("n"))
+            best = best.select("label", F.least("m", order("label"))["id"].alias("next"), "n")
         step = scratch.settle(best, "step")
         if labels is None:
             new_labels = scratch.settle(step.select(F.col("label").alias("node"), F.col("next").alias("label")), "labels")
@@ -106,12 +132,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             new_labels = scratch.settle(moved.select("node", F.coalesce("next", "label").alias("label")), "labels")
             scratch.drop(labels)
         labels = new_labels
+        if edges_left <= LAST_EDGES:
+            scratch.drop(step)
+            break
         ends = spread_join(left.withColumnRenamed("a", "label"), step, "label", "n", ["b"]).select(F.col("next").alias("x"), F.col("b").alias("label"))
         ends = spread_join(ends, step, "label", "n", ["x"]).select("x", F.col("next").alias("y"))
         rest = ends.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         after = scratch.settle(rest, "links")
         scratch.drop(left, step)
-        left = after
+        left, edges_left = after, after.count()
         turn += 1
     scratch.drop(left)
     if labels is None:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemill.llm.common import HOT_ROWS, HOT_SHARE, Scratch, components, spread_join
@@ -130,44 +130,49 @@ def signatures(tokens: np.ndarray, band: Band) -> np.ndarray:
     return scramble(sums[keep]) ^ scramble(name[keep])
 
 
-def sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``key``, the size of each set and a digest of it; 32 hexadecimal digits tell different sets apart."""
+def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """``id``, the size ``n`` of each set, a digest of it and its signatures.
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [shingles(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in found], "digest": [hashlib.md5(s.tobytes()).hexdigest() for s in found]})
-
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(measure, "id long, n long, digest string")
-
-
-def index(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(sig, id, own): signatures of every set in its own band, and in the band below as a partner of smaller sets."""
+    32 hexadecimal digits tell different sets apart. ``own`` are the signatures in the set's own band, ``other`` those
+    in the band below, as a partner of smaller sets.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(percent)
+        nothing = np.zeros(0, np.int64)
         for pdf in batches:
-            ids, sigs, owns, held = [], [], [], 0
+            rows, held = [], 0
             for i, t in zip(pdf["id"], pdf["text"]):
                 tokens = shingles(t, words)
-                if not len(tokens):
-                    continue
-                band = bands.of(len(tokens))
-                # the smallest partner decides whether the band below is needed
-                for b, own in [(band, True), *([(bands.at(band.number - 1), False)] if band.number and bands.at(band.number - 1).high * 100 >= percent * len(tokens) else [])]:
-                    s = signatures(tokens, b)
-                    ids.append(np.full(len(s), i, np.int64))
-                    sigs.append(s.view(np.int64))
-                    owns.append(np.full(len(s), own))
-                    held += len(s)
+                own = other = nothing
+                if len(tokens):
+                    band = bands.of(len(tokens))
+                    own = signatures(tokens, band).view(np.int64)
+                    # the smallest partner decides whether the band below is needed
+                    if band.number and bands.at(band.number - 1).high * 100 >= percent * len(tokens):
+                        other = signatures(tokens, bands.at(band.number - 1)).view(np.int64)
+                rows.append((i, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest(), own, other))
+                held += len(own) + len(other)
                 if held > BATCH:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids), "own": np.concatenate(owns)})
-                    ids, sigs, owns, held = [], [], [], 0
-            if ids:
-                yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids), "own": np.concatenate(owns)})
+                    yield frame(rows)
+                    rows, held = [], 0
+            if rows:
+                yield frame(rows)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["id", "n", "digest", "own", "other"]).astype({"id": "Int64"})
+
+    named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    return named.mapInPandas(sign, "id long, n long, digest string, own array<long>, other array<long>")
+
+
+def index(found: DataFrame) -> DataFrame:
+    """(sig, id, own): one row for each signature of ``sets``."""
+
+    def named(column: str) -> Column:
+        return F.transform(column, lambda s: F.struct(s.alias("sig"), F.lit(column == "own").alias("own")))
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null and text is not null")
-    return rows.mapInPandas(sign, "sig long, id long, own boolean")
+    return found.select("id", F.explode(F.concat(named("own"), named("other"))).alias("s")).select("s.sig", "id", "s.own")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
@@ -210,32 +215,32 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    meta = scratch.settle(sets(docs, key, text, words), "sets")
+    signed = scratch.settle(sets(docs, key, text, words, percent), "sets")
+    meta = signed.select("id", "n", "digest")
     sizes = meta.groupBy("id").agg(F.max("n").alias("n_shingles"))
     classes = meta.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("n"))
     classes = scratch.settle(classes.filter("n > 1"), "classes")
-    member = spread_join(meta.filter("n > 0").select("id", "digest"), classes, "digest", "n", ["id"]).select("id", "class").distinct()
-    member = scratch.settle(member, "member")
+    member = spread_join(meta.filter("n > 0 and id is not null").select("id", "digest"), classes, "digest", "n", ["id"]).filter("id <> class")
+    member = scratch.settle(member.distinct(), "member")
 
-    rows = index(docs, key, text, words, percent)
-    total = docs.count()
+    single = signed.filter("n > 0 and id is not null").join(member.select("id", "digest"), ["id", "digest"], "left_anti")
+    total = meta.count()
     limit = max(HOT_ROWS, int(total * HOT_SHARE) + 1)
     # a signature of a large group is hot; a sample shows which, and its rows are spread over parts by id. The list
     # has at most (signatures of a document) / HOT_SHARE rows, and only the balance of tasks depends on it.
-    few = docs.filter(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0)
-    hot = index(few, key, text, words, percent).groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE > limit)
+    few = index(signed.filter((F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0) & F.col("id").isNotNull()))
+    hot = few.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE > limit)
     hot = scratch.settle(hot.select("sig", F.ceil(F.col("n") * SAMPLE / limit).cast("int").alias("cuts")), "hot")
-    rows = rows.join(F.broadcast(hot), "sig", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("cuts", F.lit(1))))
+    rows = index(single).join(F.broadcast(hot), "sig", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("cuts", F.lit(1))))
     whole = Window.partitionBy("sig", "part")
-    counted = rows.withColumn("c", F.count("*").over(whole)).withColumn("o", F.max("own").over(whole))
-    shared = counted.filter("(c > 1 and o) or cuts is not null").select("sig", "id", "own")
-    shared = scratch.settle(shared, "shared")
-    shared = scratch.settle(
-        shared.join(member, "id", "left").select("sig", F.coalesce("class", "id").alias("id"), "own").groupBy("sig", "id").agg(F.max("own").alias("own")), "signed"
-    )
-    lead = shared.groupBy("sig").agg(F.min(F.when(F.col("own"), F.col("id"))).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    lead = scratch.settle(lead, "lead")
-    first = spread_join(shared, lead, "sig", "n", ["id"]).filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    least_own = F.min(F.when(F.col("own"), F.col("id")))
+    rows = rows.withColumn("c", F.count("*").over(whole)).withColumn("lead", least_own.over(whole))
+    rows = rows.filter("(c > 1 and lead is not null) or cuts is not null").select("sig", "id", "own", "lead", F.col("cuts").isNotNull().alias("parted"))
+    shared = scratch.settle(rows, "shared")
+    # the parts of a hot signature have a lead each; the list of hot signatures bounds this table
+    leads = scratch.settle(shared.filter("parted").groupBy("sig").agg(least_own.alias("first")), "leads")
+    first = shared.join(F.broadcast(leads), "sig", "left").withColumn("lead", F.when(F.col("parted"), F.col("first")).otherwise(F.col("lead")))
+    first = first.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = scratch.settle(first, "pairs")
     links = scratch.settle(verified(first, docs, key, text, words, percent), "links")
     joined = scratch.settle(components(links, "a", "b"), "joined")
@@ -248,7 +253,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     rest = scratch.settle(rest, "pairs")
     more = scratch.settle(verified(rest, docs, key, text, words, percent), "links")
-    found = links.union(more).union(member.filter("id <> class").select(F.col("class").alias("a"), F.col("id").alias("b")))
+    found = links.union(more).union(member.select(F.col("class").alias("a"), F.col("id").alias("b")))
     final = components(found, "a", "b")
     out = sizes.join(final.withColumnRenamed("node", "id"), "id", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
