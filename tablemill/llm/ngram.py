@@ -22,6 +22,8 @@ THIN = 2
 #: Bands whose pairs differ in at most so many shingles use one-deletion neighbourhoods: there, segments that must be
 #: equal would hold one or two shingles each and cost more pairs than the further signatures cost rows.
 DELETIONS = 9
+#: Bits of the parity map of a set, in longs of 64.
+LONGS = 8
 #: Signatures handed over at a time.
 BATCH = 200_000
 #: One document in so many is looked at to find hot signatures.
@@ -51,6 +53,15 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(total)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * ``LONGS`` buckets holds an odd number of the shingles, as longs.
+
+    A shingle in one of two sets alone turns one bit, so their maps differ in no more bits than the sets in shingles.
+    """
+    odd = np.bincount((scramble(tokens) % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 @dataclass(frozen=True)
 class Band:
     """How sets of sizes ``low`` to ``high`` are cut against equal or larger ones."""
@@ -131,7 +142,7 @@ def signatures(tokens: np.ndarray, band: Band) -> np.ndarray:
 
 
 def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """``id``, the size ``n`` of each set, a digest of it and its signatures.
+    """``id``, the size ``n`` of each set, a digest of it, its ``parities`` and its signatures.
 
     32 hexadecimal digits tell different sets apart. ``own`` are the signatures in the set's own band, ``other`` those
     in the band below, as a partner of smaller sets.
@@ -151,7 +162,7 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
                     # the smallest partner decides whether the band below is needed
                     if band.number and bands.at(band.number - 1).high * 100 >= percent * len(tokens):
                         other = signatures(tokens, bands.at(band.number - 1)).view(np.int64)
-                rows.append((i, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest(), own, other))
+                rows.append((i, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest(), parities(tokens), own, other))
                 held += len(own) + len(other)
                 if held > BATCH:
                     yield frame(rows)
@@ -160,10 +171,10 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
                 yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["id", "n", "digest", "own", "other"]).astype({"id": "Int64"})
+        return pd.DataFrame(rows, columns=["id", "n", "digest", "bits", "own", "other"]).astype({"id": "Int64"})
 
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return named.mapInPandas(sign, "id long, n long, digest string, own array<long>, other array<long>")
+    return named.mapInPandas(sign, "id long, n long, digest string, bits array<long>, own array<long>, other array<long>")
 
 
 def index(found: DataFrame) -> DataFrame:
@@ -175,6 +186,24 @@ def index(found: DataFrame) -> DataFrame:
     return found.select("id", F.explode(F.concat(named("own"), named("other"))).alias("s")).select("s.sig", "id", "s.own")
 
 
+def plausible(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity maps do not rule out; no similar pair is lost.
+
+    Pairs link when (100 + percent) * |a xor b| <= (100 - percent) * (|a| + |b|), and neither the difference of the
+    sizes nor that of the maps exceeds |a xor b|. Ids with several different texts are never ruled out.
+    """
+    one = F.min("digest") == F.max("digest")
+    maps = found.groupBy("id").agg(F.min("n").alias("size"), F.when(one, F.any_value("bits")).alias("bits"))
+    for side in ("a", "b"):
+        uses = pairs.groupBy(side).agg(F.count("*").alias("uses"))
+        named = maps.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("bits").alias(f"m{side}"))
+        pairs = spread_join(pairs, named.join(uses, side), side, "uses", ["b" if side == "a" else "a"])
+    turned = sum((F.bit_count(F.col("ma")[k].bitwiseXOR(F.col("mb")[k])) for k in range(LONGS)), F.lit(0))
+    differ = F.greatest(turned, F.abs(F.col("na") - F.col("nb")))
+    fits = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
+    return pairs.filter(F.col("ma").isNull() | F.col("mb").isNull() | fits).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by exact intersection."""
     scratch = Scratch(docs.sparkSession)
@@ -242,7 +271,9 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = shared.join(F.broadcast(leads), "sig", "left").withColumn("lead", F.when(F.col("parted"), F.col("first")).otherwise(F.col("lead")))
     first = first.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = scratch.settle(first, "pairs")
-    links = scratch.settle(verified(first, docs, key, text, words, percent), "links")
+    maps = signed.filter("id is not null").select("id", "n", "digest", "bits")
+    likely = scratch.settle(plausible(first, maps, percent), "likely")
+    links = scratch.settle(verified(likely, docs, key, text, words, percent), "links")
     joined = scratch.settle(components(links, "a", "b"), "joined")
 
     placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
@@ -252,7 +283,8 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rest = one.join(two, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.own") | F.col("q.own")))
     rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     rest = scratch.settle(rest, "pairs")
-    more = scratch.settle(verified(rest, docs, key, text, words, percent), "links")
+    likely = scratch.settle(plausible(rest, maps, percent), "likely")
+    more = scratch.settle(verified(likely, docs, key, text, words, percent), "links")
     found = links.union(more).union(member.select(F.col("class").alias("a"), F.col("id").alias("b")))
     final = components(found, "a", "b")
     out = sizes.join(final.withColumnRenamed("node", "id"), "id", "left")

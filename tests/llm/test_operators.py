@@ -271,3 +271,12 @@ def test_pipeline_stages(spark, odd):
     clean = corpus_pipeline.decontaminate(spark, odd, FOLDER)
     assert clean.count() == 8 and clean.columns == odd.columns
     assert corpus_pipeline.near_duplicates(spark, odd, FOLDER).select("doc_id").collect().count((4,)) == 0
+
+
+def test_parity_maps_rule_out_no_link(spark):
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, rng.integers(1, 90)).astype(np.uint64)]))
+        maps = [ngram.parities(s) for s in (a, b)]
+        assert sum(int(x).bit_count() for x in (maps[0] ^ maps[1]).view(np.uint64)) <= len(np.setxor1d(a, b))
