@@ -23,7 +23,7 @@ THIN = 2
 #: equal would hold one or two shingles each and cost more pairs than the further signatures cost rows.
 DELETIONS = 9
 #: Bits of the parity map of a set, in longs of 64.
-LONGS = 8
+LONGS = 32
 #: Signatures handed over at a time.
 BATCH = 200_000
 #: One document in so many is looked at to find hot signatures.
@@ -226,7 +226,10 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     half = spread_join(pairs, second.join(rights, "b"), "b", "n", ["a"])
     both = spread_join(half, ready, "a", "n", ["b"])
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    links = both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    links = scratch.settle(links, "links")
+    scratch.drop(use, found)
+    return links
 
 
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -245,7 +248,8 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark)
     signed = scratch.settle(sets(docs, key, text, words, percent), "sets")
-    meta = signed.select("id", "n", "digest")
+    maps = scratch.settle(signed.select("id", "n", "digest", "bits"), "maps")
+    meta = maps.select("id", "n", "digest")
     sizes = meta.groupBy("id").agg(F.max("n").alias("n_shingles"))
     classes = meta.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("n"))
     classes = scratch.settle(classes.filter("n > 1"), "classes")
@@ -266,25 +270,30 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = rows.withColumn("c", F.count("*").over(whole)).withColumn("lead", least_own.over(whole))
     rows = rows.filter("(c > 1 and lead is not null) or cuts is not null").select("sig", "id", "own", "lead", F.col("cuts").isNotNull().alias("parted"))
     shared = scratch.settle(rows, "shared")
+    scratch.drop(signed, classes, hot)
     # the parts of a hot signature have a lead each; the list of hot signatures bounds this table
     leads = scratch.settle(shared.filter("parted").groupBy("sig").agg(least_own.alias("first")), "leads")
     first = shared.join(F.broadcast(leads), "sig", "left").withColumn("lead", F.when(F.col("parted"), F.col("first")).otherwise(F.col("lead")))
     first = first.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = scratch.settle(first, "pairs")
-    maps = signed.filter("id is not null").select("id", "n", "digest", "bits")
-    likely = scratch.settle(plausible(first, maps, percent), "likely")
-    links = scratch.settle(verified(likely, docs, key, text, words, percent), "links")
+    maps_of = maps.filter("id is not null")
+    likely = scratch.settle(plausible(first, maps_of, percent), "likely")
+    links = verified(likely, docs, key, text, words, percent)
+    scratch.drop(likely, leads)
     joined = scratch.settle(components(links, "a", "b"), "joined")
 
     placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     open_ = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("sig")
     placed = scratch.settle(placed.join(open_, "sig", "left_semi").select("sig", "id", "own", "comp"), "open")
+    scratch.drop(shared)
     one, two = placed.alias("p"), placed.alias("q")
     rest = one.join(two, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.own") | F.col("q.own")))
     rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     rest = scratch.settle(rest, "pairs")
-    likely = scratch.settle(plausible(rest, maps, percent), "likely")
-    more = scratch.settle(verified(likely, docs, key, text, words, percent), "links")
+    scratch.drop(placed, first, joined)
+    likely = scratch.settle(plausible(rest, maps_of, percent), "likely")
+    more = verified(likely, docs, key, text, words, percent)
+    scratch.drop(rest, likely)
     found = links.union(more).union(member.select(F.col("class").alias("a"), F.col("id").alias("b")))
     final = components(found, "a", "b")
     out = sizes.join(final.withColumnRenamed("node", "id"), "id", "left")
