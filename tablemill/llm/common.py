@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -20,6 +21,24 @@ HOT_ROWS = 2000
 LAST_EDGES = 4096
 
 
+#: Spark setting: a query removes the files of its own shuffles when it ends, not when its plan is garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries inside leave no shuffle files; the caller's setting is put back."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 class Scratch:
     """Tables written to the shared folder during one call; ``drop`` removes those no longer needed."""
 
@@ -30,7 +49,8 @@ class Scratch:
     def settle(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: cuts the lineage, survives a lost executor."""
         path = fresh_folder(self.spark, name)
-        df.write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path)
         self.paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

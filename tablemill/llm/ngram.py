@@ -22,7 +22,7 @@ THIN = 2
 #: Bands whose pairs differ in at most so many shingles use one-deletion neighbourhoods: there, segments that must be
 #: equal would hold one or two shingles each and cost more pairs than the further signatures cost rows.
 DELETIONS = 9
-#: Bits of the parity map of a set, in longs of 64.
+#: Most bits of the parity map of a set, in longs of 64; smaller bands take about as many bits as shingles.
 LONGS = 32
 #: Signatures handed over at a time.
 BATCH = 200_000
@@ -53,15 +53,6 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(total)
 
 
-def parities(tokens: np.ndarray) -> np.ndarray:
-    """Whether each of 64 * ``LONGS`` buckets holds an odd number of the shingles, as longs.
-
-    A shingle in one of two sets alone turns one bit, so their maps differ in no more bits than the sets in shingles.
-    """
-    odd = np.bincount((scramble(tokens) % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
 @dataclass(frozen=True)
 class Band:
     """How sets of sizes ``low`` to ``high`` are cut against equal or larger ones."""
@@ -92,6 +83,16 @@ def band_of(size: int, percent: int) -> Band:
     return Band(number, low, high, differ, differ + 1 + spare, False, spare)
 
 
+def parities(tokens: np.ndarray, band: Band) -> np.ndarray:
+    """Whether each of the buckets of a band holds an odd number of the shingles, as longs.
+
+    A shingle in one of two sets alone turns one bit, so their maps differ in no more bits than the sets in shingles.
+    """
+    bits = 64 * min(LONGS, 1 << max(0, math.ceil(band.high / 64) - 1).bit_length())
+    odd = np.bincount((scramble(tokens) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class Bands:
     """Bands by number, made as they are needed."""
 
@@ -142,10 +143,10 @@ def signatures(tokens: np.ndarray, band: Band) -> np.ndarray:
 
 
 def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """``id``, the size ``n`` of each set, a digest of it, its ``parities`` and its signatures.
+    """``id``, the size ``n`` of each set, a digest of it, its ``band``, its ``parities`` and its signatures.
 
     32 hexadecimal digits tell different sets apart. ``own`` are the signatures in the set's own band, ``other`` those
-    in the band below, as a partner of smaller sets.
+    in the band below, as a partner of smaller sets; ``bits`` and ``lower`` are the parity maps for the two.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,14 +156,17 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
             rows, held = [], 0
             for i, t in zip(pdf["id"], pdf["text"]):
                 tokens = shingles(t, words)
-                own = other = nothing
+                own = other = bits = lower = nothing
+                number = -1
                 if len(tokens):
                     band = bands.of(len(tokens))
-                    own = signatures(tokens, band).view(np.int64)
+                    number = band.number
+                    own, bits = signatures(tokens, band).view(np.int64), parities(tokens, band)
                     # the smallest partner decides whether the band below is needed
-                    if band.number and bands.at(band.number - 1).high * 100 >= percent * len(tokens):
-                        other = signatures(tokens, bands.at(band.number - 1)).view(np.int64)
-                rows.append((i, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest(), parities(tokens), own, other))
+                    if number and bands.at(number - 1).high * 100 >= percent * len(tokens):
+                        below = bands.at(number - 1)
+                        other, lower = signatures(tokens, below).view(np.int64), parities(tokens, below)
+                rows.append((i, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest(), number, bits, lower, own, other))
                 held += len(own) + len(other)
                 if held > BATCH:
                     yield frame(rows)
@@ -171,10 +175,11 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
                 yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["id", "n", "digest", "bits", "own", "other"]).astype({"id": "Int64"})
+        return pd.DataFrame(rows, columns=["id", "n", "digest", "band", "bits", "lower", "own", "other"]).astype({"id": "Int64"})
 
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return named.mapInPandas(sign, "id long, n long, digest string, bits array<long>, own array<long>, other array<long>")
+    longs = ", ".join(f"{c} array<long>" for c in ("bits", "lower", "own", "other"))
+    return named.mapInPandas(sign, f"id long, n long, digest string, band int, {longs}")
 
 
 def index(found: DataFrame) -> DataFrame:
@@ -186,22 +191,33 @@ def index(found: DataFrame) -> DataFrame:
     return found.select("id", F.explode(F.concat(named("own"), named("other"))).alias("s")).select("s.sig", "id", "s.own")
 
 
-def plausible(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and parity maps do not rule out; no similar pair is lost.
+def by_id(maps: DataFrame) -> DataFrame:
+    """``n``, ``band`` and parity maps of each id; the maps are null when several different texts bear the id."""
+    one = F.min("digest") == F.max("digest")
+    arrays = [F.when(one, F.any_value(c)).alias(c) for c in ("bits", "lower")]
+    return maps.groupBy("id").agg(F.min("n").alias("n"), F.min("band").alias("band"), *arrays)
+
+
+def fits(na: Column, nb: Column, ma: Column, mb: Column, percent: int) -> Column:
+    """Whether sizes and the parity maps of one band leave room for a link; never false for a similar pair.
 
     Pairs link when (100 + percent) * |a xor b| <= (100 - percent) * (|a| + |b|), and neither the difference of the
-    sizes nor that of the maps exceeds |a xor b|. Ids with several different texts are never ruled out.
+    sizes nor that of the maps exceeds |a xor b|. A null map rules out nothing.
     """
-    one = F.min("digest") == F.max("digest")
-    maps = found.groupBy("id").agg(F.min("n").alias("size"), F.when(one, F.any_value("bits")).alias("bits"))
+    room = (100 - percent) * (na + nb)
+    turned = F.aggregate(F.zip_with(ma, mb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return ma.isNull() | mb.isNull() | (((100 + percent) * F.abs(na - nb) <= room) & ((100 + percent) * F.coalesce(turned, F.lit(0)) <= room))
+
+
+def plausible(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that fit; of sets in neighbouring bands the larger is seen as one of the lower band."""
     for side in ("a", "b"):
         uses = pairs.groupBy(side).agg(F.count("*").alias("uses"))
-        named = maps.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("bits").alias(f"m{side}"))
+        named = found.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "band", "bits", "lower")])
         pairs = spread_join(pairs, named.join(uses, side), side, "uses", ["b" if side == "a" else "a"])
-    turned = sum((F.bit_count(F.col("ma")[k].bitwiseXOR(F.col("mb")[k])) for k in range(LONGS)), F.lit(0))
-    differ = F.greatest(turned, F.abs(F.col("na") - F.col("nb")))
-    fits = (100 + percent) * differ <= (100 - percent) * (F.col("na") + F.col("nb"))
-    return pairs.filter(F.col("ma").isNull() | F.col("mb").isNull() | fits).select("a", "b")
+    seen = [F.when(F.col(f"band_{x}") > F.col(f"band_{y}"), F.col(f"lower_{x}")).otherwise(F.col(f"bits_{x}")).alias(f"m_{x}") for x, y in ("ab", "ba")]
+    pairs = pairs.select("a", "b", "n_a", "n_b", *seen)
+    return pairs.filter(fits(*(F.col(c) for c in ("n_a", "n_b", "m_a", "m_b")), percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
@@ -248,7 +264,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     scratch = Scratch(spark)
     signed = scratch.settle(sets(docs, key, text, words, percent), "sets")
-    maps = scratch.settle(signed.select("id", "n", "digest", "bits"), "maps")
+    maps = scratch.settle(signed.select("id", "n", "digest", "band", "bits", "lower"), "maps")
     meta = maps.select("id", "n", "digest")
     sizes = meta.groupBy("id").agg(F.max("n").alias("n_shingles"))
     classes = meta.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("n"))
@@ -276,7 +292,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = shared.join(F.broadcast(leads), "sig", "left").withColumn("lead", F.when(F.col("parted"), F.col("first")).otherwise(F.col("lead")))
     first = first.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = scratch.settle(first, "pairs")
-    maps_of = maps.filter("id is not null")
+    maps_of = by_id(maps.filter("n > 0 and id is not null"))
     likely = scratch.settle(plausible(first, maps_of, percent), "likely")
     links = verified(likely, docs, key, text, words, percent)
     scratch.drop(likely, leads)
@@ -286,14 +302,17 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     open_ = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("sig")
     placed = scratch.settle(placed.join(open_, "sig", "left_semi").select("sig", "id", "own", "comp"), "open")
     scratch.drop(shared)
-    one, two = placed.alias("p"), placed.alias("q")
+    # a signature stands for one band, so its rows carry the maps of that band and pairs are ruled out where they meet
+    seen = F.when(F.col("own"), F.col("bits")).otherwise(F.col("lower")).alias("m")
+    mapped = placed.join(maps_of, "id").select("sig", "id", "own", "comp", "n", seen)
+    one, two = mapped.alias("p"), mapped.alias("q")
     rest = one.join(two, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.own") | F.col("q.own")))
+    rest = rest.filter(fits(*(F.col(c) for c in ("p.n", "q.n", "p.m", "q.m")), percent))
     rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     rest = scratch.settle(rest, "pairs")
     scratch.drop(placed, first, joined)
-    likely = scratch.settle(plausible(rest, maps_of, percent), "likely")
-    more = verified(likely, docs, key, text, words, percent)
-    scratch.drop(rest, likely)
+    more = verified(rest, docs, key, text, words, percent)
+    scratch.drop(rest)
     found = links.union(more).union(member.select(F.col("class").alias("a"), F.col("id").alias("b")))
     final = components(found, "a", "b")
     out = sizes.join(final.withColumnRenamed("node", "id"), "id", "left")
