@@ -22,8 +22,10 @@ THIN = 2
 #: Bands whose pairs differ in at most so many shingles use one-deletion neighbourhoods: there, segments that must be
 #: equal would hold one or two shingles each and cost more pairs than the further signatures cost rows.
 DELETIONS = 9
-#: Most bits of the parity map of a set, in longs of 64; smaller bands take about as many bits as shingles.
+#: Most bits of the narrow parity map of a set, in longs of 64. Wide maps take about as many bits as the set has shingles.
 LONGS = 32
+#: Columns of the parity maps in the set's own band and in the band below.
+NARROW, WIDE = ("bits", "lower"), ("wide", "wide_lower")
 #: Signatures handed over at a time.
 BATCH = 200_000
 #: One document in so many is looked at to find hot signatures.
@@ -83,14 +85,16 @@ def band_of(size: int, percent: int) -> Band:
     return Band(number, low, high, differ, differ + 1 + spare, False, spare)
 
 
-def parities(tokens: np.ndarray, band: Band) -> np.ndarray:
-    """Whether each of the buckets of a band holds an odd number of the shingles, as longs.
+def parities(tokens: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of the buckets of a band holds an odd number of the shingles, as longs: a narrow and a wide map.
 
     A shingle in one of two sets alone turns one bit, so their maps differ in no more bits than the sets in shingles.
+    The wide map has the power of two next to the band's size; folded to ``LONGS`` longs it is the narrow one.
     """
-    bits = 64 * min(LONGS, 1 << max(0, math.ceil(band.high / 64) - 1).bit_length())
+    bits = 64 << max(0, math.ceil(band.high / 64) - 1).bit_length()
     odd = np.bincount((scramble(tokens) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    wide = np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return (np.bitwise_xor.reduce(wide.reshape(-1, LONGS)) if len(wide) > LONGS else wide), wide
 
 
 class Bands:
@@ -146,7 +150,7 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
     """``id``, the size ``n`` of each set, a digest of it, its ``band``, its ``parities`` and its signatures.
 
     32 hexadecimal digits tell different sets apart. ``own`` are the signatures in the set's own band, ``other`` those
-    in the band below, as a partner of smaller sets; ``bits`` and ``lower`` are the parity maps for the two.
+    in the band below, as a partner of smaller sets; ``NARROW`` and ``WIDE`` are the parity maps for the two.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,17 +160,18 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
             rows, held = [], 0
             for i, t in zip(pdf["id"], pdf["text"]):
                 tokens = shingles(t, words)
-                own = other = bits = lower = nothing
+                own = other = nothing
+                maps = below_maps = (nothing, nothing)
                 number = -1
                 if len(tokens):
                     band = bands.of(len(tokens))
                     number = band.number
-                    own, bits = signatures(tokens, band).view(np.int64), parities(tokens, band)
+                    own, maps = signatures(tokens, band).view(np.int64), parities(tokens, band)
                     # the smallest partner decides whether the band below is needed
                     if number and bands.at(number - 1).high * 100 >= percent * len(tokens):
                         below = bands.at(number - 1)
-                        other, lower = signatures(tokens, below).view(np.int64), parities(tokens, below)
-                rows.append((i, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest(), number, bits, lower, own, other))
+                        other, below_maps = signatures(tokens, below).view(np.int64), parities(tokens, below)
+                rows.append((i, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest(), number, maps[0], below_maps[0], maps[1], below_maps[1], own, other))
                 held += len(own) + len(other)
                 if held > BATCH:
                     yield frame(rows)
@@ -175,10 +180,10 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
                 yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["id", "n", "digest", "band", "bits", "lower", "own", "other"]).astype({"id": "Int64"})
+        return pd.DataFrame(rows, columns=["id", "n", "digest", "band", *NARROW, *WIDE, "own", "other"]).astype({"id": "Int64"})
 
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    longs = ", ".join(f"{c} array<long>" for c in ("bits", "lower", "own", "other"))
+    longs = ", ".join(f"{c} array<long>" for c in (*NARROW, *WIDE, "own", "other"))
     return named.mapInPandas(sign, f"id long, n long, digest string, band int, {longs}")
 
 
@@ -194,7 +199,7 @@ def index(found: DataFrame) -> DataFrame:
 def by_id(maps: DataFrame) -> DataFrame:
     """``n``, ``band`` and parity maps of each id; the maps are null when several different texts bear the id."""
     one = F.min("digest") == F.max("digest")
-    arrays = [F.when(one, F.any_value(c)).alias(c) for c in ("bits", "lower")]
+    arrays = [F.when(one, F.any_value(c)).alias(c) for c in (*NARROW, *WIDE)]
     return maps.groupBy("id").agg(F.min("n").alias("n"), F.min("band").alias("band"), *arrays)
 
 
@@ -209,13 +214,14 @@ def fits(na: Column, nb: Column, ma: Column, mb: Column, percent: int) -> Column
     return ma.isNull() | mb.isNull() | (((100 + percent) * F.abs(na - nb) <= room) & ((100 + percent) * F.coalesce(turned, F.lit(0)) <= room))
 
 
-def plausible(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that fit; of sets in neighbouring bands the larger is seen as one of the lower band."""
+def plausible(pairs: DataFrame, found: DataFrame, percent: int, maps: tuple[str, str]) -> DataFrame:
+    """The pairs (a, b) that fit by ``maps``; of sets in neighbouring bands the larger is seen as one of the lower band."""
+    own, lower = maps
     for side in ("a", "b"):
         uses = pairs.groupBy(side).agg(F.count("*").alias("uses"))
-        named = found.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "band", "bits", "lower")])
+        named = found.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "band", own, lower)])
         pairs = spread_join(pairs, named.join(uses, side), side, "uses", ["b" if side == "a" else "a"])
-    seen = [F.when(F.col(f"band_{x}") > F.col(f"band_{y}"), F.col(f"lower_{x}")).otherwise(F.col(f"bits_{x}")).alias(f"m_{x}") for x, y in ("ab", "ba")]
+    seen = [F.when(F.col(f"band_{x}") > F.col(f"band_{y}"), F.col(f"{lower}_{x}")).otherwise(F.col(f"{own}_{x}")).alias(f"m_{x}") for x, y in ("ab", "ba")]
     pairs = pairs.select("a", "b", "n_a", "n_b", *seen)
     return pairs.filter(fits(*(F.col(c) for c in ("n_a", "n_b", "m_a", "m_b")), percent)).select("a", "b")
 
@@ -261,10 +267,20 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Documents without words (or null) have size 0 and link with nothing; a null id is a row of its own without
     component; an id that repeats is one document with the union of the links of its texts.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
+
+    def checked(pairs: DataFrame, maps_of: DataFrame, *rounds: tuple[str, str]) -> DataFrame:
+        likely = pairs
+        for columns in rounds:
+            before, likely = likely, scratch.settle(plausible(likely, maps_of, percent, columns), "likely")
+            if before is not pairs:
+                scratch.drop(before)
+        out = verified(likely, docs, key, text, words, percent)
+        scratch.drop(likely)
+        return out
+
     signed = scratch.settle(sets(docs, key, text, words, percent), "sets")
-    maps = scratch.settle(signed.select("id", "n", "digest", "band", "bits", "lower"), "maps")
+    maps = scratch.settle(signed.select("id", "n", "digest", "band", *NARROW, *WIDE), "maps")
     meta = maps.select("id", "n", "digest")
     sizes = meta.groupBy("id").agg(F.max("n").alias("n_shingles"))
     classes = meta.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("n"))
@@ -293,9 +309,8 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = first.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = scratch.settle(first, "pairs")
     maps_of = by_id(maps.filter("n > 0 and id is not null"))
-    likely = scratch.settle(plausible(first, maps_of, percent), "likely")
-    links = verified(likely, docs, key, text, words, percent)
-    scratch.drop(likely, leads)
+    links = checked(first, maps_of, NARROW, WIDE)
+    scratch.drop(leads)
     joined = scratch.settle(components(links, "a", "b"), "joined")
 
     placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
@@ -311,7 +326,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     rest = scratch.settle(rest, "pairs")
     scratch.drop(placed, first, joined)
-    more = verified(rest, docs, key, text, words, percent)
+    more = checked(rest, maps_of, WIDE)
     scratch.drop(rest)
     found = links.union(more).union(member.select(F.col("class").alias("a"), F.col("id").alias("b")))
     final = components(found, "a", "b")
