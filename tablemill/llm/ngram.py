@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -28,6 +29,8 @@ LONGS = 32
 NARROW, WIDE = ("bits", "lower"), ("wide", "wide_lower")
 #: Signatures handed over at a time.
 BATCH = 200_000
+#: Signatures are matched in so many rounds, by hash: the shuffle of one round is gone before the next one's is written.
+ROUNDS = 3
 #: One document in so many is looked at to find hot signatures.
 SAMPLE = 64
 
@@ -296,12 +299,16 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     few = index(signed.filter((F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0) & F.col("id").isNotNull()))
     hot = few.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE > limit)
     hot = scratch.settle(hot.select("sig", F.ceil(F.col("n") * SAMPLE / limit).cast("int").alias("cuts")), "hot")
-    rows = index(single).join(F.broadcast(hot), "sig", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("cuts", F.lit(1))))
     whole = Window.partitionBy("sig", "part")
     least_own = F.min(F.when(F.col("own"), F.col("id")))
-    rows = rows.withColumn("c", F.count("*").over(whole)).withColumn("lead", least_own.over(whole))
-    rows = rows.filter("(c > 1 and lead is not null) or cuts is not null").select("sig", "id", "own", "lead", F.col("cuts").isNotNull().alias("parted"))
-    shared = scratch.settle(rows, "shared")
+    matched = []
+    for turn in range(ROUNDS):
+        rows = index(single).filter(F.pmod("sig", F.lit(ROUNDS)) == turn).join(F.broadcast(hot), "sig", "left")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("cuts", F.lit(1))))
+        rows = rows.withColumn("c", F.count("*").over(whole)).withColumn("lead", least_own.over(whole))
+        rows = rows.filter("(c > 1 and lead is not null) or cuts is not null")
+        matched.append(scratch.settle(rows.select("sig", "id", "own", "lead", F.col("cuts").isNotNull().alias("parted")), "shared"))
+    shared = functools.reduce(DataFrame.union, matched)
     scratch.drop(signed, classes, hot)
     # the parts of a hot signature have a lead each; the list of hot signatures bounds this table
     leads = scratch.settle(shared.filter("parted").groupBy("sig").agg(least_own.alias("first")), "leads")
@@ -316,7 +323,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     open_ = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("sig")
     placed = scratch.settle(placed.join(open_, "sig", "left_semi").select("sig", "id", "own", "comp"), "open")
-    scratch.drop(shared)
+    scratch.drop(*matched)
     # a signature stands for one band, so its rows carry the maps of that band and pairs are ruled out where they meet
     seen = F.when(F.col("own"), F.col("bits")).otherwise(F.col("lower")).alias("m")
     mapped = placed.join(maps_of, "id").select("sig", "id", "own", "comp", "n", seen)
