@@ -1,32 +1,33 @@
-"""Toxicity by votes of the nearest labelled examples under exact TF-IDF cosine."""
+"""Toxicity by votes of the nearest labelled examples under the exact cosine of weighted TF-IDF over all their terms."""
 
 from __future__ import annotations
 
-import math
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import ahocorasick
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GAP = re.compile(r"[\W\d_]+")
 #: Labelled rows learned from, the first in a seeded order.
 EXAMPLES = 20_000
-#: Terms kept, those that tell the labels apart most surely.
-TERMS = 4096
-#: A term must set the labels apart by so many standard deviations, which leaves no room for chance terms.
+#: From so many standard deviations between the labels on a term has its full IDF weight, which leaves no room for chance.
 SURE = 5.0
-#: And at least by this share of what the surest term does, so that a group of copies that share a label adds no terms.
-SURE_SHARE = 0.25
-#: And the odds of label 1 with and without it must differ by this factor, or words of longer texts would be terms.
-ODDS = 4.0
+#: Below that its weight falls with this power, so that the many chance terms of a text do not drown the telling ones.
+DOUBT = 4
+#: But never under this share of the IDF weight: every term of the examples counts.
+LEAST = 1e-3
 NEIGHBOURS = 25
-#: Examples of a block of the index, whose largest weights bound its cosines.
-BLOCK = 128
+#: Cosines that differ by less than this are compared in double precision before one is passed over.
+SLACK = 1e-5
+#: Postings read in about the time that the whole cosine of one example takes.
+WORTH = 600
 #: Lengths of word beginnings that are terms besides whole words.
 BEGINNINGS = (4, 5, 6)
 
@@ -36,29 +37,31 @@ def words(text: str | None) -> str:
     return f" {GAP.sub(' ', (text or '').lower())} ".replace("  ", " ")
 
 
+def parts(word: str) -> list[str]:
+    """Terms of a word: the whole word (" word ") and, if it is longer, its beginnings (" wor")."""
+    return [f" {word} ", *[f" {word[:n]}" for n in BEGINNINGS if len(word) > n]]
+
+
 def terms(text: str | None) -> set[str]:
-    """Whole words (" word ") and beginnings of longer words (" wor")."""
-    out = set()
-    for w in set(words(text).split()):
-        out.add(f" {w} ")
-        for n in BEGINNINGS:
-            if len(w) > n:
-                out.add(f" {w[:n]}")
-    return out
+    return {t for w in set(words(text).split()) for t in parts(w)}
 
 
 @dataclass
 class Index:
-    """Unit vectors of the examples as posting lists, in blocks with the largest weight of every term."""
+    """Unit vectors of the examples, by term for finding the nearest and by example for their cosines."""
 
     vocabulary: list[str]
-    idf: np.ndarray
+    idf: np.ndarray  # with the share of it that the term's certainty leaves
+    telling: np.ndarray  # whether a term has its full IDF weight
     labels: np.ndarray
     ids: np.ndarray
     at: np.ndarray  # postings: positions of examples, term after term
-    weight: np.ndarray  # postings: weights
-    cuts: np.ndarray  # terms x blocks + 1: where a term's postings of a block begin
-    tops: np.ndarray  # terms x blocks: largest weights
+    weight: np.ndarray  # postings: weights in single precision
+    cuts: np.ndarray  # terms x 2: where a term's postings begin and end
+    tops: np.ndarray  # largest weight of each term
+    term: np.ndarray  # vectors: term numbers, example after example
+    exact: np.ndarray  # vectors: weights in double precision
+    edges: np.ndarray  # where the vector of an example begins, and the end of the last
     empty: float  # share of label 1 among examples without terms
     prior: float
     curve: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
@@ -66,29 +69,37 @@ class Index:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the ``k`` nearest examples; ties go to the earlier one.
 
-        Blocks are opened by falling bound; once the bound is below the k-th cosine the rest cannot enter.
+        Terms are read by falling bound of what they can add. Once the rest can lift only few examples to the
+        k-th cosine so far, the whole cosines of these are taken; no other example can be among the nearest.
         """
-        bound = weight @ self.tops[term]
         examples = len(self.labels)
-        found = np.full(examples, -1.0)
-        opened, worst = 0, -1.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if opened >= k and bound[b] < worst - 1e-12:
-                break
-            first = b * BLOCK
-            cos = np.zeros(min(BLOCK, examples - first))
-            for t, w in zip(term.tolist(), weight.tolist()):
-                a, z = self.cuts[t, b], self.cuts[t, b + 1]
-                cos[self.at[a:z] - first] += w * self.weight[a:z]
-            found[first : first + len(cos)] = cos
-            if leave >= 0 and leave // BLOCK == b:
-                found[leave] = -1.0
-            opened += len(cos)
-            if opened >= k:
+        if not examples or not len(term):
+            return np.zeros(0, np.int64), np.zeros(0)
+        bound = weight * self.tops[term]
+        order = np.argsort(-bound, kind="stable")
+        cuts = self.cuts[term[order]]
+        left = np.cumsum((cuts[:, 1] - cuts[:, 0])[::-1])[::-1]
+        rest = np.cumsum(bound[order][::-1])[::-1]
+        found, look, n = np.zeros(examples), 8, len(term)
+        if leave >= 0:
+            found[leave] = -9.0
+        for i, ((a, z), w) in enumerate(zip(cuts.tolist(), weight[order].tolist()), 1):
+            found[self.at[a:z]] += w * self.weight[a:z]
+            if i == look or i == n:
+                look *= 2
                 worst = np.partition(found, -k)[-k] if examples >= k else -1.0
-        at = np.argsort(-found, kind="stable")[:k]
-        at = at[found[at] > 0]
-        return at, found[at]
+                near = np.flatnonzero(found >= worst - (rest[i] if i < n else 0.0) - SLACK)
+                if i < n and len(near) * WORTH <= left[i]:
+                    break
+        else:
+            near = near[found[near] > 0]
+        near = near[near != leave]
+        query = np.zeros(len(self.vocabulary))
+        query[term] = weight
+        cos = np.array([query[self.term[a:z]] @ self.exact[a:z] for a, z in zip(self.edges[near].tolist(), self.edges[near + 1].tolist())])
+        first = np.argsort(-cos, kind="stable")[:k]
+        first = first[cos[first] > 0]
+        return near[first], cos[first]
 
     def vote(self, cos: np.ndarray, at: np.ndarray) -> float:
         """Share of label 1 among the neighbours, nearer ones counting more; the prior counts as one distant neighbour."""
@@ -112,29 +123,31 @@ def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[0] / b[2] for b in blocks]), np.maximum.accumulate(np.array([(b[1] + 0.5) / (b[2] + 1.0) for b in blocks]))
 
 
-def matcher(vocabulary: list[str]) -> ahocorasick.Automaton | None:
-    if not vocabulary:
-        return None
-    a = ahocorasick.Automaton()
-    for i, t in enumerate(vocabulary):
-        a.add_word(t, i)
-    a.make_automaton()
-    return a
+def reader(vocabulary: list[str]):
+    """Function from a text to the numbers of its terms, in order, and how often each occurs."""
+    number = {t: i for i, t in enumerate(vocabulary)}
+    known: dict[str, list[int]] = {}
 
+    def read(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found: list[int] = []
+        times: list[int] = []
+        for w, n in Counter(words(text).split()).items():
+            own = known.get(w)
+            if own is None:
+                if len(known) >= 200_000:
+                    known.clear()
+                own = known[w] = [number[t] for t in parts(w) if t in number]
+            found += own
+            times += [n] * len(own)
+        term, place = np.unique(np.array(found, np.int64), return_inverse=True)
+        return term, np.bincount(place, times, len(term))
 
-def frequencies(text: str | None, automaton) -> dict[int, int]:
-    """How often each term of the vocabulary occurs."""
-    out: dict[int, int] = {}
-    if text and automaton is not None:
-        for _, i in automaton.iter(words(text)):
-            out[i] = out.get(i, 0) + 1
-    return out
+    return read
 
 
-def weigh(tf: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weigh(term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit TF-IDF vector as term numbers and weights."""
-    term = np.array(sorted(tf), np.int64)
-    w = np.array([1 + math.log(tf[t]) for t in term.tolist()]) * idf[term] if len(term) else np.zeros(0)
+    w = (1 + np.log(n)) * idf[term]
     return term, w / (np.sqrt(w @ w) or 1.0)
 
 
@@ -142,8 +155,10 @@ def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
     """Build the index from ``labelled`` (``key``, ``label`` 0 or 1, one row for each key) and the texts in ``docs``.
 
     At most ``examples`` labelled rows, the first by a seeded hash of the key, are learned from: they give the
-    vocabulary (terms whose document counts differ between the labels beyond doubt) and the example vectors.
-    Document frequencies for the IDF weights are counted over all of ``docs``.
+    vocabulary, which is all their terms, and the example vectors. Document frequencies for the IDF weights are
+    counted over all of ``docs``. A term whose document counts do not differ between the labels beyond doubt
+    keeps only a share of its weight, down to ``LEAST``: under IDF alone the names and rare words of a text
+    outweigh what its label depends on.
     """
     spark = docs.sparkSession
     keys = labelled.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
@@ -166,36 +181,37 @@ def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
     vocabulary: list[str] = []
     if n0 and n1:
         table = rows.mapInPandas(count, "term string, no long, yes long").groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-        p = (F.col("no") + F.col("yes") + 1.0) / (n0 + n1 + 2.0)
-        z = F.abs(F.col("yes") / n1 - F.col("no") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-        odds = F.abs(F.log((F.col("yes") + 0.5) * (n0 - F.col("no") + 0.5) / ((F.col("no") + 0.5) * (n1 - F.col("yes") + 0.5))))
-        fit = table.withColumn("z", z).filter((F.col("z") >= SURE) & (odds >= math.log(ODDS)) & (F.col("no") + F.col("yes") >= 5))
-        kept = fit.orderBy(F.desc("z"), "term").limit(TERMS).collect()
-        vocabulary = sorted(r["term"] for r in kept if r["z"] >= SURE_SHARE * kept[0]["z"])
-    total, df = document_frequencies(docs, text, vocabulary)
-    idf = np.log((1.0 + total) / (1.0 + df)) + 0.01
-    collected = vectors(rows, vocabulary).orderBy("k").collect() if vocabulary else []
-    made = [(r["k"], r["y"], *weigh(dict(zip(r["terms"], r["n"])), idf)) for r in collected]
-    full = [m for m in made if len(m[2])]
-    none = [m[1] for m in made if not len(m[2])]
-    # like examples share blocks, which keeps the bounds of the others low
-    full.sort(key=lambda m: (m[2][m[3].argmax()], -m[3].max(), str(m[0])))
-    blocks = max(1, math.ceil(len(full) / BLOCK))
-    term = np.concatenate([np.zeros(0, np.int64), *[m[2] for m in full]])
-    at = np.repeat(np.arange(len(full)), [len(m[2]) for m in full]) if full else np.zeros(0, np.int64)
-    weight = np.concatenate([np.zeros(0), *[m[3] for m in full]])
-    order = np.lexsort((at, term))
-    term, at, weight = term[order], at[order], weight[order]
-    tops = np.zeros((len(vocabulary), blocks))
-    np.maximum.at(tops, (term, at // BLOCK), weight)
-    edges = np.arange(len(vocabulary))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :]
-    cuts = np.searchsorted(term * (blocks + 1) + at // BLOCK, edges)
+        table = table.toPandas().sort_values("term")
+        vocabulary, no, yes = table["term"].tolist(), table["no"].to_numpy(float), table["yes"].to_numpy(float)
+        p = (no + yes + 1.0) / (n0 + n1 + 2.0)
+        z = np.abs(yes / n1 - no / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
+        trust = np.clip((z / SURE) ** DOUBT, LEAST, 1.0)
+    else:
+        trust = np.zeros(0)
+    held = spark.sparkContext.broadcast(vocabulary)
+    total, df = document_frequencies(docs, text, held)
+    idf = (np.log((1.0 + total) / (1.0 + df)) + 0.01) * trust
+    made = vectors(rows, held).toPandas() if vocabulary else pd.DataFrame({"k": [], "y": [], "terms": [], "n": []})
+    held.unpersist()
+    made = made.iloc[np.argsort(made["k"].astype(str).to_numpy(), kind="stable")]
+    size = np.array([len(t) for t in made["terms"]], np.int64) // 4
+    full, none = made[size > 0], made["y"][size == 0]
+    edges = np.concatenate([[0], np.cumsum(size[size > 0])])
+    term = np.frombuffer(b"".join(full["terms"]), np.int32)
+    exact = np.concatenate([np.zeros(0), *[weigh(np.frombuffer(t, np.int32), np.frombuffer(n, np.int32), idf)[1] for t, n in zip(full["terms"], full["n"])]])
+    order = np.argsort(term, kind="stable")
+    at = np.repeat(np.arange(len(full), dtype=np.int32), np.diff(edges))[order]
+    weight = exact[order].astype(np.float32)
+    ends = np.searchsorted(term[order], np.arange(len(vocabulary)), "right")
+    begins = np.concatenate([np.zeros(min(1, len(ends)), np.int64), ends[:-1]])
+    tops = np.zeros(len(vocabulary))
+    np.maximum.at(tops, term, exact)
     prior = (n1 + 0.5) / (n0 + n1 + 1.0) if n0 + n1 else 0.0
     index = Index(
-        vocabulary, idf, np.array([m[1] for m in full], float), np.array([m[0] for m in full], dtype=object), at, weight, cuts, tops,
-        (sum(none) + prior) / (len(none) + 1.0) if n0 + n1 else 0.0, prior,
+        vocabulary, idf, trust >= 1.0, full["y"].to_numpy(float), full["k"].to_numpy(object), at, weight, np.stack([begins, ends], 1), tops, term, exact, edges,
+        (none.sum() + prior) / (len(none) + 1.0) if n0 + n1 else 0.0, prior,
     )
-    if full:
+    if len(full):
         index.curve = rising(*judged(spark, index))
     return index
 
@@ -207,14 +223,11 @@ def judged(spark: SparkSession, index: Index) -> tuple[np.ndarray, np.ndarray]:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = held.value
-        order = np.argsort(ix.at, kind="stable")
-        edges = np.searchsorted(ix.at[order], np.arange(size + 1))
-        term = np.searchsorted(ix.cuts[:, -1], order, "right")
         for pdf in batches:
             votes = []
             for j in pdf["id"]:
-                own = slice(edges[j], edges[j + 1])
-                at, cos = ix.nearest(term[own], ix.weight[order[own]], NEIGHBOURS, leave=j)
+                own = slice(ix.edges[j], ix.edges[j + 1])
+                at, cos = ix.nearest(ix.term[own], ix.exact[own], NEIGHBOURS, leave=j)
                 votes.append(ix.vote(cos, at) if len(at) else ix.prior)
             yield pd.DataFrame({"id": pdf["id"], "vote": votes})
 
@@ -222,42 +235,42 @@ def judged(spark: SparkSession, index: Index) -> tuple[np.ndarray, np.ndarray]:
     return found["vote"].to_numpy(), index.labels
 
 
-def document_frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, text: str, vocabulary: Broadcast) -> tuple[int, np.ndarray]:
     """Number of documents and of those that hold each term, over all documents."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton, sums, rows = matcher(vocabulary), np.zeros(len(vocabulary), np.int64), 0
+        read, sums, rows = reader(vocabulary.value), np.zeros(len(vocabulary.value), np.int64), 0
         for pdf in batches:
             rows += len(pdf)
             for t in pdf["t"]:
-                sums[list(frequencies(t, automaton))] += 1
-        yield pd.DataFrame({"term": np.arange(-1, len(vocabulary)), "n": [rows, *sums.tolist()]})
+                sums[read(t)[0]] += 1
+        held = np.flatnonzero(sums)
+        yield pd.DataFrame({"term": [-1, *held], "n": [rows, *sums[held]]})
 
-    found = docs.select(F.col(text).alias("t")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect()
-    df = np.zeros(len(vocabulary) + 1)
-    for t, n in found:
-        df[t + 1] = n
+    found = docs.select(F.col(text).alias("t")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(len(vocabulary.value) + 1)
+    df[found["term"].to_numpy(np.int64) + 1] = found["n"]
     return int(df[0]), df[1:]
 
 
-def vectors(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Term numbers and counts of the examples."""
+def vectors(rows: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """Term numbers and counts of the examples, as bytes of 32-bit integers."""
     def vector(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = matcher(vocabulary)
+        read = reader(vocabulary.value)
         for pdf in batches:
-            tf = [frequencies(t, automaton) for t in pdf["t"]]
-            yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "terms": [list(f) for f in tf], "n": [list(f.values()) for f in tf]})
+            made = [[x.astype(np.int32).tobytes() for x in read(t)] for t in pdf["t"]]
+            yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "terms": [m[0] for m in made], "n": [m[1] for m in made]})
 
     key = rows.schema["k"].dataType.simpleString()
-    return rows.mapInPandas(vector, f"k {key}, y int, terms array<long>, n array<long>")
+    return rows.mapInPandas(vector, f"k {key}, y int, terms binary, n binary")
 
 
 RESULT = "score double, evidence array<struct<example:string,cosine:double,label:int>>, terms array<string>"
 
 
 def toxicity(spark: SparkSession, text: str | Column, index: Index, neighbours: int = NEIGHBOURS, shown: int = 3) -> Column:
-    """Struct of the calibrated score, the nearest examples and the terms of the text that are in the vocabulary.
+    """Struct of the calibrated score, the nearest examples and the terms of the text that tell the labels apart beyond doubt.
 
-    A text without such terms (null and empty ones too) gets the share of label 1 among the examples without
+    All terms known from the examples count for the score. A text without any (null and empty ones too) gets the share of label 1 among the examples without
     any, and no evidence. Under an index without labels of both kinds every score is that of the prior.
     """
     held = spark.sparkContext.broadcast(index)
@@ -265,23 +278,22 @@ def toxicity(spark: SparkSession, text: str | Column, index: Index, neighbours:
     @F.pandas_udf(RESULT)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         ix = held.value
-        automaton, known = matcher(ix.vocabulary), {}
+        read, known = reader(ix.vocabulary), {}
         for texts in batches:
             out = []
             for t in texts:
-                tf = frequencies(t, automaton)
-                if not tf:
+                term, n = read(t)
+                if not len(term):
                     out.append((ix.empty, [], []))
                     continue
-                term, w = weigh(tf, ix.idf)
-                sign = (term.tobytes(), w.tobytes())
+                sign = hashlib.blake2b(term.tobytes() + n.tobytes(), digest_size=16).digest()
                 if sign not in known:
-                    at, cos = ix.nearest(term, w, neighbours)
+                    at, cos = ix.nearest(*weigh(term, n, ix.idf), neighbours)
                     score = ix.calibrated(ix.vote(cos, at)) if len(at) else ix.prior
                     if len(known) >= 20_000:  # results of equal vectors are kept, up to a bound
                         known.clear()
                     known[sign] = (score, [{"example": str(ix.ids[i]), "cosine": float(c), "label": int(ix.labels[i])} for i, c in zip(at[:shown], cos[:shown])])
-                out.append((*known[sign], [ix.vocabulary[i].strip() for i in term]))
+                out.append((*known[sign], [ix.vocabulary[i].strip() for i in term[ix.telling[term]]]))
             yield pd.DataFrame(out, columns=["score", "evidence", "terms"])
 
     return judge.asNondeterministic()(text)

@@ -282,3 +282,16 @@ def test_parity_maps_rule_out_no_link(spark):
         maps = [ngram.parities(s, band) for s in (a, b)]
         for one, two in zip(*maps):
             assert sum(int(x).bit_count() for x in (one ^ two).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
+def test_toxicity_counts_rare_words(spark):
+    """One toxic word in 200 examples, others in four each; no text is judged without its words."""
+    toxic = ["idiot"] * 200 + [f"vile{c}" for c in "abcdefghij" for _ in range(4)]
+    rows = [(i, f"a text of number{i % 97} with {w} said", 1) for i, w in enumerate(toxic)]
+    rows += [(1000 + i, f"a text of number{i % 97} with kind{i % 50} said", 0) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    index = toxicity.learn(docs.drop("label"), docs.drop("text"))
+    assert {t for r in rows for t in toxicity.terms(r[1])} == set(index.vocabulary) and (index.idf > 0).all()
+    new = spark.createDataFrame([(f"a text of number3 with vile{c} said",) for c in "abcdefghij"] + [("a text of kind3",)], "text string")
+    got = [r.r for r in new.select(toxicity.toxicity(spark, "text", index).alias("r")).collect()]
+    assert all(r.score >= 0.7 for r in got[:10]) and got[10].score < 0.3 and got[10].evidence
