@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks."""
+"""Mixing sources to target weights by Sainte-Laguë apportionment: blocks of tokens to sources, tokens to shards."""
 
 from __future__ import annotations
 
@@ -62,11 +62,12 @@ def mix(
 ) -> DataFrame:
     """Decide how many tokens of every document the mix takes.
 
-    Documents are dealt to shards by a seeded hash of ``key`` and put into a seeded order within each
-    (source, shard). Their tokens, end to end, are cut into blocks of ``block_tokens`` (equal to within one
-    token). Blocks are apportioned to sources by target, then each source's blocks to its shards by tokens,
-    both by highest quotients. A quota above the number of blocks means whole passes; the rest is a run of
-    consecutive blocks (round the end) from a seeded start, so that all but two documents of a cell stay whole.
+    Documents are dealt to shards of their source, one for each ``rows_per_shard`` of its documents with tokens, by
+    a seeded hash of ``key`` and put into a seeded order within each (source, shard), where their tokens lie end to
+    end. Blocks of ``block_tokens`` tokens are apportioned to sources by target, then the tokens of each source's
+    blocks to its shards by tokens, both by highest quotients. A quota above a shard's tokens means whole passes; the
+    rest is a run of consecutive tokens (round the end) from a seeded start, so that all but two documents of a
+    cell stay whole.
 
     Returns the columns of ``docs`` and source_size, target, taken (tokens), passes (whole repeats), ranges
     (token intervals taken once more); columns of those names in ``docs`` are replaced.
@@ -83,31 +84,37 @@ def mix(
         F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))).alias("__key"),
         F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("__size"),
         F.xxhash64(F.lit(seed), F.col(key)).alias("__h"),
-    ).withColumn("__shard", F.pmod(F.shiftright("__h", 3), F.lit(shards)))
-    cells = scratch.settle(
-        rows.groupBy("__source", "__key", "__shard").agg(F.sum("__size").alias("tokens")), "cells"
+    ).withColumn("__fine", F.pmod(F.shiftright("__h", 3), F.lit(shards))).withColumn("__full", F.col("__size") > 0)
+    tallies = scratch.settle(
+        rows.groupBy("__source", "__key", "__fine", "__full").agg(F.sum("__size").alias("tokens"), F.count("*").alias("n")), "cells"
     )
+    # sources of more than one shard: at most one for each rows_per_shard documents
+    large = tallies.filter("__full").groupBy("__key").agg(F.ceil(F.sum("n") / rows_per_shard).alias("__cells")).filter("__cells > 1")
+
+    def dealt(table: DataFrame) -> DataFrame:
+        """A source's shard takes the documents of neighbouring ones of all rows; those without tokens stay apart."""
+        own = F.floor(F.col("__fine") * F.coalesce("__cells", F.lit(1)) / shards)
+        return table.join(F.broadcast(large), "__key", "left").withColumn("__shard", F.when(F.col("__full"), own).otherwise(-1 - F.col("__fine"))).drop("__cells")
+
+    cells = dealt(tallies).groupBy("__source", "__key", "__shard").agg(F.sum("tokens").alias("tokens"))
     totals = cells.groupBy(F.col("__source").alias("source"), "__key").agg(F.sum("tokens").alias("source_size"))
     targets = source_targets(totals, weights, cap)
     targets = targets.withColumn("__all", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("__all")) / block_tokens))
     quotas = scratch.settle(apportion(targets, ["__all"], "__key", "target", "seats"), "quotas")
     parts = cells.select("__key", "__shard", "tokens").join(
-        quotas.select("__key", "source_size", "target", F.col("quota").cast("double").alias("seats")), "__key"
+        quotas.select("__key", "source_size", "target", F.least(F.col("quota") * block_tokens, F.floor(cap * F.col("source_size"))).cast("double").alias("seats")), "__key"
     )
     plan = apportion(parts, ["__key"], "__shard", "tokens", "seats")
-    plan = plan.withColumn("blocks", F.greatest(F.round(F.col("tokens") / block_tokens), F.lit(1)).cast("long"))
-    plan = plan.withColumn("quota", F.least("quota", F.floor(cap * F.col("blocks"))))
-    plan = plan.withColumn("passes", F.floor(F.col("quota") / F.col("blocks")).cast("int")).withColumn("__run", F.col("quota") % F.col("blocks"))
-    plan = plan.withColumn("__from", F.pmod(F.xxhash64(F.lit(seed + 1), "__key", "__shard"), F.col("blocks")))
-    edge = lambda c: F.expr(f"cast(floor(({c}) * cast(tokens as decimal(20,0)) / blocks) as long)")
+    plan = plan.withColumn("__of", F.greatest("tokens", F.lit(1)))
+    plan = plan.withColumn("passes", F.floor(F.col("quota") / F.col("__of")).cast("int")).withColumn("__run", F.col("quota") % F.col("__of"))
+    plan = plan.withColumn("__a", F.pmod(F.xxhash64(F.lit(seed + 1), "__key", "__shard"), F.col("__of")))
+    end = F.col("__a") + F.col("__run")
     plan = plan.select(
-        "__key", "__shard", "source_size", "target", "passes",
-        edge("__from").alias("__a"), edge("least(__from + __run, blocks)").alias("__b"),
-        edge("greatest(__from + __run - blocks, 0)").alias("__c"),
+        "__key", "__shard", "source_size", "target", "passes", "__a", F.least(end, "__of").alias("__b"), F.greatest(end - F.col("__of"), F.lit(0)).alias("__c"),
     )
     plan = scratch.settle(plan, "plan")
     order = Window.partitionBy("__key", "__shard").orderBy("__h", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("__end", F.sum("__size").over(order)).withColumn("__begin", F.col("__end") - F.col("__size"))
+    placed = dealt(rows).withColumn("__end", F.sum("__size").over(order)).withColumn("__begin", F.col("__end") - F.col("__size"))
     placed = placed.join(plan, ["__key", "__shard"])
     first = F.struct(F.greatest("__begin", F.lit(0)).alias("start"), F.least("__end", "__c").alias("end"))
     second = F.struct(F.greatest("__begin", "__a").alias("start"), F.least("__end", "__b").alias("end"))

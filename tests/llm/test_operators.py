@@ -65,6 +65,18 @@ def test_mix(spark, odd):
     assert emitted.agg(F.sum(queries.word_count("text"))).first()[0] == sum(r.taken for r in rows)
 
 
+def test_mix_of_sources_thin_in_every_shard(spark):
+    rows = [(i, "big", 100) for i in range(4000)] + [(5000 + i, "short", 5) for i in range(100)] + [(6000 + i, "some", 20) for i in range(60)] + [(7000 + i, "short", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for cap in (3.0, 2.5):
+        got = mixing.mix(docs, cap=cap, rows_per_shard=8)
+        assert got.count() == len(rows)
+        for r in got.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect():
+            assert abs(r.taken - r.target) <= 16, (cap, r)
+    cut = got.filter("source = 'short' and try_mod(taken, size) > 0").count()
+    assert cut <= 2 * 13
+
+
 def test_shards(spark, odd):
     many = spark.range(1003).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).union(spark.range(300).select(F.lit(1).cast("long"), F.lit("t")))
     rows = sharding.shuffle_shards(many, ["doc_id", "text"], rows_per_block=100).collect()
