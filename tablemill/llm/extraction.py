@@ -21,7 +21,11 @@ EXAMPLES = 400
 
 #: Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp template svg math select".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements inside which any element may end in "/>".
+FOREIGN = frozenset("svg math".split())
+#: Elements whose text is not part of the page as shown: inert parts, choices of a control, notes to drawings and formulas.
+UNSEEN = frozenset("template select desc metadata annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -61,19 +65,22 @@ def parse(page: str) -> Node:
     """Tree of a page. Ends that are missing are implied, unknown or inline elements add no node unless named."""
     root = node = Node("html", frozenset(), None)
     open_tags: list[tuple[str, Node]] = []  # names of open elements with the node in which they began
-    at, line, links = 0, 0, 0
+    at, line, links, unseen = 0, 0, 0, 0
 
     def text(piece: str) -> None:
+        if unseen:
+            return
         if piece and not piece.isspace():
             node.items.append((line, entities.unescape(piece) if "&" in piece else piece, links > 0))
         elif piece:
             node.items.append((line, " ", links > 0))
 
     def close(k: int) -> None:
-        nonlocal node, links, line
+        nonlocal node, links, line, unseen
         for name, before in reversed(open_tags[k:]):
             links -= name == "a"
-            line += name in BLOCKS
+            unseen -= name in UNSEEN
+            line += name in BLOCKS and not unseen
             node = before
         del open_tags[k:]
 
@@ -91,34 +98,38 @@ def parse(page: str) -> Node:
                 if open_tags[k][0] in ("table", "body") and name not in BLOCKS:
                     break
             continue
+        attributes = m[3] if m[2] else m[6]
+        empty = bool(attributes) and attributes.rstrip().endswith("/")
         if name in RAW:
+            if empty and any(before in FOREIGN for before, _ in open_tags):
+                continue
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if name in VOID:
             if name in ("hr",):
-                line += 1
+                line += not unseen
             elif name in ("br", "img"):
                 node.items.append((line, " ", links > 0))
             continue
         if name in BLOCKS:
-            line += 1
+            line += not unseen
             shut, until = CLOSES.get(name, (set(), set()))
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == "p" or open_tags[k][0] in shut:
                     close(k)
-                elif open_tags[k][0] in until or open_tags[k][0] in BLOCKS and not shut:
+                elif open_tags[k][0] == "template" or open_tags[k][0] in until or open_tags[k][0] in BLOCKS and not shut:
                     break
-        attributes = m[3] if m[2] else m[6]
         words = frozenset(PLAIN.findall(" ".join(ATTRIBUTE.findall(attributes)).lower())) if "=" in (attributes or "") else frozenset()
         before = node
         if name == "html":
             continue
         if name in BLOCKS or words and name not in ("a", "html"):
             node = Node(name, words, node)
-        if not attributes or not attributes.rstrip().endswith("/") or name in BLOCKS:
+        if not empty or name in BLOCKS:
             open_tags.append((name, before))
             links += name == "a"
+            unseen += name in UNSEEN
         else:
             node = before
     text(page[at:])

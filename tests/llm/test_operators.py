@@ -256,6 +256,18 @@ def test_extraction(spark):
         assert r.text == extraction.kept_text(nodes, [n.label == 1 for n in nodes])
 
 
+def test_parse_keeps_what_follows_drawings_and_formulas():
+    def whole(page):
+        nodes = extraction.preorder(extraction.parse(page))
+        return extraction.kept_text(nodes, [True] * len(nodes))
+
+    assert whole('<article><p>one <svg class="icon" />two</p><p>three <math/>four</p></article>') == "one two\nthree four"
+    assert whole("<p>a<svg><svg><title/><path d='M0'/></svg><style/><desc>no</desc></svg> b</p>c") == "a b\nc"
+    assert whole("<p>a<template><template><p>no</p></template><p>no</p></template>b</p><p>c") == "ab\nc"
+    assert whole("<p>x <math><mi>y</mi><annotation>no</annotation></math> <noscript>z</noscript></p>") == "x y z"
+    assert whole("<div>a <select><option>no</select>b</div><div><select><option>no</div>c<script>no</script>") == "a b\nc"
+
+
 def test_toxicity(spark, odd):
     docs = spark.createDataFrame([(i, f"some words here {i % 7} you {'idiot' if i % 5 == 0 else 'friend'} number") for i in range(300)], "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("label")).filter("doc_id < 200")
