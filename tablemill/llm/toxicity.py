@@ -65,6 +65,7 @@ class Index:
     empty: float  # share of label 1 among examples without terms
     prior: float
     curve: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    room: np.ndarray | None = None  # zeros, one for each term, between two queries
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the ``k`` nearest examples; ties go to the earlier one.
@@ -84,7 +85,11 @@ class Index:
         if leave >= 0:
             found[leave] = -9.0
         for i, ((a, z), w) in enumerate(zip(cuts.tolist(), weight[order].tolist()), 1):
-            found[self.at[a:z]] += w * self.weight[a:z]
+            here = self.at[a:z]
+            if z - a > examples >> 3:
+                found += np.bincount(here, self.weight[a:z], examples) * w
+            else:
+                found[here] += w * self.weight[a:z]
             if i == look or i == n:
                 look *= 2
                 worst = np.partition(found, -k)[-k] if examples >= k else -1.0
@@ -94,9 +99,12 @@ class Index:
         else:
             near = near[found[near] > 0]
         near = near[near != leave]
-        query = np.zeros(len(self.vocabulary))
+        if self.room is None:
+            self.room = np.zeros(len(self.vocabulary))
+        query = self.room
         query[term] = weight
         cos = np.array([query[self.term[a:z]] @ self.exact[a:z] for a, z in zip(self.edges[near].tolist(), self.edges[near + 1].tolist())])
+        query[term] = 0.0
         first = np.argsort(-cos, kind="stable")[:k]
         first = first[cos[first] > 0]
         return near[first], cos[first]
