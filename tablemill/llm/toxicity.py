@@ -194,6 +194,7 @@ def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
         p = (no + yes + 1.0) / (n0 + n1 + 2.0)
         z = np.abs(yes / n1 - no / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
         trust = np.clip((z / SURE) ** DOUBT, LEAST, 1.0)
+        del table
     else:
         trust = np.zeros(0)
     held = spark.sparkContext.broadcast(vocabulary)
@@ -203,12 +204,18 @@ def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
     held.unpersist()
     made = made.iloc[np.argsort(made["k"].astype(str).to_numpy(), kind="stable")]
     size = np.array([len(t) for t in made["terms"]], np.int64) // 4
-    full, none = made[size > 0], made["y"][size == 0]
+    ids, labels = made["k"][size > 0].to_numpy(object), made["y"][size > 0].to_numpy(float)
+    none = made["y"][size == 0]
     edges = np.concatenate([[0], np.cumsum(size[size > 0])])
-    term = np.frombuffer(b"".join(full["terms"]), np.int32)
-    exact = np.concatenate([np.zeros(0), *[weigh(np.frombuffer(t, np.int32), np.frombuffer(n, np.int32), idf)[1] for t, n in zip(full["terms"], full["n"])]])
+    term, n = (np.frombuffer(b"".join(made.pop(c)), np.int32) for c in ("terms", "n"))  # the driver holds each only once
+    exact = np.log(n)
+    del made, n
+    exact += 1
+    exact *= idf[term]
+    if len(ids):
+        exact /= np.repeat(np.sqrt(np.add.reduceat(exact * exact, edges[:-1])), np.diff(edges))
     order = np.argsort(term, kind="stable")
-    at = np.repeat(np.arange(len(full), dtype=np.int32), np.diff(edges))[order]
+    at = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(edges))[order]
     weight = exact[order].astype(np.float32)
     ends = np.searchsorted(term[order], np.arange(len(vocabulary)), "right")
     begins = np.concatenate([np.zeros(min(1, len(ends)), np.int64), ends[:-1]])
@@ -216,10 +223,10 @@ def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
     np.maximum.at(tops, term, exact)
     prior = (n1 + 0.5) / (n0 + n1 + 1.0) if n0 + n1 else 0.0
     index = Index(
-        vocabulary, idf, trust >= 1.0, full["y"].to_numpy(float), full["k"].to_numpy(object), at, weight, np.stack([begins, ends], 1), tops, term, exact, edges,
+        vocabulary, idf, trust >= 1.0, labels, ids, at, weight, np.stack([begins, ends], 1), tops, term, exact, edges,
         (none.sum() + prior) / (len(none) + 1.0) if n0 + n1 else 0.0, prior,
     )
-    if len(full):
+    if len(ids):
         index.curve = rising(*judged(spark, index))
     return index
 
