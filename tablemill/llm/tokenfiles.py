@@ -10,9 +10,12 @@ row for each shard) is written last and says that the archive is whole.
 
 from __future__ import annotations
 
+import array
 import functools
 import io
+import json
 import math
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,61 +37,89 @@ SHARD_BYTES = 64 << 20
 BUCKET_KEYS = 1 << 18
 #: Bits of a level for each key that reaches it, and levels at most; a key left after the last has a twin hash.
 GAMMA, LEVELS = 2.0, 64
-#: Pieces whose ids a Python worker remembers, their longest, and texts tokenized at once.
+#: Pieces whose ids a Python worker remembers, and their longest.
 KNOWN_PIECES, PIECE_CHARS = 400_000, 32
-TEXTS = 256
 
 
 # --- tokens ---
 
 
+#: Where a byte-level tokenizer always begins a new unit: a space before a visible ASCII sign, letter, digit or underscore.
+SPACE = re.compile(r" (?=[!-~\w])")
+SIGNS = frozenset([chr(c) for c in range(32, 127) if not chr(c).isalpha()] + ["\n", "\r", "\t"])
+LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: The same inside a piece: after a letter ahead of another ASCII sign, after such a sign ahead of white space, after a single line end or tab ahead of a letter.
+INSIDE = re.compile(f"(?<=[{LATIN}])(?=[ -@[-`{{-~\n\r\t])|(?<=[!-/:-@[-`{{-~])(?=[ \n\r\t])|(?<=\\S[\n\r\t])(?=[{LATIN}])")
+#: One unit by itself.
+WORD = re.compile(f" ?[{LATIN}]+")
+
+
+class Known(dict):
+    """Ids of pieces, made when first asked for; long pieces are not kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.make(piece)
+        if len(piece) <= PIECE_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Pieces:
     """Ids of texts, little-endian, from one tokenizer file; texts are cut where its pre-tokenizer always cuts.
 
-    A byte-level tokenizer begins a new unit at a space before a letter, digit or underscore, so a text may be cut
-    there and the pieces, which repeat, encoded once. Other tokenizers get whole texts.
+    Pieces repeat and are encoded once; a single word goes to the tokenizer's model directly. Only byte-level
+    tokenizers are cut, others get whole texts.
     """
 
     def __init__(self, file: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(file), dtype
+        self.tokenizer, self.dtype = Tokenizer.from_file(file), np.dtype(dtype)
         before = self.tokenizer.pre_tokenizer
-        state = before.__getstate__().decode() if before is not None else ""
-        plain = '"ByteLevel"' in state and '"use_regex":true' in state and '"add_prefix_space":false' in state and "Sequence" not in state
+        state = json.loads(before.__getstate__()) if before is not None else {}
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.cut = plain and self.tokenizer.normalizer is None and not any(" " in a.content or a.lstrip or a.rstrip for a in added)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.cut = (
+            state.get("type") == "ByteLevel" and state.get("use_regex") and not state.get("add_prefix_space") and self.tokenizer.normalizer is None
+            and not any(a.lstrip or a.rstrip or SPACE.search(a.content) for a in added)
+        )
+        self.added = [a.content for a in added]
+        if self.cut:
+            self.model, self.code = self.tokenizer.model, "HI"[self.dtype.itemsize == 4]
+            letters = [chr(c) for c in range(0x250) if re.fullmatch(f"[{LATIN}]", chr(c))]
+            self.signs = str.maketrans({c: before.pre_tokenize_str(c)[0][0] for c in letters} | {" ": before.pre_tokenize_str(" a")[0][0][:-1]})
+        self.first, self.later = Known(self.piece), Known(lambda p: self.piece(" " + p))
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def word(self, word: str) -> bytes:
+        return array.array(self.code, [t.id for t in self.model.tokenize(word.translate(self.signs))]).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        start = WORD.match(piece)
+        if start:
+            end = start.end()
+            if end == len(piece):
+                return self.word(piece)
+            if piece[end] in SIGNS:  # the word is a unit, what follows it stands by itself
+                return self.word(piece[:end]) + self.first[piece[end:]]
+        if any(a in piece for a in self.added):
+            return self.whole(piece)
+        parts = INSIDE.split(piece)
+        return b"".join([self.first[p] for p in parts]) if len(parts) > 1 else self.whole(piece)
+
+    def encode(self, text: str) -> bytes:
         if not self.cut:
-            return self.ids(texts)
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        cut = [pieces(t) for t in texts]
-        wanted = set().union(*cut) - self.known.keys()
-        short = [p for p in wanted if len(p) <= PIECE_CHARS]
-        long = [p for p in wanted if len(p) > PIECE_CHARS]
-        self.known.update(zip(short, self.ids(short)))
-        if not long:
-            return [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        once = dict(zip(long, self.ids(long)))
-        return [b"".join([self.known.get(p) if len(p) <= PIECE_CHARS else once[p] for p in c]) for c in cut]
-
-
-def pieces(text: str) -> list[str]:
-    """``text`` cut before every space that a letter, digit or underscore follows."""
-    parts = text.split(" ")
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p[:1].isalnum() or p[:1] == "_":
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out
+            return self.whole(text)
+        if len(self.first) + len(self.later) > KNOWN_PIECES:
+            self.first.clear()
+            self.later.clear()
+        parts = SPACE.split(text)
+        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
 
 
 @functools.cache
@@ -201,12 +232,12 @@ def write(docs: DataFrame, folder: str, file: str, key: str = "doc_id", text: st
             if not batch.num_rows:
                 continue
             out = out or disk.open_output_stream(temp)
-            texts, sizes = batch.column("text"), []
-            for low in range(0, batch.num_rows, TEXTS):
-                for data in words.encode(texts.slice(low, TEXTS).to_pylist()):
-                    out.write(data)
-                    out.write(tail)
-                    sizes.append((len(data) + len(tail)) // len(tail))
+            sizes = []
+            for text in batch.column("text"):
+                data = words.encode(text.as_py())
+                out.write(data)
+                out.write(tail)
+                sizes.append((len(data) + len(tail)) // len(tail))
             turns = []
             for k in batch.column("key").to_pylist():
                 turn, last = turn + 1 if k == last else 0, k

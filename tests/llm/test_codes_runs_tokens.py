@@ -163,12 +163,12 @@ def whole(texts):
 
 def test_cut_texts_give_the_ids_of_whole_texts(spark):
     rng = np.random.default_rng(2)
-    signs = ["a", "Zebra", "é", "ß", "7", "_", " ", "  ", "\n", "\t", " ", " ", "\x1f", "'s", "'", "don't", ".", "—", "日本", "🙂", "<|endoftext|>", "\r\n", "́", "१२", "x" * 40]
+    signs = ["a", "Zebra", "é", "ß", "7", "_", " ", "  ", "\n", "\t", " ", " ", "\x1f", "'s", "'", "don't", ".", "—", "日本", "🙂", "<|endoftext|>", "\r\n", "́", "१२", "x" * 40, "'ll", "(", ")", ",", ".\n", "\u0301", "\x85", "\u2003", "µ", "ª", "Ɐ", "ʼn", "-", "\n\n"]
     texts = ["".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(0, 40))) for _ in range(3000)]
     texts += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     words = tokenfiles.Pieces(BPE, "<u2")
     assert words.cut
-    assert [np.frombuffer(b, "<u2").tolist() for b in words.encode(texts)] == [i[:-1] for i in whole(texts)]
+    assert [np.frombuffer(words.encode(t), "<u2").tolist() for t in texts] == [i[:-1] for i in whole(texts)]
     assert not tokenfiles.Pieces(public_tokenizers.path("word_bpe_49k.json"), "<u2").cut
 
 
