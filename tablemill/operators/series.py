@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.times import DAY
-from tablemill.skew import attach, bounded, running
+from tablemill.skew import attach, bounded, running, same_rows
 
 REQUIRED = ("entity_id", "account_id", "count_type", "metric_id", "unix_seconds", "value")
 
@@ -104,7 +104,7 @@ def unstack_timeseries(df: DataFrame, dimensions: Sequence[str] = (), pre_aggreg
     )
     ready = F.col("metric_id").isin(list(pre_aggregated))
     filled = ~ready & (F.col("_totals") > 0)
-    points = points.withColumn("_filled", filled).where(~F.col("_filled") | F.col("total").isNotNull())
+    points = same_rows(points.withColumn("_filled", filled).where(~F.col("_filled") | F.col("total").isNotNull()), points)
     points = bounded(points, keys, ["unix_seconds"], 0, 1, {"_t1": lambda w: F.lead("unix_seconds").over(w), "_v1": lambda w: F.lead("total").over(w)})
     empty = F.array().cast("array<bigint>")
     gap = F.when(F.col("_filled") & F.col("_t1").isNotNull(), _steps_between(ts, F.col("_t1"), F.col("_first"), DAY)).otherwise(empty)

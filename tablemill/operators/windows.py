@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,24 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.skew import (
+    affine,
     attach,
     bounded,
     join_on_keys,
+    lookup,
     numbered,
     order_columns,
+    reversed_order,
     running,
     tie_ranks,
     top_rows,
 )
 
 
-def _reversed(order: Sequence[str]) -> list[str]:
-    return [o[1:] if o.startswith("-") else f"-{o}" for o in order]
-
-
 def latest_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last row of each group in the given order."""
-    return top_rows(df, keys, _reversed(order))
+    return top_rows(df, keys, reversed_order(order))
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], rule: str = "order", order: Sequence[str] = (), columns: Sequence[str] = ()) -> DataFrame:
@@ -95,7 +94,7 @@ def lag_window_aggregate(
     out = df
     source = {c: c for c in columns}
     if fill == "backfill":
-        out = running(out, keys, _reversed(order), {f"_next_{c}": ("last", F.col(f"`{c}`")) for c in columns})
+        out = running(out, keys, reversed_order(order), {f"_next_{c}": ("last", F.col(f"`{c}`")) for c in columns})
         head = top_rows(out, keys, order).select(*keys, *[F.col(f"_next_{c}").alias(f"_head_{c}") for c in columns])
         out = join_on_keys(out, head, keys) if keys else out.withColumn("_h", head.select(F.struct("*")).scalar()).select("*", "_h.*").drop("_h")
         source = {c: f"_next_{c}" for c in columns}
@@ -159,24 +158,20 @@ def trailing_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     return bounded(df, keys, order, size - 1, 0, {name: lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(-(size - 1), 0)), F.lit(0.0))})
 
 
-def smoothed(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rate: float, name: str) -> DataFrame:
-    """Exponential smoothing z = rate * x + (1 - rate) * z, starting at the first value.
+def smoothed(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], rate: float) -> DataFrame:
+    """Exponential smoothing z = rate * x + (1 - rate) * z, starting at the first value; ``values`` maps new names to columns.
 
-    A row's weight falls below a double's resolution after 60 halvings, so the recursion
-    over that many rows already gives the full result.
+    A missing value leaves z as it is; rows before the first value have none. Rate 0 keeps the first
+    value, rate 1 takes each value as it is.
     """
-    depth = math.ceil(60 * math.log(2) / -math.log(1 - rate))
-
-    def fold(w):
-        seen = F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-depth, 0))
-        return F.aggregate(F.slice(seen, 2, depth + 1), F.get(seen, 0), lambda z, x: rate * x + (1 - rate) * z)
-
-    return bounded(df, keys, order, depth, 0, {name: fold})
+    if not 0 <= rate <= 1:
+        raise ValueError(f"rate {rate} is not between 0 and 1")
+    return affine(df, keys, order, {n: (F.lit(1.0 - rate), rate * F.col(c), F.col(c)) for n, c in values.items()})
 
 
 def trailing_sum_ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, size: int, rate: float = 0.2, name: str = "smooth") -> DataFrame:
     """Trailing n-row sum, then exponential smoothing."""
-    return smoothed(trailing_sum(df, keys, order, value, size, "_sum"), keys, order, "_sum", rate, name).drop("_sum")
+    return smoothed(trailing_sum(df, keys, order, value, size, "_sum"), keys, order, {name: "_sum"}, rate).drop("_sum")
 
 
 def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -220,8 +215,9 @@ def beta_lower_bound(
     df: DataFrame, group: str, event: str, day: str, value: str, size: str, rows: int = 30, prior: tuple[float, float] = (1.0, 1.0), p: float = 0.025
 ) -> DataFrame:
     """Per (group, event, day): posterior alpha and beta from smoothed trailing sums, the share and its lower bound."""
-    summed = trailing_sum_ewma(df, [group, event], [day], value, rows, name="_value")
-    summed = trailing_sum_ewma(summed, [group, event], [day], size, rows, name="_size")
+    keys, frame = [group, event], lambda w: w.rowsBetween(-(rows - 1), 0)
+    sums = {f"_sum_{c}": lambda w, c=c: F.coalesce(F.sum(c).over(frame(w)), F.lit(0.0)) for c in (value, size)}
+    summed = smoothed(bounded(df, keys, [day], rows - 1, 0, sums), keys, [day], {"_value": f"_sum_{value}", "_size": f"_sum_{size}"}, 0.2).drop(*sums)
 
     @F.pandas_udf("double")
     def bound(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -242,7 +238,7 @@ def fill_gaps(df: DataFrame, keys: Sequence[str], order: Sequence[str], static:
     names = [*static, *timed]
     out = running(df, keys, order, {f"_f_{c}": ("last", F.col(f"`{c}`")) for c in names})
     if static:
-        out = running(out, keys, _reversed(order), {f"_b_{c}": ("last", F.col(f"`{c}`")) for c in static})
+        out = running(out, keys, reversed_order(order), {f"_b_{c}": ("last", F.col(f"`{c}`")) for c in static})
     filled = {c: F.coalesce(f"`_f_{c}`", f"`_b_{c}`") if c in static else F.col(f"`_f_{c}`") for c in names}
     return out.withColumns(filled).drop(*[f"_f_{c}" for c in names], *[f"_b_{c}" for c in static])
 
@@ -282,21 +278,21 @@ def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, name: s
     ranks = tie_ranks(df, keys, value)
     scaled = attach(ranks, keys, {"_lo": F.min("avg_rank"), "_hi": F.max("avg_rank")})
     share = F.try_divide(F.col("avg_rank") - F.col("_lo"), F.col("_hi") - F.col("_lo")).alias(name)
-    return join_on_keys(df, scaled.select(*keys, value, share), [*keys, value])
+    return lookup(df, scaled.select(*keys, value, share), [*keys, value])
 
 
 def percentile_bucket(df: DataFrame, keys: Sequence[str], value: str, buckets: int, null_share: float = 0.0, name: str = "bucket") -> DataFrame:
     """Dense rank / largest dense rank, floored into n buckets; boundaries fall into the lower bucket."""
     ranks = tie_ranks(df, keys, value)
     scaled = attach(ranks, keys, {"_top": F.max("dense")})
-    joined = join_on_keys(df, scaled.select(*keys, value, (F.col("dense") / F.col("_top")).alias("_share")), [*keys, value])
+    joined = lookup(df, scaled.select(*keys, value, (F.col("dense") / F.col("_top")).alias("_share")), [*keys, value])
     share = F.coalesce("_share", F.lit(min(max(null_share, 0.0), 1.0))) * (1.0 - 2**-53)
     return joined.withColumn(name, F.floor(share / (1 / buckets)) * (1 / buckets)).drop("_share")
 
 
 def distinct_per_entity(df: DataFrame, entity: str, item: str, name: str = "items") -> DataFrame:
     """Number of distinct items of the entity, on every row."""
-    return join_on_keys(df, df.groupBy(entity).agg(F.countDistinct(item).alias(name)), [entity])
+    return lookup(df, df.groupBy(entity).agg(F.countDistinct(item).alias(name)), [entity])
 
 
 def cumulative_history(df: DataFrame, entity: str, year: str, values: Sequence[str], current: int) -> DataFrame:

@@ -1,30 +1,36 @@
 """Group-wise work that stays balanced when one group holds much of the table.
 
-A window partitioned by a key puts a whole group into one task. Here, groups above
+A window partitioned by a key puts a whole group into one task. Here, groups above about
 ``tablemill.rowsPerSlice`` rows are cut into slices along their sort order. Each slice
 is one window partition; what a slice must know of its neighbours (a running total, a
 few edge rows) travels through a table with one row per (hot key, slice). Groups below
 the limit take the plain window. Both ways give the same rows.
 
+Which groups are hot and where they are cut comes from one job: a sample of the rows'
+keys and whole sort tuples, grouped by key, of which only the cut points of hot keys
+reach the driver, about one for each half slice of rows. It is kept for later operators
+on the same rows, keys and order (or the reverse order).
+
 Sort orders are lists of column names; a leading ``-`` means descending. As in Spark,
 nulls come first ascending and last descending.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_SLICE = 2_000_000
-MAX_HOT_KEYS = 10_000
-MAX_SLICES = 4_096
-#: a plan that reads less than this cannot overload a task, so no count is taken
-SMALL_INPUT_BYTES = 64 << 20
+#: sampled rows for each slice of rows; a key is hot from three quarters of a slice's share on
+SAMPLES = 64
+#: cut points compared at once; longer lists are searched level by level
+FAN = 32
 _SLICE = "_slice"
 
 
@@ -32,12 +38,6 @@ def rows_per_slice(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("tablemill.rowsPerSlice", str(ROWS_PER_SLICE)))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the tables a plan reads, as far as Catalyst knows it."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
 def order_columns(order: Sequence[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
@@ -47,24 +47,94 @@ def window(keys: Sequence[str], order: Sequence[str] = ()) -> WindowSpec:
     return spec.orderBy(*order_columns(order)) if order else spec
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[Row]:
-    """Keys with more rows than one slice may hold, largest first.
+def sort_tuple(df: DataFrame, order: Sequence[str]) -> Column:
+    """A struct whose natural order is the given one, whatever the columns' types and directions."""
+    parts = []
+    for o in order:
+        name, down = (o[1:], True) if o.startswith("-") else (o, False)
+        column = F.col(f"`{name}`")
+        kind = df.schema[name].dataType
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):  # numbers survive the way over the driver in any time zone
+            column, kind = F.unix_micros(column.cast("timestamp")), T.LongType()
+        known = column.isNull() if down else column.isNotNull()
+        parts.append(F.struct(known.alias("known"), (_falling(column, kind) if down else column).alias("value")))
+    return F.struct(*[p.alias(f"c{i}") for i, p in enumerate(parts)]) if parts else F.lit(0)
+
+
+def _falling(column: Column, kind: T.DataType) -> Column:
+    """A value that falls where the column rises."""
+    if isinstance(kind, T.BooleanType):
+        return ~column
+    if isinstance(kind, T.DateType):
+        return -F.unix_date(column)
+    if isinstance(kind, T.IntegralType):
+        return F.bitwise_not(column)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.struct(~F.isnan(column), -column)  # a NaN is the largest number
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        # other digits for each byte, and an end that lies above them
+        return F.concat(F.translate(F.hex(column.cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    return -column
+
+
+@dataclass(frozen=True)
+class Slicing:
+    """Hot keys, each with the sort tuples at which its slices begin.
+
+    ``cuts[i]`` belongs to the key values ``keys[i]``; ``backward`` says that rows are
+    wanted in the reverse of the order the cuts were taken in.
+    """
+
+    names: tuple[str, ...]
+    order: tuple[str, ...]
+    keys: list[tuple]
+    cuts: list[list]
+    tuple_type: T.DataType
+    backward: bool = False
 
-    One column-pruned pass with map-side counting. At most total/limit keys can
-    qualify; the list is cut at MAX_HOT_KEYS, beyond which every key holds less than
-    1/MAX_HOT_KEYS of the table and the plain window serves it. The answer is kept with
-    the DataFrame, so operators that add columns to the same rows count only once.
+
+def reversed_order(order: Sequence[str]) -> list[str]:
+    return [o[1:] if o.startswith("-") else f"-{o}" for o in order]
+
+
+def slicing(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> Slicing | None:
+    """The hot keys of a table and their cut points; None when there are none.
+
+    One column-pruned job over a seeded sample with about ``SAMPLES`` rows for each slice.
+    A key whose share of the sample stays below three quarters of a slice is no hot key; one
+    with a whole slice of rows is missed once in some hundred thousand cases, and then only
+    served by the plain window. The answer is kept with the DataFrame, so operators that
+    add columns to the same rows ask once.
     """
-    known = _answers(df)
-    if tuple(keys) not in known:
-        explicit = df.sparkSession.conf.get("tablemill.rowsPerSlice", None) is not None
-        if not explicit and input_bytes(df) < SMALL_INPUT_BYTES:
-            known[tuple(keys)] = []
-        else:
-            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-            counts = counts.where(F.col("_rows") > rows_per_slice(df))
-            known[tuple(keys)] = counts.orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).collect()
-    return known[tuple(keys)]
+    limit, known = rows_per_slice(df), _answers(df)
+    names, order = tuple(keys), tuple(order)
+    for (n, o, rows), found in known.items():
+        if n == names and rows == limit and (o == order or not order):
+            return found
+        if n == names and rows == limit and list(o) == reversed_order(order):
+            return found and replace(found, order=order, backward=not found.backward)
+    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    if bound.isDefined() and int(str(bound.get())) <= limit:
+        found = None
+    else:
+        found = _sampled_cuts(df, names, order, limit)
+    known[names, order, limit] = found
+    return found
+
+
+def _sampled_cuts(df: DataFrame, names: tuple[str, ...], order: tuple[str, ...], limit: int) -> Slicing | None:
+    share = min(1.0, SAMPLES / limit)
+    least = limit + 1 if share == 1 else round(0.75 * SAMPLES)
+    slim = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(names)], sort_tuple(df, order).alias("t"))
+    drawn = slim.sample(share, seed=7) if share < 1 else slim
+    group = [f"k{i}" for i in range(len(names))]
+    counted = drawn.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("t")).alias("all")).where(F.col("n") >= least)
+    step = max(1, (limit if share == 1 else SAMPLES) // 2)
+    picked = F.transform(F.sequence(F.lit(step), F.col("n").cast("int") - 1, F.lit(step)), lambda i: F.get("all", i))
+    found = counted.select(*group, F.array_distinct(picked).alias("cuts")).collect()  # a cut for each half slice of hot rows
+    if not found:
+        return None
+    return Slicing(names, order, [tuple(r[g] for g in group) for r in found], [list(r["cuts"]) for r in found], slim.schema["t"].dataType)
 
 
 def _answers(df: DataFrame) -> dict:
@@ -88,70 +158,60 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _hot_flag(df: DataFrame, keys: Sequence[str], hot: list[Row]) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join to a table with one row per key, in which null keys match; a hot key's rows stay where they are.
+
+    Rows of hot keys meet a broadcast of the hot part of the table, at most one row for each
+    hot key; only the others are shuffled.
+    """
+    cuts = slicing(df, keys) if keys else None
+    if cuts is None:
+        return join_on_keys(df, table, keys)
+    hot = _hot_flag(table, keys, cuts).where("_hot").drop("_hot")
+    flagged = _hot_flag(df, keys, cuts)
+    near = join_on_keys(flagged.where("_hot"), F.broadcast(hot), keys)
+    far = join_on_keys(flagged.where(~F.col("_hot")), _hot_flag(table, keys, cuts).where(~F.col("_hot")).drop("_hot"), keys)
+    return near.unionByName(far).drop("_hot")
+
+
+def _hot_flag(df: DataFrame, keys: Sequence[str], cuts: Slicing) -> DataFrame:
     if not keys:
         return df.withColumn("_hot", F.lit(True))
     schema = T.StructType([df.schema[k] for k in keys])
-    table = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], schema)
-    table = F.broadcast(table.withColumn("_hot", F.lit(True)))  # <= MAX_HOT_KEYS rows
+    table = F.broadcast(df.sparkSession.createDataFrame(cuts.keys, schema).withColumn("_hot", F.lit(True)))  # one row for each hot key
     return join_on_keys(df, table, keys).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
 
 
-def _position(df: DataFrame, item: str, offset: int = 0) -> Column:
-    """Monotone double stand-in for a sort column (ties may merge, order never flips).
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Slicing) -> DataFrame:
+    """Add ``_hot`` and ``_slice``; slice numbers follow the sort order inside a key.
 
-    A text is read six bytes at a time, from ``offset``.
+    The cut points of a key form a search tree with ``FAN`` branches; a level of it is a
+    broadcast table with one row for each of its nodes, so a row carries at most
+    ``FAN - 1`` cut points at a time however many its key has.
     """
-    name, down = item.lstrip("-"), item.startswith("-")
-    kind, column = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(column.cast("binary"), offset + 1, 6)), 12, "0")
-        value = F.conv(head, 16, 10).cast("double")
-    elif isinstance(kind, T.DateType):
-        value = F.unix_date(column).cast("double")
-    elif isinstance(kind, T.TimestampNTZType):
-        value = column.cast("timestamp").cast("double")
-    elif isinstance(kind, T.BooleanType):
-        value = column.cast("int").cast("double")
-    else:
-        value = column.cast("double")
-    value = F.when(F.isnan(value), F.lit(math.inf)).otherwise(value)
-    value = -value if down else value
-    return F.coalesce(value, F.lit(math.inf if down else -math.inf))
-
-
-def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: list[Row]) -> DataFrame:
-    """Add ``_hot`` and ``_slice``; slice numbers follow the sort order inside a key."""
-    limit = rows_per_slice(df)
-    wanted = min(MAX_SLICES, max(2, math.ceil(2 * sum(r["_rows"] for r in hot) / limit)))
-    shares = [i / wanted for i in range(1, wanted)]
-    out = _hot_flag(df, keys, hot).withColumn("_open", F.col("_hot")).withColumn(_SLICE, F.lit(""))
-    for item in order:
-        name, offset = item.lstrip("-"), 0
-        while True:
-            out = out.withColumn("_pos", _position(df, item, offset))
-            cuts = out.where("_open").agg(F.percentile_approx("_pos", shares, 10_000)).first()[0] or []
-            heavy = sorted({c for a, c in zip(cuts, cuts[1:]) if a == c})
-            points = set(cuts) | set(heavy) | {math.nextafter(h, math.inf) for h in heavy}
-            splits = [-math.inf, *sorted(p for p in points if math.isfinite(p)), math.inf]
-            bucketed = Bucketizer(splits=splits, inputCol="_pos", outputCol="_bucket", handleInvalid="keep").transform(out)
-            step = F.when(F.col("_open"), F.col("_bucket").cast("int")).otherwise(0)
-            out = bucketed.withColumn(_SLICE, F.concat(_SLICE, F.lpad(F.hex(step), 4, "0"))).drop("_bucket")
-            if not heavy:
-                return out.drop("_pos", "_open")
-            # only rows that are equal in this column may be cut by the next one
-            spread = out.where(F.col("_open") & F.col("_pos").isin(heavy)).groupBy("_pos").agg(
-                (F.min(name).eqNullSafe(F.max(name)) & F.count(name).isin(0, F.count(F.lit(1)))).alias("same"), F.max(F.octet_length(F.col(name).cast("string"))).alias("length")
-            ).collect()  # as many rows as there are heavy positions
-            longer = isinstance(df.schema[name].dataType, T.StringType) and max((r["length"] or 0 for r in spread), default=0) > offset + 6
-            kept = [r["_pos"] for r in spread if r["same"] or longer]
-            if not kept:
-                return out.drop("_pos", "_open")
-            out = out.withColumn("_open", F.col("_open") & F.col("_pos").isin(kept))
-            if not longer or all(r["same"] for r in spread):
-                break
-            offset += 6
-    return out.drop("_pos", "_open")
+    taken_in = reversed_order(order) if cuts.backward else order
+    out = _hot_flag(df, keys, cuts).withColumns({"_slice_at": sort_tuple(df, taken_in), "_slice_node": F.lit(0)})
+    most = max(map(len, cuts.cuts))
+    depth = 1
+    while FAN**depth <= most:
+        depth += 1
+    schema = T.StructType(
+        [*[T.StructField(f"_h{i}", df.schema[k].dataType) for i, k in enumerate(keys)], T.StructField("_slice_n", T.IntegerType()), T.StructField("_slice_cuts", T.ArrayType(cuts.tuple_type))]
+    )
+    for level in range(depth):
+        stride = FAN ** (depth - 1 - level)
+        nodes = []
+        for key, points in zip(cuts.keys, cuts.cuts):
+            marks = points[stride - 1 :: stride]  # what parts the children of all nodes of this level, and nodes from each other
+            for low in range(0, len(marks), FAN):
+                nodes.append((*key, low // FAN, marks[low : low + FAN - 1]))
+        table = F.broadcast(df.sparkSession.createDataFrame(nodes, schema))
+        same = F.col("_slice_node") == F.col("_slice_n")
+        for i, k in enumerate(keys):
+            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_h{i}"))
+        child = F.size(F.filter(F.coalesce("_slice_cuts", F.array().cast(T.ArrayType(cuts.tuple_type))), lambda c: c <= F.col("_slice_at")))
+        out = out.join(table, same, "left").withColumn("_slice_node", F.col("_slice_node") * FAN + child).drop("_slice_n", "_slice_cuts", *[f"_h{i}" for i in range(len(keys))])
+    return out.withColumn(_SLICE, -F.col("_slice_node") if cuts.backward else F.col("_slice_node")).drop("_slice_at", "_slice_node")
 
 
 _MERGE: dict[str, tuple[Callable, Callable]] = {
@@ -172,11 +232,11 @@ def running(
     (last non-null).
     """
     frame = (Window.unboundedPreceding, Window.currentRow)
-    hot = hot_keys(df, keys)
-    if not hot:
+    cuts = slicing(df, keys, order)
+    if cuts is None:
         spec = window(keys, order).rowsBetween(*frame)
         return same_rows(df.withColumns({n: _MERGE[k][0](c).over(spec) for n, (k, c) in columns.items()}), df)
-    parts = _sliced(df, keys, order, hot)
+    parts = _sliced(df, keys, order, cuts)
     inputs = {f"_in_{n}": c for n, (_, c) in columns.items()}
     parts = parts.withColumns(inputs)
     group = [*keys, _SLICE]
@@ -186,11 +246,7 @@ def running(
     for n, (k, _) in columns.items():
         source = F.col(f"_in_{n}")
         if k == "last":
-            # nulls come first in a rising column and last in a falling one
-            place = F.struct(*[
-                F.struct(F.col(o[1:]).isNull(), -_as_number(df, o)) if o.startswith("-") else F.struct(F.col(o).isNotNull(), F.col(o)) for o in order
-            ])
-            totals.append(F.max_by(source, F.when(source.isNotNull(), place)).alias(f"_tot_{n}"))
+            totals.append(F.max_by(source, F.when(source.isNotNull(), sort_tuple(df, order))).alias(f"_tot_{n}"))
         else:
             totals.append(_MERGE[k][0](source).alias(f"_tot_{n}"))
     carry = parts.where("_hot").groupBy(*group).agg(*totals)
@@ -203,14 +259,92 @@ def running(
     return same_rows(result.drop("_hot", _SLICE, *extra), df)
 
 
-def _as_number(df: DataFrame, item: str) -> Column:
-    name = item.lstrip("-")
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    return F.col(name)
+def affine(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """Add running states z = factor * (state of the row before) + offset.
+
+    ``columns`` maps a new name to (factor, offset, seed). A row with a null offset leaves the
+    state as it is; the state ahead of a group's first other row is that row's seed, and rows
+    before it have none. Steps compose, (f, o) after (f', o') is (f f', f o' + o), so each
+    slice of a hot key is scanned by itself and the state before it is applied afterwards.
+    A scan streams over sorted rows and holds one Arrow batch.
+    """
+    cuts = slicing(df, keys, order)
+    parts = df if cuts is None else _sliced(df, keys, order, cuts)
+    group = [*keys] if cuts is None else [*keys, _SLICE]
+    steps = {}
+    for n, (f, o, q) in columns.items():
+        steps |= {f"_f_{n}": F.when(o.isNotNull(), f.cast("double")).otherwise(1.0), f"_o_{n}": o.cast("double"), f"_q_{n}": F.when(o.isNotNull(), q.cast("double"))}
+    scanned = _scan(parts.withColumns(steps), group, order, list(columns))
+    if cuts is None:
+        return same_rows(scanned.select(*df.columns, *[F.col(f"_z_{n}").alias(n) for n in columns]), df)
+    # a slice as one step: one row a slice, scanned the same way, hands its state to the next slice
+    whole = [c for n in columns for c in (F.col(f"_f_{n}"), F.when(F.col(f"_z_{n}").isNotNull(), F.col(f"_o_{n}")).alias(f"_o_{n}"), F.col(f"_q_{n}"))]
+    last = F.max_by(F.struct(*whole), sort_tuple(scanned, order)).alias("_end")
+    ends = _scan(scanned.where("_hot").groupBy(*group).agg(last).select(*group, "_end.*"), keys, [_SLICE], list(columns))
+    before = window(keys, [_SLICE])
+    states = ends.select(*group, *[F.lag(f"_z_{n}").over(before).alias(f"_b_{n}") for n in columns])
+    joined = join_on_keys(scanned, states, group)
+    state = lambda n: F.coalesce(F.col(f"_f_{n}") * F.col(f"_b_{n}") + F.col(f"_o_{n}"), f"_z_{n}")
+    return same_rows(joined.select(*df.columns, *[state(n).alias(n) for n in columns]), df)
+
+
+def _scan(df: DataFrame, group: Sequence[str], order: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Compose the steps (``_f_<name>``, ``_o_<name>``, ``_q_<name>``) along each group.
+
+    Afterwards ``_f_`` and ``_o_`` are the step from ahead of the group to the row, ``_q_`` is the
+    seed of the first row with an offset so far and ``_z_`` the state that follows from it.
+    """
+    ready = df.withColumn("_head", F.row_number().over(window(group, order)) == 1)  # brings groups together and sorts them
+    made = {f"_{x}_{n}" for n in names for x in "foqz"}
+    rest = [c for c in df.columns if c not in made]
+    out = T.StructType([*[df.schema[c] for c in rest], *[T.StructField(c, T.DoubleType()) for c in sorted(made)]])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[float, float, float, bool]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head = batch.column("_head").to_numpy(zero_copy_only=False)
+            cells = {c: batch.column(c) for c in rest}
+            for n in names:
+                known = batch.column(f"_o_{n}").is_valid().to_numpy(zero_copy_only=False)
+                f, o, q = (batch.column(f"_{x}_{n}").fill_null(0.0).to_numpy(zero_copy_only=False) for x in "foq")
+                factor, offset, seed, seen = compose(f, o, q, known, head, held.get(n))
+                held[n] = factor[-1], offset[-1], seed[-1], bool(seen[-1])
+                cells |= {f"_f_{n}": pa.array(factor), f"_o_{n}": pa.array(offset), f"_q_{n}": pa.array(seed, mask=~seen), f"_z_{n}": pa.array(factor * seed + offset, mask=~seen)}
+            yield pa.RecordBatch.from_arrays([cells[f.name] for f in out.fields], [f.name for f in out.fields])
+
+    return ready.mapInArrow(work, out)
+
+
+def compose(
+    f: np.ndarray, o: np.ndarray, q: np.ndarray, known: np.ndarray, head: np.ndarray, before: tuple[float, float, float, bool] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inclusive scan of steps in doubling strides, begun anew at every head.
+
+    ``before`` is what the rows ahead of row 0 came to: step, seed, and whether there was an offset.
+    """
+    factor, offset, closed = f.copy(), o.copy(), head.copy()
+    if before is not None and not closed[0]:
+        factor[0], offset[0] = factor[0] * before[0], factor[0] * before[1] + offset[0]
+    closed[0] = True
+    stride = 1
+    while not closed.all():
+        open_ = np.flatnonzero(~closed)
+        back = open_ - stride
+        new = factor[open_] * factor[back], factor[open_] * offset[back] + offset[open_], closed[back]
+        factor[open_], offset[open_], closed[open_] = new
+        stride *= 2
+    # the first row with an offset of each group; group 0 goes on from the rows ahead
+    group = np.cumsum(head)
+    seeds, begins = np.zeros(group[-1] + 1), np.full(group[-1] + 1, len(f))
+    if before is not None and before[3]:
+        seeds[0], begins[0] = before[2], -1
+    at = np.flatnonzero(known)
+    first, place = np.unique(group[at], return_index=True)
+    fresh = begins[first] >= 0
+    seeds[first[fresh]], begins[first[fresh]] = q[at[place[fresh]]], at[place[fresh]]
+    return factor, offset, seeds[group], np.arange(len(f)) >= begins[group]
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_no") -> DataFrame:
@@ -231,15 +365,15 @@ def bounded(
     Each expression receives the window spec. Slices of hot keys are extended by copies
     of the neighbouring edge rows, which are dropped again after the window.
     """
-    hot = hot_keys(df, keys)
-    if not hot:
+    cuts = slicing(df, keys, order)
+    if cuts is None:
         spec = window(keys, order)
         return same_rows(df.withColumns({n: f(spec) for n, f in columns.items()}), df)
-    parts = _sliced(df, keys, order, hot)
+    parts = _sliced(df, keys, order, cuts)
     group = [*keys, _SLICE]
     body = [c for c in df.columns if c not in keys]
     forward = window(group, order)
-    backward = window(group, [o[1:] if o.startswith("-") else f"-{o}" for o in order])
+    backward = window(group, reversed_order(order))
     edges = []
     if before:
         edges.append(_edge_rows(parts, keys, group, body, backward, before, -1))
@@ -273,17 +407,18 @@ def attach(
 
     With ``pre_grouped`` the aggregates come from a grouping joined back, whatever the
     group sizes; otherwise only hot keys need that. ``order`` names the sort of a later
-    window on the same keys, so that both share one sort.
+    window on the same keys, so that both share one sort and one look for hot keys.
     """
     if not keys:
         totals = df.agg(F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_t")).scalar()
         out = df.withColumn("_t", totals).select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_t.`{n}`").alias(n) for n in columns])
-    elif not pre_grouped and not hot_keys(df, keys):
+    elif not pre_grouped and slicing(df, keys, order) is None:
         spec = window(keys, order)
         spec = spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) if order else spec
         out = df.withColumns({n: c.over(spec) for n, c in columns.items()})
     else:
-        out = join_on_keys(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()]), keys)
+        grouped = df.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()])
+        out = join_on_keys(df, grouped, keys) if pre_grouped else lookup(df, grouped, keys)
     return same_rows(out, df)
 
 
@@ -309,11 +444,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[st
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     names = list(shares)
-    hot = hot_keys(known, keys)
-    if not hot:
+    cuts = slicing(known, keys)
+    if cuts is None:
         got = known.groupBy(*keys).agg(F.percentile("_v", [float(shares[n]) for n in names]).alias("_q"))
         return got.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    flagged = _hot_flag(known, keys, hot)
+    flagged = _hot_flag(known, keys, cuts)
     counts = flagged.where("_hot").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, keys, ["_v"], {"_upto": ("sum", F.col("_n"))})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
