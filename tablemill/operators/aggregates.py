@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions import numbers
 from tablemill.operators.joins import paired_mentions
+from tablemill.session import settle
 from tablemill.skew import (
     attach,
     bounded,
     join_on_keys,
+    lookup,
     most_common,
     numbered,
     order_columns,
     quantiles,
+    rows_per_slice,
     running,
+    tie_ranks,
     top_rows,
 )
 
@@ -361,40 +367,88 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
     """(a, b, correlation) over pairwise complete rows, for columns filled above a share.
 
     Undefined correlations are 0. Spearman ranks are taken per pair of columns, after
-    dropping the rows in which either value is missing.
+    dropping the rows in which either value is missing; columns without a missing value
+    have the same ranks in every pair, so they are ranked once.
     """
-    filled = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(f"`{c}`").alias(c) for c in columns]).first()
-    used = [c for c in columns if filled["_rows"] and filled[c] / filled["_rows"] > min_filled]
-    pairs = list(itertools.combinations(used, 2))
+    facts = [F.struct(F.count(f"`{c}`").alias("n"), F.avg(F.col(f"`{c}`").cast("double")).alias("mean")).alias(c) for c in columns]
+    filled = df.agg(F.count(F.lit(1)).alias("_rows"), *facts).first()
+    rows = filled["_rows"]
+    used = [c for c in columns if rows and filled[c]["n"] / rows > min_filled]
+    numbers_of = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in used])
     if method == "pearson":
-        wide = df.agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-        cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
-        upper = wide.select(F.inline(cells))
-    else:
-        both = F.array(
-            *[
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y"))
-                for a, b in pairs
-            ]
-        )
-        long = df.select(F.inline(both)).where("x IS NOT NULL AND y IS NOT NULL")
-        cells = long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-        weighted = cells
-        for side in ("x", "y"):
-            counts = cells.groupBy("a", "b", side).agg(F.sum("w").alias("_n"))
-            upto = running(counts, ["a", "b"], [side], {"_upto": ("sum", F.col("_n"))})
-            rank = (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"r{side}")
-            weighted = weighted.join(upto.select("a", "b", side, rank), ["a", "b", side])
-        w, x, y = F.col("w"), F.col("rx"), F.col("ry")
-        sums = weighted.groupBy("a", "b").agg(
-            F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
-            F.sum(w * x * y).alias("sxy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"),
-        )
-        n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-        bottom = F.sqrt(n * F.col("sxx") - sx * sx) * F.sqrt(n * F.col("syy") - sy * sy)
-        upper = sums.select("a", "b", F.try_divide(n * F.col("sxy") - sx * sy, bottom).alias("r"))
-    value = F.coalesce(F.when(~F.isnan("r"), F.col("r")), F.lit(0.0)).alias("correlation")
-    return upper.select("a", "b", value)
+        means = {c: filled[c]["mean"] for c in used}
+        return _correlations(numbers_of, {c: F.col(f"`{c}`") - F.lit(means[c]) for c in used}, list(itertools.combinations(used, 2)))
+    whole = [c for c in used if filled[c]["n"] == rows]
+    ranked = _ranked(numbers_of, whole) if len(whole) > 1 else numbers_of
+    out = _correlations(ranked, {c: F.col(f"`_rank_{c}`") - F.lit((rows + 1) / 2) for c in whole}, list(itertools.combinations(whole, 2)))
+    pairs = [p for p in itertools.combinations(used, 2) if not set(p) <= set(whole)]
+    return out.unionByName(_pairwise_rank_correlations(numbers_of, pairs)) if pairs else out
+
+
+def _ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add ``_rank_<column>``, the average rank of each value; values are counted and ranked once for all columns."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns])
+    ranks = settle(tie_ranks(df.select(F.inline(cells)), ["column"], "value").select("column", "value", "n", "avg_rank"), "ranks")
+    hot = ranks.agg(F.max("n")).first()[0] or 0
+    out = df
+    for c in columns:
+        mine = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"_rank_{c}"))
+        out = (lookup if hot > rows_per_slice(df) else join_on_keys)(out, mine, [c])
+    return out
+
+
+def _correlations(df: DataFrame, centred: Mapping[str, Column], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, correlation) from one pass that adds up products of all columns block by block.
+
+    Missing values count as zeros in the products, and products with the masks say over which
+    rows each pair was summed. What leaves the tasks has one row for each two columns.
+    """
+    names = list(centred)
+    kinds = "a int, b int, n double, sx double, sy double, sxy double, sxx double, syy double"
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(names), len(names)))
+        for batch in batches:
+            known = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], dtype=np.float64)
+            x = np.array([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            for k, (left, right) in enumerate(((known, known), (x, known), (known, x), (x, x), (x * x, known), (known, x * x))):
+                sums[k] += left @ right.T
+        a, b = np.triu_indices(len(names), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *[pa.array(s[a, b]) for s in sums]], [k.split()[0] for k in kinds.split(", ")])
+
+    spark = df.sparkSession
+    schema = "a string, b string, correlation double"
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    parts = df.select(*[c.alias(n) for n, c in centred.items()]).mapInArrow(products, kinds)
+    sums = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    bottom = F.sqrt(n * F.col("sxx") - sx * sx) * F.sqrt(n * F.col("syy") - sy * sy)
+    r = F.try_divide(n * F.col("sxy") - sx * sy, bottom)
+    word = F.array(*[F.lit(x) for x in names])
+    return sums.select(F.get(word, F.col("a")).alias("a"), F.get(word, F.col("b")).alias("b"), F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0)).alias("correlation"))
+
+
+def _pairwise_rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rank correlations over the rows in which both columns of a pair have a value."""
+    both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in pairs])
+    long = df.select(F.inline(both)).where("x IS NOT NULL AND y IS NOT NULL")
+    cells = long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    weighted = cells
+    for side in ("x", "y"):
+        counts = cells.groupBy("a", "b", side).agg(F.sum("w").alias("_n"))
+        upto = running(counts, ["a", "b"], [side], {"_upto": ("sum", F.col("_n"))})
+        rank = (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"r{side}")
+        weighted = lookup(weighted, upto.select("a", "b", side, rank), ["a", "b", side]).where(F.col(f"r{side}").isNotNull())
+    w, x, y = F.col("w"), F.col("rx"), F.col("ry")
+    sums = weighted.groupBy("a", "b").agg(
+        F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
+        F.sum(w * x * y).alias("sxy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"),
+    )
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    bottom = F.sqrt(n * F.col("sxx") - sx * sx) * F.sqrt(n * F.col("syy") - sy * sy)
+    r = F.try_divide(n * F.col("sxy") - sx * sy, bottom)
+    return sums.select("a", "b", F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0)).alias("correlation"))
 
 
 def geo_center(df: DataFrame, keys: Sequence[str], lat: str, lon: str, values: Sequence[str]) -> DataFrame:

@@ -5,18 +5,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.functions.text import swap_columns
 from tablemill.operators.checks import unique_rows
-from tablemill.skew import numbered, running
-
-REFERENCE_BLOCK = 2_000
-# numbers held at once while rows are compared with a reference block
-PAIR_CELLS = 4_000_000
+from tablemill.operators.nearest import nearest_row  # noqa: F401  (one of the joins)
+from tablemill.skew import running
 
 
 def inner(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,19 +93,19 @@ def lookup_with_default(
 
 
 def expanding_totals(
-    spine: DataFrame, facts: DataFrame, keys: Sequence[str], time: str, sums: Mapping[str, Column]
+    asks: DataFrame, facts: DataFrame, keys: Sequence[str], time: str, sums: Mapping[str, Column], fill: bool = True
 ) -> DataFrame:
-    """For every (keys, time) of the spine, fact totals strictly before that time.
+    """For every row (keys, time) of the asks, fact totals strictly before that time.
 
-    Facts are added up per (keys, time) first; the running totals then need no range
-    join. Spine rows must be distinct; facts at times absent from the spine still count.
+    An as-of join by one sort: facts, added up per (keys, time), and asks are put below each
+    other and running totals go over both, asks first among equal times, so that an ask takes
+    the state the facts before it left. Without ``fill``, a total over no fact is null.
     """
-    daily = facts.groupBy(*keys, time).agg(*[v.alias(n) for n, v in sums.items()])
-    marked = spine.select(*keys, time).withColumn("_asked", F.lit(True))
-    both = marked.join(daily, [*keys, time], "full")
-    ran = running(both, keys, [time], {f"_run_{n}": ("sum", F.coalesce(F.col(n), F.lit(0))) for n in sums})
-    before = {n: F.col(f"_run_{n}") - F.coalesce(F.col(n), F.lit(0)) for n in sums}
-    return ran.where("_asked").select(*keys, time, *[b.alias(n) for n, b in before.items()])
+    daily = facts.groupBy(*keys, time).agg(*[v.alias(n) for n, v in sums.items()]).withColumn("_fact", F.lit(1))
+    both = asks.select(*keys, time, F.lit(0).alias("_fact")).unionByName(daily, allowMissingColumns=True)
+    ran = running(both, keys, [time, "_fact"], {f"_run_{n}": ("sum", F.col(f"`{n}`")) for n in sums})
+    total = lambda n: F.coalesce(f"`_run_{n}`", F.lit(0)) if fill else F.col(f"`_run_{n}`")
+    return ran.where("_fact = 0").select(*keys, time, *[total(n).alias(n) for n in sums])
 
 
 def expanding_prior(df: DataFrame, keys: Sequence[str], time: str, value: str, name: str = "prior") -> DataFrame:
@@ -177,62 +172,43 @@ def unmatched_codes(left: DataFrame, right: DataFrame, code: str) -> DataFrame:
     return only_left.unionByName(b.join(a, code, "left_anti").withColumn("side", F.lit("right")))
 
 
-def _nearest_in(block: list[Row]):
-    ids = np.array([r["_id"] for r in block])
-    points = np.array([r["_point"] for r in block], dtype=float)
-
-    @F.pandas_udf("struct<distance double, id long>")
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
-        x = np.stack(vectors.to_numpy()).astype(float)
-        best, which = [], []
-        step = max(1, PAIR_CELLS // points.size)
-        for start in range(0, len(x), step):
-            part = x[start : start + step]
-            squared = ((part[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-            which.append(squared.argmin(axis=1))
-            best.append(squared.min(axis=1))
-        return pd.DataFrame({"distance": np.sqrt(np.concatenate(best)), "id": ids[np.concatenate(which)]})
-
-    return nearest
+def cell_names(stats: DataFrame, cell: Sequence[str] = ("pos", "metric")) -> list[tuple[str, ...]]:
+    """The statistics a table holds, as many as its sources have columns."""
+    return sorted(tuple(r) for r in stats.select(*cell).distinct().collect())
 
 
-def nearest_row(df: DataFrame, vector: str, reference: DataFrame, ref_id: str, ref_vector: str) -> DataFrame:
-    """Closest reference row by Euclidean distance; smallest id on ties.
+def past_averages(
+    asks: DataFrame, stats: DataFrame, keys: Sequence[str], cells: Sequence[tuple[str, ...]], cell: Sequence[str] = ("pos", "metric"), weights: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, date, games, one column per cell): average per game before the date of every ask with past games.
 
-    The reference travels to the tasks in blocks of bounded size, each compared in one
-    vectorised pass, so no pairs of rows are ever built.
+    ``stats`` holds (date, keys, game, cell columns, value); a game counts when it has any row.
+    Each weight column adds ``<cell>@<weight>``, the average of value * weight. The state of
+    all cells is carried along one sort of facts and asks by the keys; a cell without a past
+    value is null.
     """
-    refs = reference.select(F.col(ref_id).cast("long").alias("_id"), F.col(ref_vector).alias("_point"))
-    total = refs.count()
-    if total > REFERENCE_BLOCK:
-        refs = numbered(refs, [], ["_id"], "_no").withColumn("_block", F.floor((F.col("_no") - 1) / REFERENCE_BLOCK)).persist()
-        blocks = [refs.where(F.col("_block") == i) for i in range(-(-total // REFERENCE_BLOCK))]
-    else:
-        blocks = [refs]
-    best: Column | None = None
-    for block in blocks:
-        found = _nearest_in(block.orderBy("_id").collect())(F.col(vector))
-        best = found if best is None else F.least(best, found)
-    out = df.withColumn("_near", best)
-    return out.withColumns({"nearest_id": F.col("_near.id"), "distance": F.col("_near.distance")}).drop("_near")
+    name, value = F.concat_ws(":", *cell), F.col("value")
+    sums = {"games": F.size(F.collect_set("game")).cast("long")}  # the games of one date
+    for c in map(":".join, cells):
+        sums[c] = F.sum(F.when(name == c, value))
+        sums |= {f"{c}@{w}": F.sum(F.when(name == c, value * F.col(w))) for w in weights}
+    states = expanding_totals(asks, stats, keys, "date", sums, fill=False).where("games > 0")
+    return states.select(*keys, "date", "games", *[(F.col(f"`{n}`") / F.col("games")).alias(n) for n in sums if n != "games"])
 
 
 def team_history(games: DataFrame, team_stats: DataFrame, label: str) -> DataFrame:
     """Per (date, team, pos, metric): average per past game of a team's recorded totals.
 
     ``games`` holds (date, team); ``team_stats`` holds (date, team, game, pos, metric,
-    value). A past game counts when it has any row. Dates are strictly before.
+    value). A past game counts when it has any row. Dates are strictly before. States are
+    wide until the end, so no row of a date and a cell is shuffled.
     """
-    spine = games.select("date", "team").distinct()
-    played = team_stats.select("date", "team", "game").distinct()
-    counts = expanding_totals(spine, played, ["team"], "date", {"games": F.count(F.lit(1))}).where("games > 0")
-    kinds = team_stats.select("team", "pos", "metric").distinct()
-    wide_spine = spine.join(kinds, "team")
-    sums = expanding_totals(
-        wide_spine, team_stats, ["team", "pos", "metric"], "date", {"total": F.sum("value"), "seen": F.count(F.lit(1))}
-    ).where("seen > 0")
-    joined = sums.join(counts, ["team", "date"])
-    return joined.select("date", "team", "pos", F.concat("metric", F.lit(f":{label}")).alias("metric"), (F.col("total") / F.col("games")).alias("value"))
+    names = cell_names(team_stats)
+    states = past_averages(games.select("date", "team").distinct(), team_stats, ["team"], names)
+    cells = [F.struct(F.lit(p).alias("pos"), F.lit(f"{m}:{label}").alias("metric"), F.col(f"`{p}:{m}`").alias("value")) for p, m in names]
+    if not cells:
+        return states.select("date", "team", *[F.lit(None).cast(t).alias(c) for c, t in (("pos", "string"), ("metric", "string"), ("value", "double"))]).limit(0)
+    return states.select("date", "team", F.inline(F.array(*cells))).where("value IS NOT NULL")
 
 
 def second_degree(games: DataFrame, team_stats: DataFrame) -> DataFrame:
@@ -244,21 +220,33 @@ def second_degree(games: DataFrame, team_stats: DataFrame) -> DataFrame:
     return team_history(games, swap_columns(team_stats, "team", "opponent"), "2nd")
 
 
-def game_context(games: DataFrame, roster: DataFrame, history: DataFrame, player_history: DataFrame, results: DataFrame) -> DataFrame:
-    """Long feature rows for every (game, player on either side).
+def team_states(games: DataFrame, team_stats: DataFrame, cells: Sequence[tuple[str, str]]) -> DataFrame:
+    """(date, team, ``<pos>:<metric>:1st``, ``...:2nd``): a team's own past averages and those of its opponents against it."""
+    asks = games.select("date", "team").distinct()
+    sides = []
+    for label, rows in (("1st", team_stats), ("2nd", swap_columns(team_stats, "team", "opponent"))):
+        states = past_averages(asks, rows, ["team"], cells)
+        sides.append(states.select("date", "team", *[F.col(f"`{c}`").alias(f"{c}:{label}") for c in map(":".join, cells)]))
+    return sides[0].join(sides[1], ["date", "team"], "full")
 
-    ``games`` holds one row per game and side: (game, date, team, opponent, is_home);
-    ``roster`` (team, player, pos). Families: Team and Opp from ``history`` (date, team,
-    pos, metric, value), Player from ``player_history`` and Result from ``results``
-    (date, team, player, metric, value).
-    """
-    seats = games.join(roster, "team").select("game", "date", "team", "opponent", "player", F.col("pos").alias("player_pos"), "is_home")
-    cell = F.concat_ws(":", "pos", "metric")
-    team = seats.join(history, ["date", "team"]).select(*seats.columns, F.lit("Team").alias("family"), cell.alias("metric"), "value")
-    rival = history.withColumnRenamed("team", "opponent")
-    opp = seats.join(rival, ["date", "opponent"]).select(*seats.columns, F.lit("Opp").alias("family"), cell.alias("metric"), "value")
 
-    def own(df: DataFrame, family: str) -> DataFrame:
-        return seats.join(df, ["date", "team", "player"]).select(*seats.columns, F.lit(family).alias("family"), "metric", "value")
+def seats(games: DataFrame, roster: DataFrame) -> DataFrame:
+    """One row per game and player on either side: game, date, team, opponent, is_home, player, pos."""
+    return games.join(roster, "team").select("game", "date", "team", "opponent", "is_home", "player", "pos")
 
-    return team.unionByName(opp).unionByName(own(player_history, "Player")).unionByName(own(results, "Result"))
+
+def game_context(places: DataFrame, teams: DataFrame, players: DataFrame, results: DataFrame) -> DataFrame:
+    """Every seat with the past of its team, its opponent and its player and with the game's own result.
+
+    ``teams`` holds (date, team, ...), ``players`` (date, team, player, ...) and ``results``
+    (game, team, player, ...); their other columns become ``Team:``, ``Opp:``, ``Player:`` and ``Result:`` columns, null
+    where there is nothing. Rows are as wide as a matrix and as many as the seats.
+    """
+    def named(df: DataFrame, ids: Mapping[str, str], family: str) -> DataFrame:
+        return df.select(*[F.col(i).alias(n) for i, n in ids.items()], *[F.col(f"`{c}`").alias(f"{family}:{c}") for c in df.columns if c not in ids])
+
+    out = places.join(named(teams, {"date": "date", "team": "team"}, "Team"), ["date", "team"], "left")
+    out = out.join(named(teams, {"date": "date", "team": "opponent"}, "Opp"), ["date", "opponent"], "left")
+    for df, family, own in ((players, "Player", ["date", "team", "player"]), (results, "Result", ["game", "team", "player"])):
+        out = out.join(named(df, dict(zip(own, own)), family), own, "left")
+    return out

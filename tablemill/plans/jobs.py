@@ -8,7 +8,7 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.functions import text, times
+from tablemill.functions import numbers, text, times
 from tablemill.modeling import evaluate, features, training
 from tablemill.operators import aggregates, checks, columns, filters, joins, series, windows
 from tablemill.session import settle
@@ -83,38 +83,47 @@ def project_timeline_view(
 
 
 def training_matrix(
-    stats: DataFrame, games: DataFrame, response: str, cells: Sequence[str], top_share: float = 0.5, min_game: int = 8
+    tables: Mapping[str, DataFrame], ids: Sequence[str], games: DataFrame, ranks: DataFrame, response: str, top_share: float = 0.5, min_game: int = 8
 ) -> DataFrame:
-    """One row per (game, player) with the response and past averages of team, opponent and player.
-
-    ``stats`` holds (date, team, opponent, game, player, pos, metric, value); ``games`` one
-    row per game and side. ``cells`` names the ``pos:metric`` columns to build. Histories
-    are small wide tables per (date, team), joined to the rows that have a response.
+    """One row per (game, player) with the response, the past of team, opponent and player, and strength-adjusted values.
+
+    ``tables`` are raw statistics by type (``ids`` game, team, player, pos, then text columns),
+    ``games`` holds one row per game and side (game, date, team, opponent, is_home) and
+    ``ranks`` (damping, opponent, rank). Texts are parsed, players rolled up to teams, averages
+    per past game taken of every statistic, of both sides, first and second degree. A
+    player's averages are also weighted by the ranks of the opponents faced and put back on
+    their scale by the rank of the coming opponent (``Player:<metric>:Adj:<damping>``).
     """
-    teams = aggregates.metric_rollup(stats, ["date", "team", "opponent", "game", "pos"])
-    teams = settle(teams, "teams")
-
-    def wide(history: DataFrame, key: str, prefix: str, suffix: str) -> DataFrame:
-        names = [f"{c}:{suffix}" for c in cells]
-        cells_of = history.withColumn("_cell", F.concat_ws(":", "pos", "metric"))
-        table = cells_of.groupBy("date", F.col("team").alias(key)).pivot("_cell", names).agg(F.first("value"))
-        return settle(table.withColumnsRenamed({n: f"{prefix}:{n}" for n in names}), "history")
+    long = series.metric_tables_union(tables, games.select("game", "date", "team", "opponent"), ["game", "team"], ids)
+    stats = settle(long.withColumn("value", numbers.stat_number(F.col("metric"), F.col("value"))).where("value IS NOT NULL"), "stats")
+    teams = settle(aggregates.metric_rollup(stats, ["date", "team", "opponent", "game", "pos"]), "teams")
+    cells = joins.cell_names(teams)
+    metrics = sorted({m for _, m in cells})
 
-    first = joins.team_history(games, teams, "1st")
-    second = joins.second_degree(games, teams)
     numbered = windows.sequence_number(games.withColumn("year", F.year("date")), ["team", "year"], ["date", "opponent"], "game_number")
-    results = stats.where(F.col("metric") == response).groupBy("game", "date", "team", "opponent", "player").agg(F.sum("value").alias("response"))
+    results = stats.groupBy("date", "game", "team", "opponent", "player").agg(*[F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
     results = settle(results, "results")
-    past = joins.expanding_totals(
-        results.select("team", "player", "date").distinct(), results, ["team", "player"], "date", {"total": F.sum("response"), "seen": F.count(F.lit(1))}
-    ).where("seen > 0")
-    rows = results.join(numbered.select("game", "team", "game_number", "is_home"), ["game", "team"]).where(F.col("game_number") >= min_game)
-    rows = filters.top_entities(rows, "player", "response", top_share)
-    rows = rows.join(wide(first, "team", "Team", "1st"), ["date", "team"], "left").join(wide(first, "opponent", "Opp", "1st"), ["date", "opponent"], "left")
-    rows = rows.join(wide(second, "team", "Team", "2nd"), ["date", "team"], "left")
-    rows = rows.join(past.select("team", "player", "date", (F.col("total") / F.col("seen")).alias("Player:past")), ["team", "player", "date"], "left")
-    derived = [{"op": "diff", "left": f"Team:{c}:1st", "right": f"Opp:{c}:1st", "result": f"Diff:{c}"} for c in cells]
-    return columns.add_binary_fields(rows, derived)
+    rows = results.where(F.col(f"`{response}`").isNotNull()).join(numbered.select("game", "team", "game_number", "is_home"), ["game", "team"])
+    rows = rows.where(F.col("game_number") >= min_game).select("game", "date", "team", "opponent", "player", "is_home", "game_number", F.col(f"`{response}`").alias("response"))
+    rows = settle(filters.top_entities(rows, "player", "response", top_share), "rows")
+
+    # only (date, team) pairs of the rows are asked for
+    asked = rows.select("date", "team").unionByName(rows.select("date", F.col("opponent").alias("team")))
+    dampings = sorted(r[0] for r in ranks.select("damping").distinct().collect())  # a handful of damping factors
+    faced = stats.groupBy("date", "game", "team", "opponent", "player", "metric").agg(F.sum("value").alias("value"))
+    for d in dampings:
+        faced = joins.lookup_with_default(faced.withColumn("damping", F.lit(d)), ranks.withColumnRenamed("rank", f"rank_{d}"), ["damping", "opponent"], ["damping"], "opponent", f"rank_{d}").drop("damping")
+    past = joins.past_averages(
+        rows.select("team", "player", "date").distinct(), faced, ["team", "player"], [(m,) for m in metrics], ["metric"], [f"rank_{d}" for d in dampings]
+    )
+    own = results.drop("opponent", "date")
+    matrix = joins.game_context(rows, settle(joins.team_states(asked, teams, cells), "states"), past.withColumnRenamed("games", "ContribG"), own)
+    for d in dampings:
+        coming = joins.lookup_with_default(matrix.withColumn("damping", F.lit(d)), ranks.withColumnRenamed("rank", "_rank"), ["damping", "opponent"], ["damping"], "opponent", "_rank")
+        adjusted = {f"Player:{m}:Adj:{d}": F.try_divide(F.col(f"`Player:{m}@rank_{d}`"), F.col("_rank")) for m in metrics}
+        matrix = coming.withColumns(adjusted).drop("damping", "_rank", *[f"Player:{m}@rank_{d}" for m in metrics])
+    derived = [{"op": "diff", "left": f"Team:{c}:1st", "right": f"Opp:{c}:1st", "result": f"Diff:{c}"} for c in map(":".join, cells)]
+    return columns.add_binary_fields(matrix, derived)
 
 
 def entity_feature_table(observations: DataFrame, entities: DataFrame, value: str = "value", limit: int = 4) -> DataFrame:

@@ -88,7 +88,7 @@ def _(spark, sf):
     return _r6(ops.per_game_average(bindings.stats(spark, sf), ["team"], "game", ["pos", "metric"]), "value")
 
 
-def _ranks(spark, sf):
+def team_ranks(spark, sf):
     """Strength of a team: its share of all sold quantity, mixed with the uniform share."""
     share = bindings.lines(spark, sf).where("team < 20").groupBy(F.col("team").alias("opponent")).agg(F.sum("q").alias("q"))
     share = ops.attach(share, [], {"_all": F.sum("q"), "_n": F.count("*")})
@@ -107,16 +107,15 @@ dflt AS (SELECT damping, 1.0::DOUBLE / count(DISTINCT opponent) AS d0 FROM ranks
 @query(
     "A09_strength_adjusted",
     f"""WITH {bindings.STATS_SQL}, {RANKS_SQL},
-        s AS (SELECT * FROM stats WHERE metric = 'passing:Yds'), g AS (SELECT team, count(DISTINCT game) AS n FROM s GROUP BY 1),
-        a AS (SELECT team, pos, damping, n, sum(value) / n AS v, sum(value * coalesce(rank, d0)) / n AS a
-              FROM s JOIN g USING (team) CROSS JOIN dflt LEFT JOIN ranks USING (damping, opponent) GROUP BY team, pos, damping, n)
-        SELECT team, pos, a.damping AS damping, n, R6(v) AS v, R6(a) AS a, R6(a / coalesce(rank, d0)) AS adjusted
+        g AS (SELECT team, count(DISTINCT game) AS n FROM stats GROUP BY 1),
+        a AS (SELECT team, pos, metric, damping, n, sum(value) / n AS v, sum(value * coalesce(rank, d0)) / n AS a
+              FROM stats JOIN g USING (team) CROSS JOIN dflt LEFT JOIN ranks USING (damping, opponent) GROUP BY team, pos, metric, damping, n)
+        SELECT team, pos, metric, a.damping AS damping, n, R6(v) AS v, R6(a) AS a, R6(a / coalesce(rank, d0)) AS adjusted
         FROM a JOIN dflt USING (damping) LEFT JOIN ranks r ON r.damping = a.damping AND r.opponent = (a.team + 1) % 25""",
 )
 def _(spark, sf):
-    s = bindings.stats(spark, sf).where("metric = 'passing:Yds'")
-    ranks = _ranks(spark, sf)
-    a = ops.strength_adjusted(s, ranks, ["team"], ["pos"], "game").withColumn("next_opponent", (F.col("team") + 1) % 25)
+    ranks = team_ranks(spark, sf)
+    a = ops.strength_adjusted(bindings.stats(spark, sf), ranks, ["team"], ["pos", "metric"], "game").withColumn("next_opponent", (F.col("team") + 1) % 25)
     return _r6(ops.resolve_adjusted(a, ranks, "next_opponent").drop("next_opponent"), "v", "a", "adjusted")
 
 
@@ -389,14 +388,14 @@ def _(spark, sf):
 @query(
     "A31_sampling_posterior",
     """WITH p AS (SELECT avg(value) AS m0, var_pop(value) AS b0 FROM events),
-            g AS (SELECT event_type, count(*) AS n, avg(value) AS x, var_pop(value) AS v FROM events WHERE user_id < 50 GROUP BY 1),
+            g AS (SELECT event_type, count(*) AS n, avg(value) AS x, var_pop(value) AS v FROM events GROUP BY 1),
             d AS (SELECT event_type, count(*) + 0.5 AS alpha FROM events GROUP BY 1)
        SELECT event_type, R6((m0 + n * x) / (1 + n)) AS M, R6(1 + n) AS L, R6(1 + n / 2) AS A, R6(b0 + 0.5 * n * v + n * (x - m0) * (x - m0) / (2 * (1 + n))) AS B, R6(alpha) AS alpha
        FROM g JOIN d USING (event_type), p""",
 )
 def _(spark, sf):
     e = table(spark, sf, "events")
-    post = ops.normal_gamma_posterior(e.where("user_id < 50"), ["event_type"], "value", e, "value")
+    post = ops.normal_gamma_posterior(e, ["event_type"], "value", e, "value")
     both = post.join(ops.dirichlet_posterior(e, "event_type", 0.5), "event_type")
     return _r6(both, "M", "L", "A", "B", "alpha")
 

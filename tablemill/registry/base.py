@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query; ``R6(x)`` in the SQL expands to the rounding of :func:`r6`."""
+    """Register a query; ``R6(x)`` and ``R3(x)`` in the SQL expand to the rounding of :func:`r6` and :func:`r3`."""
 
     def register(function):
         @wraps(function)
@@ -42,14 +42,20 @@ def r6(c: Column | str) -> Column:
     return F.floor(value.cast("double") * 1e6 + 0.49) / 1e6
 
 
+def r3(c: Column | str) -> Column:
+    """Three decimals in the same way, for values far above 1 that many additions went into."""
+    value = F.col(c) if isinstance(c, str) else c
+    return F.floor(value.cast("double") * 1e3 + 0.49) / 1e3
+
+
 def expand(sql: str) -> str:
-    while (m := re.search(r"\bR6\(", sql)) is not None:
+    while (m := re.search(r"\bR([36])\(", sql)) is not None:
         depth, i = 1, m.end()
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[i], 0)
             i += 1
         body = sql[m.end() : i - 1]
-        sql = f"{sql[: m.start()]}(floor(CAST(({body}) AS DOUBLE) * 1e6 + 0.49) / 1e6){sql[i:]}"
+        sql = f"{sql[: m.start()]}(floor(CAST(({body}) AS DOUBLE) * 1e{m[1]} + 0.49) / 1e{m[1]}){sql[i:]}"
     return sql
 
 

@@ -58,11 +58,33 @@ def wide_stats(spark: SparkSession, sf: str) -> DataFrame:
     return wide.withColumn("game", F.concat_ws(":", F.date_format("date", "yyyy-MM"), low, high))
 
 
+METRICS = ["passing:Yds", "passing:Att", "passing:Lg", "passing:YPA"]
+
+#: One row per (date, team, opponent, game, pos) and metric: players rolled up by each metric's own rule.
+TEAMS_SQL = """teams AS (
+  SELECT date, team, opponent, strftime(date, '%Y-%m') || ':' || least(team, opponent) || ':' || greatest(team, opponent) AS game, pos, metric, value
+  FROM (SELECT date, team, opponent, pos, 'passing:Yds' AS metric, CAST(sum(yds) AS DOUBLE) AS value FROM wide GROUP BY ALL
+        UNION ALL SELECT date, team, opponent, pos, 'passing:Att', CAST(sum(att) AS DOUBLE) FROM wide GROUP BY ALL
+        UNION ALL SELECT date, team, opponent, pos, 'passing:Lg', max(lg) FROM wide GROUP BY ALL
+        UNION ALL SELECT date, team, opponent, pos, 'passing:YPA', sum(ypa * att) / sum(att) FROM wide GROUP BY ALL))"""
+
+
+def stat_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The statistics as their sources print them, in texts: attempts as ``5/7``, the longest with a ``t`` behind it."""
+    text = lambda m: F.col(f"`passing:{m}`").cast("string")
+    wide = settle(wide_stats(spark, sf), "wide")
+    attempts = F.concat(text("Att"), F.lit("/"), text("Att"))
+    return {
+        "passing": wide.select(
+            "game", "team", "player", "pos", text("Yds").alias("Yds"), attempts.alias("Att"), F.concat(text("Lg"), F.lit("t")).alias("Lg"), text("YPA").alias("YPA")
+        )
+    }
+
+
 def stats(spark: SparkSession, sf: str) -> DataFrame:
     """(date, team, opponent, game, player, pos, metric, value)"""
     keys = ["date", "team", "opponent", "game", "player", "pos"]
-    metrics = ["passing:Yds", "passing:Att", "passing:Lg", "passing:YPA"]
-    return settle(wide_stats(spark, sf), "stats").unpivot(keys, [F.col(f"`{m}`") for m in metrics], "metric", "value")
+    return settle(wide_stats(spark, sf), "stats").unpivot(keys, [F.col(f"`{m}`") for m in METRICS], "metric", "value")
 
 
 def games(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from tablemill.operators import joins as ops
+from tablemill.operators.aggregates import metric_rollup
 from tablemill.registry import bindings
-from tablemill.registry.base import day_text, query, r6, table
+from tablemill.registry.base import day_text, query, r3, r6, table
+from tablemill.session import settle
 
 
 @query(
@@ -29,12 +31,12 @@ def _(spark, sf):
 
 @query(
     "J03_full_outer",
-    """WITH a AS (SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' AND value > 50 GROUP BY 1),
-            b AS (SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' AND value > 50 GROUP BY 1)
+    """WITH a AS (SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1),
+            b AS (SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY 1)
        SELECT user_id, coalesce(clicks, 0) AS clicks, coalesce(views, 0) AS views FROM a FULL JOIN b USING (user_id)""",
 )
 def _(spark, sf):
-    e = table(spark, sf, "events").where("value > 50")
+    e = table(spark, sf, "events")
     a = e.where("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("clicks"))
     b = e.where("event_type = 'view'").groupBy("user_id").agg(F.count("*").alias("views"))
     return ops.full(a, b, ["user_id"]).fillna(0)
@@ -42,17 +44,18 @@ def _(spark, sf):
 
 @query(
     "J04_index_concat",
-    """WITH a AS (SELECT user_id, count(*) AS n, max(value) AS top FROM events WHERE event_type = 'click' AND value > 40 GROUP BY 1),
-            b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' AND value > 40 GROUP BY 1),
-            c AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND value > 40 GROUP BY 1)
-       SELECT user_id, a.n AS click_n, top AS click_top, b.n AS view_n, c.n AS error_n
-       FROM a FULL JOIN b USING (user_id) FULL JOIN c USING (user_id)""",
+    """WITH a AS (SELECT user_id, count(*) AS n, max(value) AS top FROM events WHERE event_type = 'click' GROUP BY 1),
+            b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1),
+            c AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
+            d AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1),
+            e AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1)
+       SELECT user_id, a.n AS click_n, top AS click_top, b.n AS view_n, c.n AS error_n, d.n AS purchase_n, e.n AS signup_n
+       FROM a FULL JOIN b USING (user_id) FULL JOIN c USING (user_id) FULL JOIN d USING (user_id) FULL JOIN e USING (user_id)""",
 )
 def _(spark, sf):
-    e = table(spark, sf, "events").where("value > 40")
-    by = {t: e.where(F.col("event_type") == t).groupBy("user_id") for t in ("click", "view", "error")}
+    e = table(spark, sf, "events")
     n = F.count("*").alias("n")
-    parts = {"click": by["click"].agg(n, F.max("value").alias("top")), "view": by["view"].agg(n), "error": by["error"].agg(n)}
+    parts = {t: e.where(F.col("event_type") == t).groupBy("user_id").agg(n, *([F.max("value").alias("top")] if t == "click" else [])) for t in ("click", "view", "error", "purchase", "signup")}
     return ops.align_tables(parts, ["user_id"])
 
 
@@ -159,15 +162,14 @@ def _(spark, sf):
 @query(
     "J12_second_degree",
     f"""WITH {bindings.STATS_SQL}, {bindings.GAMES_SQL},
-        ts AS (SELECT date, opponent AS team, game, pos, metric, sum(value) AS value FROM stats WHERE metric IN ('passing:Yds', 'passing:Att') GROUP BY ALL),
+        ts AS (SELECT date, opponent AS team, game, pos, metric, sum(value) AS value FROM stats GROUP BY ALL),
         spine AS (SELECT DISTINCT date, team FROM games),
         played AS (SELECT s.date, s.team, count(DISTINCT game) AS games FROM spine s JOIN ts t ON t.team = s.team AND t.date < s.date GROUP BY 1, 2),
         sums AS (SELECT s.date, s.team, pos, metric, sum(value) AS total FROM spine s JOIN ts t ON t.team = s.team AND t.date < s.date GROUP BY ALL)
         SELECT strftime(date, '%Y-%m-%d') AS day, team, pos, metric || ':2nd' AS metric, R6(total / games) AS value FROM sums JOIN played USING (date, team)""",
 )
 def _(spark, sf):
-    stats = bindings.stats(spark, sf).where(F.col("metric").isin("passing:Yds", "passing:Att"))
-    got = ops.second_degree(bindings.games(spark, sf), stats)
+    got = ops.second_degree(bindings.games(spark, sf), bindings.stats(spark, sf))
     return got.select(day_text("date").alias("day"), "team", "pos", "metric", r6("value").alias("value"))
 
 
@@ -257,29 +259,47 @@ def _(spark, sf):
     return near.select("vec_id", "nearest_id", r6("distance").alias("distance"))
 
 
-@query(
-    "J19_self_context",
-    f"""WITH {bindings.STATS_SQL}, {bindings.GAMES_SQL},
-        picked AS (SELECT * FROM stats WHERE metric = 'passing:Yds'),
-        roster AS (SELECT DISTINCT team, player, pos FROM picked),
-        ts AS (SELECT date, team, game, pos, sum(value) AS value FROM picked GROUP BY ALL),
+def _context_sql() -> str:
+    """Wide states per (date, team) and (date, team, player), then four joins to the seats."""
+    word = lambda m: m.split(":")[1].lower()
+    cells = [(p, m) for p in "LS" for m in bindings.METRICS]
+    wide = ", ".join(f"sum(value) FILTER (pos = '{p}' AND metric = '{m}') / count(DISTINCT game) AS {p.lower()}_{word(m)}" for p, m in cells)
+    own = ", ".join(f"sum(value) FILTER (metric = '{m}') / count(DISTINCT game) AS {word(m)}" for m in bindings.METRICS)
+    result = ", ".join(f"sum(value) FILTER (metric = '{m}') AS {word(m)}" for m in bindings.METRICS)
+    shown = [f"{p.lower()}_{word(m)}" for p, m in cells]
+    out = [f"R3(avg({side}.{c})) AS {label}_{c}" for side, label in (("a", "team"), ("b", "opp"), ("c", "team2"), ("d", "opp2")) for c in shown]
+    out += [f"R3(avg({side}.{word(m)})) AS {label}_{word(m)}" for side, label in (("p", "player"), ("r", "result")) for m in bindings.METRICS]
+    return f"""WITH {bindings.STATS_SQL}, {bindings.GAMES_SQL}, {bindings.TEAMS_SQL},
+        roster AS (SELECT DISTINCT team, player, pos FROM stats),
         spine AS (SELECT DISTINCT date, team FROM games),
-        played AS (SELECT s.date, s.team, count(DISTINCT game) AS games FROM spine s JOIN ts t ON t.team = s.team AND t.date < s.date GROUP BY 1, 2),
-        hist AS (SELECT s.date, s.team, pos, sum(value) / any_value(games) AS value FROM spine s JOIN ts t ON t.team = s.team AND t.date < s.date JOIN played p ON p.date = s.date AND p.team = s.team GROUP BY ALL),
+        h1 AS (SELECT s.date, s.team, {wide} FROM spine s JOIN teams t ON t.team = s.team AND t.date < s.date GROUP BY 1, 2),
+        h2 AS (SELECT s.date, s.team, {wide} FROM spine s JOIN teams t ON t.opponent = s.team AND t.date < s.date GROUP BY 1, 2),
+        box AS (SELECT date, team, player, game, metric, sum(value) AS value FROM stats GROUP BY ALL),
         seats AS (SELECT g.*, player, pos FROM games g JOIN roster USING (team)),
-        rows AS (
-          SELECT s.team, s.player, 'Team' AS family, h.pos || ':passing:Yds:1st' AS metric, is_home, h.value FROM seats s JOIN hist h ON h.date = s.date AND h.team = s.team
-          UNION ALL SELECT s.team, s.player, 'Opp', h.pos || ':passing:Yds:1st', is_home, h.value FROM seats s JOIN hist h ON h.date = s.date AND h.team = s.opponent
-          UNION ALL SELECT s.team, s.player, 'Result', r.metric, is_home, r.value FROM seats s JOIN (SELECT date, team, player, metric, sum(value) AS value FROM picked GROUP BY ALL) r
-                    ON r.date = s.date AND r.team = s.team AND r.player = s.player)
-        SELECT team, player, family, metric, CAST(is_home AS INT) AS is_home, count(*) AS n, R6(avg(value)) AS mean FROM rows GROUP BY ALL""",
-)
+        past AS (SELECT s.date, s.team, s.player, count(DISTINCT game) AS games, {own}
+                 FROM (SELECT DISTINCT date, team, player FROM seats) s JOIN box USING (team, player) WHERE box.date < s.date GROUP BY 1, 2, 3),
+        res AS (SELECT date, game, team, player, {result} FROM box GROUP BY ALL)
+        SELECT s.team, s.player, s.pos, CAST(is_home AS INT) AS is_home, count(*) AS n, CAST(sum(p.games) AS BIGINT) AS contributed, {", ".join(out)}
+        FROM seats s LEFT JOIN h1 a ON a.date = s.date AND a.team = s.team LEFT JOIN h1 b ON b.date = s.date AND b.team = s.opponent
+             LEFT JOIN h2 c ON c.date = s.date AND c.team = s.team LEFT JOIN h2 d ON d.date = s.date AND d.team = s.opponent
+             LEFT JOIN past p ON p.date = s.date AND p.team = s.team AND p.player = s.player
+             LEFT JOIN res r ON r.game = s.game AND r.team = s.team AND r.player = s.player GROUP BY s.team, s.player, s.pos, is_home"""
+
+
+@query("J19_self_context", _context_sql())
 def _(spark, sf):
-    picked = bindings.stats(spark, sf).where("metric = 'passing:Yds'")
-    games = bindings.games(spark, sf)
-    history = ops.team_history(games, picked, "1st")
-    roster = picked.select("team", "player", "pos").distinct()
-    results = picked.groupBy("date", "team", "player", "metric").agg(F.sum("value").alias("value"))
-    rows = ops.game_context(games, roster, history, results.limit(0), results)
-    grouped = rows.groupBy("team", "player", "family", "metric", F.col("is_home").cast("int").alias("is_home"))
-    return grouped.agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
+    stats = settle(bindings.stats(spark, sf), "stats")
+    games = settle(bindings.games(spark, sf), "games")
+    teams = settle(metric_rollup(stats, ["date", "team", "opponent", "game", "pos"]), "teams")
+    cells, metrics = ops.cell_names(teams), [(m,) for m in bindings.METRICS]
+    roster = stats.select("team", "player", "pos").distinct()
+    places = ops.seats(games, roster)
+    box = settle(stats.groupBy("date", "team", "player", "game", "metric").agg(F.sum("value").alias("value")), "box")
+    past = ops.past_averages(places.select("date", "team", "player").distinct(), box, ["team", "player"], metrics, ["metric"])
+    results = box.groupBy("game", "team", "player").agg(*[F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in bindings.METRICS])
+    rows = ops.game_context(places, ops.team_states(games, teams, cells), past, results)
+    word = lambda m: m.split(":")[1].lower()
+    shown = [(f"{family}:{p}:{m}:{label}", f"{short}_{p.lower()}_{word(m)}") for family, label, short in (("Team", "1st", "team"), ("Opp", "1st", "opp"), ("Team", "2nd", "team2"), ("Opp", "2nd", "opp2")) for p, m in cells]
+    shown += [(f"{family}:{m}", f"{family.lower()}_{word(m)}") for family in ("Player", "Result") for m in bindings.METRICS]
+    grouped = rows.groupBy("team", "player", "pos", F.col("is_home").cast("int").alias("is_home"))
+    return grouped.agg(F.count("*").alias("n"), F.sum("`Player:games`").alias("contributed"), *[r3(F.avg(f"`{c}`")).alias(a) for c, a in shown])

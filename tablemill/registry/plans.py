@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tablemill.plans import jobs
 from tablemill.registry import bindings
-from tablemill.registry.base import day_text, query, r6, table
+from tablemill.registry.aggregates import RANKS_SQL, team_ranks
+from tablemill.registry.base import day_text, query, r3, r6, table
 from tablemill.registry.evaluation import FEATURES, _classifiers, labelled
 from tablemill.registry.joins import FIRST, MENTIONS_SQL, SECOND, mentions
 from tablemill.registry.series import METRIC_IDS, UNSTACK_SQL, metric_index
@@ -125,30 +126,56 @@ def _(spark, sf):
     )
 
 
-@query(
-    "Q06_training_matrix",
-    f"""WITH {bindings.STATS_SQL}, {bindings.GAMES_SQL},
-        ts AS (SELECT date, team, opponent, game, pos, sum(value) AS v FROM stats WHERE metric = 'passing:Yds' GROUP BY 1, 2, 3, 4, 5),
+def _word(metric: str) -> str:
+    return metric.split(":")[1].lower()
+
+
+def _matrix_sql() -> str:
+    """The job with one column for each statistic, written out from the list of metrics."""
+    cells = [(p, m) for p in "LS" for m in bindings.METRICS]
+    wide = ", ".join(f"sum(value) FILTER (pos = '{p}' AND metric = '{m}') / count(DISTINCT game) AS {p.lower()}_{_word(m)}" for p, m in cells)
+    own = ", ".join(
+        f"sum(value) FILTER (metric = '{m}') / max(games) AS {_word(m)}, " + ", ".join(f"sum(value * r{d}) FILTER (metric = '{m}') / max(games) AS {_word(m)}_{d}" for d in ("20", "80"))
+        for m in bindings.METRICS
+    )
+    result = ", ".join(f"sum(value) FILTER (metric = '{m}') AS {_word(m)}" for m in bindings.METRICS)
+    out = []
+    for m in map(_word, bindings.METRICS):
+        out += [f"R3(a.s_{m}) AS team_s_{m}", f"R3(b.l_{m}) AS opp_l_{m}", f"R3(c.s_{m}) AS second_s_{m}", f"R3(d.l_{m}) AS second_opp_l_{m}", f"R3(a.s_{m} - b.s_{m}) AS diff_s_{m}"]
+        out += [f"R3(p.{m}) AS past_{m}", f"R3(p.{m}_20 / k.r20) AS adjusted_20_{m}", f"R3(p.{m}_80 / k.r80) AS adjusted_80_{m}", f"R3(q.{m}) AS result_{m}"]
+    return f"""WITH {bindings.STATS_SQL}, {bindings.GAMES_SQL}, {bindings.TEAMS_SQL}, {RANKS_SQL},
+        rk AS (SELECT opponent, max(coalesce(rank, d0)) FILTER (damping = '20') AS r20, max(coalesce(rank, d0)) FILTER (damping = '80') AS r80
+               FROM (SELECT DISTINCT opponent FROM games) CROSS JOIN dflt LEFT JOIN ranks USING (damping, opponent) GROUP BY 1),
         spine AS (SELECT DISTINCT date, team FROM games),
-        h1 AS (SELECT s.date, s.team, sum(v) FILTER (pos = 'S') / count(DISTINCT game) AS s, sum(v) FILTER (pos = 'L') / count(DISTINCT game) AS l FROM spine s JOIN ts t ON t.team = s.team AND t.date < s.date GROUP BY 1, 2),
-        h2 AS (SELECT s.date, s.team, sum(v) FILTER (pos = 'S') / count(DISTINCT game) AS s FROM spine s JOIN ts t ON t.opponent = s.team AND t.date < s.date GROUP BY 1, 2),
+        h1 AS (SELECT s.date, s.team, {wide} FROM spine s JOIN teams t ON t.team = s.team AND t.date < s.date GROUP BY 1, 2),
+        h2 AS (SELECT s.date, s.team, {wide} FROM spine s JOIN teams t ON t.opponent = s.team AND t.date < s.date GROUP BY 1, 2),
         num AS (SELECT game, team, is_home, row_number() OVER (PARTITION BY team, year(date) ORDER BY date, opponent) AS game_number FROM games),
-        res AS (SELECT game, date, team, opponent, player, sum(value) AS response FROM stats WHERE metric = 'passing:Yds' GROUP BY 1, 2, 3, 4, 5),
-        rows AS (SELECT * FROM res JOIN num USING (game, team) WHERE game_number >= 8),
+        box AS (SELECT date, game, team, opponent, player, metric, sum(value) AS value FROM stats GROUP BY ALL),
+        res AS (SELECT game, date, team, opponent, player, {result} FROM box GROUP BY 1, 2, 3, 4, 5),
+        rows AS (SELECT res.game, res.team, date, opponent, player, yds AS response, game_number, is_home FROM res JOIN num USING (game, team) WHERE game_number >= 8),
         best AS (SELECT player FROM (SELECT player, row_number() OVER (ORDER BY avg(response) DESC, player) AS no, count(*) OVER () AS n FROM rows GROUP BY 1) WHERE no <= floor(n * 0.5)),
-        past AS (SELECT r.team, r.player, r.date, avg(p.response) AS past FROM (SELECT DISTINCT team, player, date FROM res) r JOIN res p ON p.team = r.team AND p.player = r.player AND p.date < r.date GROUP BY 1, 2, 3)
-        SELECT game, r.team, r.player, game_number, is_home::INT AS is_home, R6(response) AS response, R6(a.s) AS team_s, R6(b.l) AS opp_l, R6(h2.s) AS second_s, R6(past) AS past, R6(a.s - b.s) AS diff_s
-        FROM rows r JOIN best USING (player) LEFT JOIN h1 a ON a.date = r.date AND a.team = r.team LEFT JOIN h1 b ON b.date = r.date AND b.team = r.opponent
-             LEFT JOIN h2 ON h2.date = r.date AND h2.team = r.team LEFT JOIN past p ON p.team = r.team AND p.player = r.player AND p.date = r.date""",
-)
+        kept AS (SELECT rows.* FROM rows JOIN best USING (player)),
+        faced AS (SELECT r.team, r.player, r.date, game, metric, value, r20, r80, count(DISTINCT game) OVER (PARTITION BY r.team, r.player, r.date) AS games
+                  FROM (SELECT DISTINCT team, player, date FROM kept) r JOIN box x ON x.team = r.team AND x.player = r.player AND x.date < r.date JOIN rk ON rk.opponent = x.opponent),
+        past AS (SELECT team, player, date, max(games) AS games, {own} FROM faced GROUP BY 1, 2, 3)
+        SELECT r.game, r.team, r.player, game_number, is_home::INT AS is_home, p.games AS contributed, R3(response) AS response, {", ".join(out)}
+        FROM kept r JOIN rk k ON k.opponent = r.opponent LEFT JOIN h1 a ON a.date = r.date AND a.team = r.team LEFT JOIN h1 b ON b.date = r.date AND b.team = r.opponent
+             LEFT JOIN h2 c ON c.date = r.date AND c.team = r.team LEFT JOIN h2 d ON d.date = r.date AND d.team = r.opponent
+             LEFT JOIN past p ON p.date = r.date AND p.team = r.team AND p.player = r.player LEFT JOIN res q ON q.game = r.game AND q.team = r.team AND q.player = r.player"""
+
+
+@query("Q06_training_matrix", _matrix_sql())
 def _(spark, sf):
-    stats = bindings.stats(spark, sf).where("metric = 'passing:Yds'")
-    games = bindings.games(spark, sf)
-    m = jobs.training_matrix(stats, games, "passing:Yds", ["S:passing:Yds", "L:passing:Yds"])
-    c = lambda n: r6(F.col(f"`{n}`"))
-    return m.select(
-        "game", "team", "player", "game_number", F.col("is_home").cast("int").alias("is_home"), r6("response").alias("response"), c("Team:S:passing:Yds:1st").alias("team_s"),
-        c("Opp:L:passing:Yds:1st").alias("opp_l"), c("Team:S:passing:Yds:2nd").alias("second_s"), c("Player:past").alias("past"), c("Diff:S:passing:Yds").alias("diff_s"),
+    games = settle(bindings.games(spark, sf), "games")
+    matrix = jobs.training_matrix(bindings.stat_tables(spark, sf), ["game", "team", "player", "pos"], games, settle(team_ranks(spark, sf), "ranks"), "passing:Yds")
+    c = lambda n, name: r3(F.col(f"`{n}`")).alias(name)
+    out = []
+    for m in bindings.METRICS:
+        w = _word(m)
+        out += [c(f"Team:S:{m}:1st", f"team_s_{w}"), c(f"Opp:L:{m}:1st", f"opp_l_{w}"), c(f"Team:S:{m}:2nd", f"second_s_{w}"), c(f"Opp:L:{m}:2nd", f"second_opp_l_{w}"), c(f"Diff:S:{m}", f"diff_s_{w}")]
+        out += [c(f"Player:{m}", f"past_{w}"), c(f"Player:{m}:Adj:20", f"adjusted_20_{w}"), c(f"Player:{m}:Adj:80", f"adjusted_80_{w}"), c(f"Result:{m}", f"result_{w}")]
+    return matrix.select(
+        "game", "team", "player", "game_number", F.col("is_home").cast("int").alias("is_home"), F.col("`Player:ContribG`").alias("contributed"), r3("response").alias("response"), *out
     )
 
 

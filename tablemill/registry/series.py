@@ -114,7 +114,7 @@ def _(spark, sf):
 
 @query(
     "R06_grid_interpolate",
-    """WITH d AS (SELECT user_id, (epoch_us(ts) // 3600000000) * 60 + CASE WHEN event_id % 11 = 0 THEN 7 ELSE 0 END AS t, max(value) AS v FROM events WHERE user_id % 4 <> 3 GROUP BY ALL),
+    """WITH d AS (SELECT user_id, (epoch_us(ts) // 3600000000) * 60 + CASE WHEN event_id % 11 = 0 THEN 7 ELSE 0 END AS t, max(value) AS v FROM events GROUP BY ALL),
             b AS (SELECT *, min(t) OVER (PARTITION BY user_id) AS lo, max(t) OVER (PARTITION BY user_id) AS hi FROM d),
             s AS (SELECT user_id, t AS t0, v AS v0, lead(t) OVER w AS t1, lead(v) OVER w AS v1, lo, hi FROM b WHERE (t - lo) % 60 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY t)),
             g AS (SELECT *, unnest(generate_series(t0, coalesce(t1 - 60, lo + ceil((hi - lo) / 60)::BIGINT * 60), 60)) AS pt FROM s)
@@ -122,7 +122,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     minute = F.floor(F.unix_seconds("ts") / 3600) * 60 + F.when(F.col("event_id") % 11 == 0, 7).otherwise(0)
-    d = table(spark, sf, "events").where("user_id % 4 <> 3").groupBy("user_id", minute.alias("minute")).agg(F.max("value").alias("value"))
+    d = table(spark, sf, "events").groupBy("user_id", minute.alias("minute")).agg(F.max("value").alias("value"))
     return _r6(series.grid_interpolate(d, ["user_id"], "minute", "value", 60, limit=4), "value")
 
 
