@@ -37,8 +37,8 @@ SHARD_BYTES = 64 << 20
 BUCKET_KEYS = 1 << 18
 #: Bits of a level for each key that reaches it, and levels at most; a key left after the last has a twin hash.
 GAMMA, LEVELS = 2.0, 64
-#: Pieces whose ids a Python worker remembers, and their longest.
-KNOWN_PIECES, PIECE_CHARS = 400_000, 32
+#: Pieces whose ids a Python worker remembers (some 200 bytes each), and their longest.
+KNOWN_PIECES, PIECE_CHARS = 1_000_000, 32
 
 
 # --- tokens ---
