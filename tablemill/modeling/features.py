@@ -12,7 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.skew import attach, join_on_keys, numbered, quantiles, top_rows
+from tablemill.session import settle
+from tablemill.skew import attach, join_on_keys, lookup, numbered, quantiles, top_rows
 
 
 def mean_impute(df: DataFrame, columns: Sequence[str], indicators: bool = True) -> DataFrame:
@@ -173,36 +174,58 @@ def bigrams(terms: DataFrame, key: str) -> DataFrame:
     return NGram(n=2, inputCol="terms", outputCol="_pairs").transform(terms).select(key, F.col("_pairs").alias("terms"))
 
 
+def counted_terms(terms: DataFrame, key: str) -> DataFrame:
+    """(key, term, n): occurrences of each term of a row, counted inside the row, so nothing is shuffled.
+
+    Equal terms lie together in the sorted list; where each begins and where the next begins give its count.
+    """
+    lists = terms.select(key, F.sort_array(F.coalesce("terms", F.array().cast("array<string>"))).alias("_all"))
+    begins = F.filter(F.transform("_all", lambda t, i: F.when((i == 0) | (t != F.get("_all", i - 1)), i)), lambda i: i.isNotNull())
+    marked = lists.select(key, "_all", begins.alias("_at"))
+    cells = F.transform("_at", lambda b, i: F.struct(F.get("_all", b).alias("term"), (F.coalesce(F.get("_at", i + 1), F.size("_all")) - b).cast("long").alias("n")))
+    return marked.select(key, F.inline(cells))
+
+
 def term_counts(terms: DataFrame, key: str) -> DataFrame:
-    """(term, n, documents)."""
-    cells = terms.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
-    return cells.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
+    """(term, n, documents); one shuffle of sums by term."""
+    return counted_terms(terms, key).groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
 
 
 def document_term_matrix(terms: DataFrame, key: str, min_documents: int = 1) -> DataFrame:
-    """Long form (key, term, n) for terms found in enough documents."""
-    cells = terms.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    """Long form (key, term, n) for terms found in enough documents; a term that many documents hold is not gathered anywhere."""
+    cells = counted_terms(terms, key)
     known = cells.groupBy("term").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= min_documents)
-    return join_on_keys(cells, known, ["term"], "inner").drop("_d")
+    return lookup(cells, known, ["term"]).where("_d IS NOT NULL").drop("_d")
 
 
-def topic_models(terms: DataFrame, key: str, counts: Sequence[int], top_words: int = 10, vocabulary: int = 5000, iterations: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """LDA for several topic counts.
+def topic_models(
+    terms: DataFrame, key: str, counts: Sequence[int], top_words: int = 10, min_documents: int = 2, iterations: int = 10, seed: int = 1, held_out: int = 10
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """LDA for several topic counts over all terms that occur in at least ``min_documents`` rows.
 
-    Returns (k, log_likelihood), then for the best k (topic, term, weight) and
-    (key, topic, share).
+    One row in ``held_out`` (by the hash of its key) is kept from the fits. Returns (k,
+    log_likelihood, held_out, vocabulary, documents), the second being the log likelihood a
+    held-out word; then for the k that predicts them best (topic, term, weight) and (key,
+    topic, share). The model holds k numbers for each term of the vocabulary.
     """
     spark = terms.sparkSession
-    vectors = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocabulary).fit(terms)
-    counted = vectors.transform(terms).select(key, "features").persist()
+    size = terms.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().where(F.col("count") >= min_documents).count()
+    if not size:
+        raise ValueError(f"no term occurs in {min_documents} rows")
+    vectors = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=size, minDF=float(min_documents)).fit(terms)
+    counted = settle(vectors.transform(terms).select(key, "features", (F.pmod(F.xxhash64(key), F.lit(held_out)) == 0).alias("apart")), "counts")
+    train, apart = counted.where("NOT apart"), counted.where("apart")
+    words = apart.select(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
     fits = {}
     for k in counts:
-        model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="features").fit(counted)
-        fits[k] = (float(model.logLikelihood(counted)), model)
-    quality = spark.createDataFrame([(k, v) for k, (v, _) in fits.items()], "k int, log_likelihood double")
-    best = fits[max(fits, key=lambda k: fits[k][0])][1]
-    names = F.array(*[F.lit(w) for w in vectors.vocabulary])
-    pairs = best.describeTopics(top_words).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
-    words = pairs.select("topic", F.get(names, F.col("t.termIndices")).alias("term"), F.col("t.termWeights").alias("weight"))
+        model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="features").fit(train)
+        fits[k] = (float(model.logLikelihood(train)), float(model.logLikelihood(apart)) / words if words else 0.0, model)
+    documents = counted.count()
+    quality = spark.createDataFrame(
+        [(k, a, b, len(vectors.vocabulary), documents) for k, (a, b, _) in fits.items()], "k int, log_likelihood double, held_out double, vocabulary long, documents long"
+    )
+    best = fits[max(fits, key=lambda k: (fits[k][1], -k))][2]
+    top = best.describeTopics(top_words).collect()  # top_words for each topic
+    rows = [(r["topic"], vectors.vocabulary[i], float(w)) for r in top for i, w in zip(r["termIndices"], r["termWeights"])]
     shares = best.transform(counted).select(key, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "share"))
-    return quality, words, shares
+    return quality, spark.createDataFrame(rows, "topic int, term string, weight double"), shares

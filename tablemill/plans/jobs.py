@@ -150,19 +150,32 @@ def entity_feature_table(observations: DataFrame, entities: DataFrame, value: st
 
 def source_merge(
     sources: Sequence[DataFrame], answers: DataFrame, tables: Mapping[str, DataFrame], key: str, kind: str, first: str, second: str, labels: str,
-    max_null_share: float = 0.5,
+    max_null_share: float = 0.5, agree: Sequence[str] = (), max_column_nulls: float = 0.5,
 ) -> DataFrame:
     """Merge sources by preference, fill hidden answers, align feature tables, standardise and encode.
 
-    Every source holds (key, kind, first, second, labels); ``answers`` fills ``first``.
+    Every source holds (key, kind, first, second, labels); ``answers`` fills ``first``. The
+    ``agree`` columns of the feature tables must be the same in all tables that hold a key,
+    else the merge is an error that shows some of them; they appear once in the result.
+    Features that are null in more than ``max_column_nulls`` of the aligned rows are dropped,
+    then rows in which more than ``max_null_share`` of the rest are null.
     """
+    for c in agree:
+        conflicts = checks.column_disagreements(tables, [key], c).limit(5).collect()
+        if conflicts:
+            raise ValueError(f"tables differ in {c}, for example for {[r[key] for r in conflicts]}")
     merged = joins.source_preference(sources, key)
     filled = joins.fill_from_answers(merged, answers, key, first)
     unique = checks.unique_rows(filled, [key])
-    numeric = joins.align_tables(tables, [key])
+    numeric = settle(joins.align_tables({n: d.drop(*agree) for n, d in tables.items()}, [key]), "aligned")
+    numeric = filters.drop_sparse_columns(numeric, int(max_column_nulls * numeric.count()), [key])
     values = [c for c in numeric.columns if c != key]
     dense = filters.drop_sparse_rows(numeric, values, max_null_share)
-    joined = settle(joins.inner(unique, dense, [key]), "merged")
+    joined = joins.inner(unique, dense, [key])
+    if agree:
+        shared = windows.union_all(*[d.select(key, *agree) for d in tables.values()])
+        joined = joined.join(shared.groupBy(key).agg(*[F.max(c).alias(c) for c in agree]), key)
+    joined = settle(joined, "merged")
     joined = aggregates.response_standardise(joined, kind, first, second)
     scaled = features.apply_scaler(joined, features.fit_scaler(joined, values))
     return features.multi_value_one_hot(scaled, labels, features.multi_value_names(joined, labels)).drop(labels)

@@ -11,9 +11,9 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import functions as F
 
 from tablemill.modeling import evaluate as ops
-from tablemill.modeling import training
+from tablemill.modeling import foldsums, training
 from tablemill.operators.sampling import entity_folds
-from tablemill.registry.base import query, r6, table
+from tablemill.registry.base import query, r3, r6, table
 from tablemill.session import settle
 
 
@@ -247,6 +247,15 @@ def _(spark, sf):
 FEATURES = ["n_chars", "words", "lines", "digits"]
 
 
+#: The same rows in SQL.
+LABELLED_SQL = r"""lab AS (
+  SELECT doc_id, CAST(d.n_chars AS DOUBLE) AS n_chars, CAST(len(string_split_regex(text, '\s+')) AS DOUBLE) AS words, CAST(len(string_split(text, chr(10))) AS DOUBLE) AS lines,
+         length(regexp_replace(text, '[^0-9]', '', 'g')) / CAST(length(text) AS DOUBLE) AS digits, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic, 1.0::DOUBLE + toxic AS weight
+  FROM documents AS d JOIN labels USING (doc_id)),
+labelled AS (
+  SELECT *, ((row_number() OVER (PARTITION BY quality ORDER BY md5('4:' || doc_id), doc_id) - 1) % 3)::INT AS fold FROM lab)"""
+
+
 def labelled(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     n = F.length("text")
@@ -262,33 +271,113 @@ def _classifiers():
     return {"tree": lambda: DecisionTreeClassifier(maxDepth=3, seed=1), "logistic": lambda: LogisticRegression(maxIter=10, regParam=0.01)}
 
 
-@query("E01_cv_train")
+def _least_squares_sql(outcomes, weight: str = "1", sets: str = "(VALUES (0), (1), (2)) AS v(i)", train: str = "fold <> i") -> str:
+    """Predictions of all rows from each training set, by orthogonalising one feature after another.
+
+    z1 is the first feature less its training mean, each later z the feature less its mean and
+    its regressions on the z before it; the regression on all z is then one quotient for each.
+    """
+    w = f"CASE WHEN {train} THEN {weight} ELSE 0 END"
+    sql = f"t0 AS (SELECT l.*, i, CAST({w} AS DOUBLE) AS w FROM labelled AS l, {sets})"
+    for k, f in enumerate(FEATURES, 1):
+        less = "".join(f" - z{j} * sum(w * z{j} * {f}) OVER s / sum(w * z{j} * z{j}) OVER s" for j in range(1, k))
+        sql += f""", t{k} AS (SELECT *, {f} - sum(w * {f}) OVER s / sum(w) OVER s{less} AS z{k} FROM t{k - 1} WINDOW s AS (PARTITION BY i))"""
+    for o in outcomes:
+        terms = "".join(f" + z{j} * sum(w * z{j} * {o}) OVER s / sum(w * z{j} * z{j}) OVER s" for j in range(1, len(FEATURES) + 1))
+        sql += f""", p_{o} AS (SELECT *, sum(w * {o}) OVER s / sum(w) OVER s{terms} AS predicted FROM t{len(FEATURES)} WINDOW s AS (PARTITION BY i))"""
+    return sql
+
+
+def _rounded(df):
+    return df.withColumns({"actual": r3("actual"), "predicted": r3("predicted")})
+
+
+@query(
+    "E01_cv_train",
+    f"""WITH {LABELLED_SQL}, {_least_squares_sql(["quality", "toxic"], "weight")}
+       SELECT doc_id, 'linear' AS model, i AS fold, 'quality' AS task, R3(quality) AS actual, R3(predicted) AS predicted FROM p_quality WHERE fold = i
+       UNION ALL SELECT doc_id, 'linear', i, 'toxic', R3(toxic), R3(predicted) FROM p_toxic WHERE fold = i""",
+)
+def _(spark, sf):
+    got, _ = foldsums.cv_least_squares(labelled(spark, sf), ["doc_id"], FEATURES, ["quality", "toxic"], "fold", 3, weight="weight")
+    return _rounded(got)
+
+
+@query(
+    "E02_predict_refit",
+    f"""WITH {LABELLED_SQL}, {_least_squares_sql(["quality"], sets="(VALUES (-1)) AS v(i)", train="TRUE")}
+       SELECT doc_id, 'linear' AS model, i AS fold, 'quality' AS task, R3(quality) AS actual, R3(predicted) AS predicted FROM p_quality""",
+)
+def _(spark, sf):
+    d = labelled(spark, sf)
+    _, fits = foldsums.cv_least_squares(d, ["doc_id"], FEATURES, ["quality"], "fold", 3, refit=True)
+    return _rounded(foldsums.predict_linear(fits, d, ["doc_id"], FEATURES, FEATURES))
+
+
+@query(
+    "E11_importance_table",
+    f"""WITH {LABELLED_SQL}, f AS (SELECT i, regr_slope(quality, words) AS b FROM labelled, (VALUES (0), (1), (2)) AS v(i) WHERE fold <> i GROUP BY 1)
+       SELECT 'linear' AS model, i AS fold, 'quality' AS task, 'words' AS feature, R6(b) AS value FROM f""",
+)
+def _(spark, sf):
+    _, fits = foldsums.cv_least_squares(labelled(spark, sf), ["doc_id"], ["words"], ["quality"], "fold", 3)
+    return _r6(foldsums.coefficient_table(fits, ["words"], spark), "value")
+
+
+RIDGES = [0.0, 0.01, 1.0, 100.0]
+
+
+@query(
+    "E15_grid_param_table",
+    f"""WITH {LABELLED_SQL}, s AS (SELECT digits AS x, quality AS y, fold FROM labelled), g AS (SELECT unnest({RIDGES}::DOUBLE[]) AS ridge),
+       m AS (SELECT o.i, n.j, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(y, x) AS c
+             FROM s, (VALUES (0), (1), (2)) AS o(i), (VALUES (0), (1), (2)) AS n(j) WHERE o.i <> n.j AND fold <> o.i AND fold <> n.j GROUP BY 1, 2),
+       e AS (SELECT i, ridge, sum((y - my - c / (vx + ridge) * (x - mx)) * (y - my - c / (vx + ridge) * (x - mx))) AS cost FROM m JOIN s ON fold = j, g GROUP BY 1, 2),
+       b AS (SELECT i, arg_min(ridge, cost) AS ridge FROM (SELECT * FROM e ORDER BY ridge) GROUP BY 1)
+       SELECT 'linear' AS model, 'ridge' AS variable, CAST(ridge AS VARCHAR) AS value, count(*) AS n FROM b GROUP BY ridge""",
+)
+def _(spark, sf):
+    _, fits = foldsums.cv_least_squares(labelled(spark, sf), ["doc_id"], ["digits"], ["quality"], "fold", 3, ridges=RIDGES)
+    return ops.parameter_counts(foldsums.ridge_table(fits, spark))
+
+
+@query(
+    "E27_multi_output_fit",
+    f"""WITH {LABELLED_SQL}, {_least_squares_sql(["quality", "toxic"], sets="(VALUES (-1)) AS v(i)", train="TRUE")}
+       SELECT doc_id, R3(q.predicted) AS quality_prediction, R3(t.predicted) AS toxic_prediction FROM p_quality AS q JOIN p_toxic AS t USING (doc_id)""",
+)
+def _(spark, sf):
+    got, _ = foldsums.multi_output_linear(labelled(spark, sf), ["doc_id"], FEATURES, ["quality", "toxic"])
+    return got.select("doc_id", r3("quality_prediction").alias("quality_prediction"), r3("toxic_prediction").alias("toxic_prediction"))
+
+
+@query("E01_cv_models")
 def _(spark, sf):
     got, _ = training.cv_train(labelled(spark, sf), ["doc_id"], FEATURES, ["quality", "toxic"], _classifiers(), "fold", 3, weight="weight")
     return got
 
 
-@query("E02_predict_refit")
+@query("E02_refit_models")
 def _(spark, sf):
     d = labelled(spark, sf)
     _, models = training.cv_train(d, ["doc_id"], FEATURES, ["quality"], _classifiers(), "fold", 1, refit=True)
     return training.predict_refit(models, d, ["doc_id"], FEATURES, FEATURES)
 
 
-@query("E11_importance_table")
+@query("E11_importance_models")
 def _(spark, sf):
     _, models = training.cv_train(labelled(spark, sf), ["doc_id"], FEATURES, ["quality"], _classifiers(), "fold", 3)
     return training.importance_table(models, FEATURES, spark)
 
 
-@query("E15_grid_param_table")
+@query("E15_grid_param_models")
 def _(spark, sf):
     def search():
         forest = RandomForestClassifier(numTrees=5, seed=1, labelCol="quality")
         grid = ParamGridBuilder().addGrid(forest.maxDepth, [2, 4]).build()
         return _Search(estimator=forest, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="quality"), seed=1)
 
-    _, models = training.cv_train(labelled(spark, sf), ["doc_id"], FEATURES, ["quality"], {"forest": search}, "fold", 2)
+    _, models = training.cv_train(labelled(spark, sf), ["doc_id"], FEATURES, ["quality"], {"forest": search}, "fold", 3)
     return ops.parameter_counts(training.grid_parameters(models, ["maxDepth"], spark))
 
 
@@ -367,7 +456,7 @@ def _(spark, sf):
     return training.boosting_losses(model, train.withColumn("label", F.col("quality")), test, FEATURES)
 
 
-@query("E27_multi_output_fit")
+@query("E27_multi_output_models")
 def _(spark, sf):
     got, _ = training.multi_output_fit(labelled(spark, sf), ["doc_id"], FEATURES, ["quality", "toxic"], lambda: DecisionTreeRegressor(maxDepth=3, seed=1))
     return got

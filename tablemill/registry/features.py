@@ -121,7 +121,7 @@ def _(spark, sf):
     return _r6(ops.k_best(_items(spark, sf), ["quantity", "price"], "l_returnflag", 5, "classification"), "f")
 
 
-@query("X10_multi_output_select", f"WITH {F_SQL}, g AS (SELECT feature, r * r AS q FROM f) SELECT feature FROM g WHERE feature <> 'quantity' OR TRUE ORDER BY q DESC LIMIT 1")
+@query("X10_multi_output_select", f"WITH {F_SQL} SELECT feature FROM f ORDER BY r * r DESC, feature LIMIT 1")
 def _(spark, sf):
     chosen = ops.select_for_outcomes(_items(spark, sf).withColumn("double_price", F.col("price") * 2), ["quantity", "tax", "discount"], ["price", "double_price"], 1, how="all")
     return spark.createDataFrame([(c,) for c in chosen], "feature string")
@@ -183,9 +183,24 @@ def _(spark, sf):
     return m.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("terms"))
 
 
+def _turns(spark, sf):
+    terms = ops.text_terms(table(spark, sf, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", "text", STOP_WORDS)
+    return terms
+
+
 @query("X14_topic_model")
 def _(spark, sf):
-    terms = ops.text_terms(table(spark, sf, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), "key", "text", STOP_WORDS)
-    _, words, shares = ops.topic_models(terms, "key", [2, 3, 4], top_words=5, vocabulary=1000, iterations=5)
+    _, words, shares = ops.topic_models(_turns(spark, sf), "key", range(2, 11), top_words=5, min_documents=5, iterations=5)
     weight = shares.groupBy("topic").agg(F.sum("share").alias("documents"))
     return words.join(weight, "topic")
+
+
+@query(
+    "X14_topic_facts",
+    f"""WITH {WORDS_SQL.replace("SELECT doc_id, ", "SELECT conv_id || ':' || turn AS key, ").replace("FROM documents", "FROM conversations")}, u AS (SELECT DISTINCT key, unnest(t) AS term FROM w),
+        v AS (SELECT count(*) AS n FROM (SELECT term FROM u GROUP BY 1 HAVING count(*) >= 5))
+        SELECT k::INT AS k, (SELECT n FROM v) AS vocabulary, (SELECT count(*) FROM w) AS documents FROM range(2, 11) AS r(k)""",
+)
+def _(spark, sf):
+    quality, _, _ = ops.topic_models(_turns(spark, sf), "key", range(2, 11), top_words=5, min_documents=5, iterations=2)
+    return quality.select("k", "vocabulary", "documents")

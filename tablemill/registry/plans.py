@@ -204,30 +204,34 @@ def _(spark, sf):
 
 @query(
     "Q08_source_merge",
-    """WITH c AS (SELECT c_custkey AS id, 'c' AS kind, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS a, c_acctbal / 2 AS b, 'x' AS l FROM customer WHERE c_acctbal > 3000),
-       s AS (SELECT s_suppkey AS id, 's' AS kind, s_acctbal AS a, 1.0::DOUBLE AS b, 'x,y' AS l FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM c)),
-       u AS (SELECT * FROM c UNION ALL SELECT * FROM s),
+    """WITH s AS (SELECT s_suppkey * 7 AS id, 's' AS kind, s_acctbal AS a, 1.0::DOUBLE AS b, 'x,y' AS l FROM supplier),
+       c AS (SELECT c_custkey AS id, 'c' AS kind, CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END AS a, c_acctbal / 2 AS b, 'x' AS l FROM customer WHERE c_custkey NOT IN (SELECT id FROM s)),
+       u AS (SELECT * FROM s UNION ALL SELECT * FROM c),
        ans AS (SELECT o_custkey AS id, max(o_totalprice) AS t FROM orders GROUP BY 1),
        f AS (SELECT u.id, kind, coalesce(a, t) AS a, b, l FROM u LEFT JOIN ans USING (id)),
-       n AS (SELECT user_id AS id, count(*) AS n, max(value) AS top FROM events WHERE event_type = 'click' GROUP BY 1), w AS (SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'view' AND value > 30 GROUP BY 1),
-       j AS (SELECT f.*, n.n AS cn, n.top AS ct, w.n AS vn FROM f JOIN (SELECT id FROM n UNION SELECT id FROM w) k USING (id) LEFT JOIN n USING (id) LEFT JOIN w USING (id) WHERE ((n.n IS NULL)::INT + (n.top IS NULL)::INT + (w.n IS NULL)::INT) / 3 <= 0.5)
-       SELECT id, kind, R6(CASE WHEN a IS NOT NULL THEN (a - avg(a) OVER k) / stddev_samp(a) OVER k ELSE (b - avg(b) OVER k) / stddev_samp(b) OVER k END) AS response,
-              R6((cn - avg(cn) OVER ()) / stddev_samp(cn) OVER ()) AS click_n, R6((vn - avg(vn) OVER ()) / stddev_samp(vn) OVER ()) AS view_n, contains(l, 'y')::INT AS "l:y" FROM j WINDOW k AS (PARTITION BY kind)""",
+       n AS (SELECT user_id AS id, count(*) AS n, max(value) AS top FROM events WHERE event_type = 'click' GROUP BY 1), w AS (SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1),
+       j AS (SELECT f.*, n.n AS cn, n.top AS ct, w.n AS vn, f.id % 5 AS country FROM f JOIN (SELECT id FROM n UNION SELECT id FROM w) k USING (id) LEFT JOIN n USING (id) LEFT JOIN w USING (id) WHERE ((n.n IS NULL)::INT + (n.top IS NULL)::INT + (w.n IS NULL)::INT) / 3 <= 0.5)
+       SELECT id, kind, country, R6(CASE WHEN a IS NOT NULL THEN (a - avg(a) OVER k) / stddev_samp(a) OVER k ELSE (b - avg(b) OVER k) / stddev_samp(b) OVER k END) AS response,
+              R6((cn - avg(cn) OVER ()) / stddev_samp(cn) OVER ()) AS click_n, R6((ct - avg(ct) OVER ()) / stddev_samp(ct) OVER ()) AS click_top, R6((vn - avg(vn) OVER ()) / stddev_samp(vn) OVER ()) AS view_n,
+              contains(l, 'y')::INT AS "l:y" FROM j WINDOW k AS (PARTITION BY kind)""",
 )
 def _(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal > 3000").select(
+    s = table(spark, sf, "supplier").select(
+        (F.col("s_suppkey") * 7).alias("id"), F.lit("s").alias("kind"), F.col("s_acctbal").cast("string").alias("a"), F.lit(1.0).alias("b"), F.lit("x,y").alias("l")
+    )
+    c = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.lit("c").alias("kind"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal").cast("string")).otherwise("hidden").alias("a"),
         (F.col("c_acctbal") / 2).alias("b"), F.lit("x").alias("l"),
     )
-    s = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("id"), F.lit("s").alias("kind"), F.col("s_acctbal").cast("string").alias("a"), F.lit(1.0).alias("b"), F.lit("x,y").alias("l")
-    )
     answers = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("a"))
     e = table(spark, sf, "events")
-    clicks = e.where("event_type = 'click'").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.max("value").alias("top"))
-    views = e.where("event_type = 'view' AND value > 30").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
-    got = jobs.source_merge([c, s], answers, {"click": clicks, "view": views}, "id", "kind", "a", "b", "l")
-    return _r6(got.select("id", "kind", "response", "click_n", "view_n", "`l:y`"), "response", "click_n", "view_n")
+    by = {t: e.where(F.col("event_type") == t).groupBy(F.col("user_id").alias("id"), (F.col("user_id") % 5).alias("country")) for t in ("click", "view")}
+    rare = F.max(F.when(F.col("event_id") % 200 == 0, F.col("value"))).alias("rare")  # too sparse to be kept
+    feature_tables = {"click": by["click"].agg(F.count("*").alias("n"), F.max("value").alias("top")), "view": by["view"].agg(F.count("*").alias("n"), rare)}
+    got = jobs.source_merge([s, c], answers, feature_tables, "id", "kind", "a", "b", "l", agree=["country"])
+    if "view_rare" in got.columns:
+        raise ValueError("a sparse feature was kept")
+    return _r6(got.select("id", "kind", "country", "response", "click_n", "click_top", "view_n", "`l:y`"), "response", "click_n", "click_top", "view_n")
 
 
 @query("Q09_call_classifier")

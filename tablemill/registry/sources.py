@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablemill.operators.windows import union_all
 from tablemill.registry.base import query, r6, table
 from tablemill.session import fresh_folder
 from tablemill.sources import pages, tables
@@ -49,35 +50,31 @@ def _(spark, sf):
     return tables.delimited_export(spark, f"{folder}/Parts.csv", names)
 
 
+CATALOG = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
+
+
 def _catalog(spark, sf):
+    """All tables as an export folder; signs that Latin-1 lacks become question marks."""
     folder = fresh_folder(spark, "catalog")
-    for name in ("nation", "region", "supplier"):
-        _export(spark, table(spark, sf, name), folder, name.title())
-    found = {}
-    for name in ("Nation", "Region", "Supplier"):
-        heads = tables.read_header(spark, f"{folder}/{name}_Headers.csv")
-        found[name] = tables.delimited_export(spark, f"{folder}/{name}.csv", heads)
-    return found
+    for name in CATALOG:
+        df = table(spark, sf, name)
+        _export(spark, df.select(*[F.regexp_replace(F.col(c).cast("string"), r"[^\x00-\xFF]", "?").alias(c) for c in df.columns]), folder, name.title())
+    return folder
 
 
 @query(
     "S04_load_all_tables",
-    """SELECT 'Nation' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'Region', count(*) FROM region
-       UNION ALL SELECT 'Supplier', count(*) FROM supplier""",
+    " UNION ALL ".join(f"SELECT '{n.title()}' AS table_name, count(*) AS n, (SELECT count(*) FROM (DESCRIBE {n})) AS columns FROM {n}" for n in CATALOG if n != "region"),
 )
 def _(spark, sf):
-    out = None
-    for name, df in _catalog(spark, sf).items():
-        df.createOrReplaceTempView(f"export_{name}")
-        part = spark.table(f"export_{name}").agg(F.lit(name).alias("table_name"), F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = tables.load_all_tables(spark, _catalog(spark, sf), skip=["Region"], views=False)
+    parts = [df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n"), F.lit(len(df.columns)).cast("long").alias("columns")) for name, df in found.items()]
+    return union_all(*parts)
 
 
 @query("S05_column_search", "SELECT * FROM (VALUES ('customer'), ('nation'), ('supplier')) t(table_name)")
 def _(spark, sf):
-    names = ("nation", "region", "supplier", "customer", "orders")
-    return tables.column_search(spark, {n: table(spark, sf, n) for n in names}, "NationKey")
+    return tables.column_search(spark, tables.folder_tables(spark, sf), "NationKey")
 
 
 @query(

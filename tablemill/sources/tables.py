@@ -25,11 +25,18 @@ def scan(spark: SparkSession, path: str, predicate: Column | None = None, column
 
 
 def list_folder(spark: SparkSession, path: str) -> list[tuple[str, bool, int]]:
-    """(name, is folder, bytes) of the entries of a folder on any Hadoop file system."""
+    """(name, is folder, bytes) of the entries of a folder on any Hadoop file system; a folder has the bytes of the files inside."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted((s.getPath().getName(), s.isDirectory(), s.getLen()) for s in fs.listStatus(target))
+    size = lambda s: fs.getContentSummary(s.getPath()).getLength() if s.isDirectory() else s.getLen()
+    return sorted((s.getPath().getName(), s.isDirectory(), size(s)) for s in fs.listStatus(target))
+
+
+def folder_tables(spark: SparkSession, folder: str, skip: Iterable[str] = ()) -> dict[str, DataFrame]:
+    """Every Parquet table of a folder by name, files and folders alike."""
+    names = [n for n, _, size in list_folder(spark, folder) if n.endswith(".parquet") and size]
+    return {n.removesuffix(".parquet"): spark.read.parquet(f"{folder}/{n}") for n in names if n.removesuffix(".parquet") not in set(skip)}
 
 
 def latest_snapshot(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
