@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.functions.text import swap_columns
 from tablemill.operators.joins import expanding_totals
 from tablemill.session import settle
-from tablemill.skew import attach, join_on_keys, top_rows
+from tablemill.skew import attach, hot_rows, join_on_keys, slicing, top_rows
 
 # iterations between two looks at the distance
 STEPS_PER_CHECK = 4
@@ -136,19 +139,60 @@ def stationary_rank(
     """(keys, team, rank): stationary distribution of the transition rows.
 
     Power iteration on the edge list; ``base`` carries the weight of all missing pairs. A
-    team without a row of its own passes its mass on evenly. A chain without damping may fall apart: then only the smallest strongly connected
-    component gets mass, and the iteration is made lazy so that it also settles on
-    periodic chains.
+    team without a row of its own passes its mass on evenly. A chain without damping may
+    fall apart: then only the smallest strongly connected component gets mass, and the
+    iteration is made lazy so that it also settles on periodic chains.
+
+    Graphs that are no hot keys are iterated whole, each in one task; larger ones round by
+    round over tables. Ranks that do not settle are an error either way.
     """
     keys = list(keys)
     if undamped:
-        kept = smallest_component(edges, keys)
+        kept = settle(smallest_component(edges, keys), "component")
         edges = edges.join(kept, [*keys, "team"], "left_semi").join(kept.withColumnRenamed("team", "opponent"), [*keys, "opponent"], "left_semi")
         edges = attach(edges, [*keys, "team"], {"_row": F.sum("weight")}).withColumn("weight", F.col("weight") / F.col("_row")).drop("_row")
         teams = kept
     else:
         teams = edges.select(*keys, F.col("opponent").alias("team")).unionByName(edges.select(*keys, "team")).distinct()
     links = settle(edges.select(*keys, "team", "opponent", (F.col("weight") - F.col("base")).alias("extra"), "base"))
+    if not keys:
+        links, teams = links.withColumn("_graph", F.lit(0)), teams.withColumn("_graph", F.lit(0))
+    group = keys or ["_graph"]
+    cuts = slicing(links, group)
+    if cuts is None:
+        return _whole_graphs(links, teams, group, tolerance, max_iterations, undamped).select(*keys, "team", "rank")
+    small, large = ((hot_rows(links, group, cuts, hot), hot_rows(teams, group, cuts, hot)) for hot in (False, True))
+    out = _by_rounds(*large, group, tolerance, max_iterations, undamped)
+    return out.unionByName(_whole_graphs(*small, group, tolerance, max_iterations, undamped)).select(*keys, "team", "rank")
+
+
+def _whole_graphs(links: DataFrame, teams: DataFrame, keys: list[str], tolerance: float, rounds: int, lazy: bool) -> DataFrame:
+    """Each graph iterated in memory; a graph has no more links than a slice has rows."""
+    out = T.StructType([*[links.schema[k] for k in keys], links.schema["team"], T.StructField("rank", T.DoubleType())])
+    rows = links.select(*keys, "team", "opponent", "extra", "base").unionByName(teams.select(*keys, "team"), allowMissingColumns=True)
+
+    def iterate(pdf: pd.DataFrame) -> pd.DataFrame:
+        edge = pdf["opponent"].notna().to_numpy()
+        names, code = np.unique(pdf["team"].to_numpy(), return_inverse=True)
+        a, b = code[edge], np.searchsorted(names, pdf["opponent"].to_numpy()[edge])
+        extra, n = pdf["extra"].to_numpy()[edge].astype(float), len(names)
+        base = np.full(n, 1.0 / n)  # a team without a row passes its mass on evenly
+        base[a] = pdf["base"].to_numpy()[edge].astype(float)
+        rank = np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            fresh = np.bincount(b, extra * rank[a], n) + (rank * base).sum()
+            fresh = (rank + fresh) / 2 if lazy else fresh
+            moved, rank = np.abs(fresh - rank).sum(), fresh
+            if moved < tolerance:
+                return pd.DataFrame({**{k: [pdf[k].iloc[0]] * n for k in keys}, "team": names, "rank": rank})
+        raise ArithmeticError(f"the ranks have not settled to {tolerance} after {rounds} rounds")
+
+    return rows.groupBy(*keys).applyInPandas(iterate, out)
+
+
+def _by_rounds(links: DataFrame, teams: DataFrame, keys: list[str], tolerance: float, rounds: int, lazy: bool) -> DataFrame:
+    """One stored table of ranks for each round."""
+    links = settle(links, "links")
     bases = links.groupBy(*keys, "team").agg(F.max("base").alias("base"))
     state = attach(teams, keys, {"_n": F.count(F.lit(1))}).select(*keys, "team", (1.0 / F.col("_n")).alias("rank"))
     state = settle(join_on_keys(state, bases, [*keys, "team"]).withColumn("base", F.coalesce("base", "rank")))
@@ -159,9 +203,9 @@ def stationary_rank(
         spread = attach(now, keys, {"_even": F.sum(F.col("rank") * F.col("base"))}, pre_grouped=True)
         joined = join_on_keys(spread, got, [*keys, "team"])
         fresh = F.coalesce("_got", F.lit(0.0)) + F.col("_even")
-        return joined.withColumn("rank", (F.col("rank") + fresh) / 2 if undamped else fresh).select(*keys, "team", "rank", "base")
+        return joined.withColumn("rank", (F.col("rank") + fresh) / 2 if lazy else fresh).select(*keys, "team", "rank", "base")
 
-    for i in range(1, max_iterations + 1):
+    for i in range(1, rounds + 1):
         fresh = settle(step(state), "ranks")
         if i % STEPS_PER_CHECK == 0:
             moved = state.join(fresh.select(*keys, "team", F.col("rank").alias("_new")), [*keys, "team"])
@@ -169,7 +213,7 @@ def stationary_rank(
             if distance is None or distance < tolerance:
                 return fresh.select(*keys, "team", "rank")
         state = fresh
-    raise ArithmeticError(f"the ranks have not settled to {tolerance} after {max_iterations} rounds")
+    raise ArithmeticError(f"the ranks have not settled to {tolerance} after {rounds} rounds")
 
 
 def simple_strength(data: DataFrame, stat: str, damping: float) -> DataFrame:

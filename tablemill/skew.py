@@ -182,6 +182,11 @@ def _hot_flag(df: DataFrame, keys: Sequence[str], cuts: Slicing) -> DataFrame:
     return join_on_keys(df, table, keys).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
 
 
+def hot_rows(df: DataFrame, keys: Sequence[str], cuts: Slicing, hot: bool) -> DataFrame:
+    """The rows of a table whose key is (or is not) hot."""
+    return _hot_flag(df, keys, cuts).where(F.col("_hot") == F.lit(hot)).drop("_hot")
+
+
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Slicing) -> DataFrame:
     """Add ``_hot`` and ``_slice``; slice numbers follow the sort order inside a key.
 
