@@ -79,11 +79,12 @@ def _(spark, sf):
     "G03_undamped",
     f"""WITH RECURSIVE {DATA_SQL}, soft AS (SELECT date, team, opponent, CASE WHEN stddev_pop(score) OVER w = 0 THEN 1.0 ELSE exp(-(score - avg(score) OVER w) / stddev_pop(score) OVER w) END AS e FROM scores WINDOW w AS (PARTITION BY date, team)),
         e AS (SELECT date, team, opponent, e / sum(e) OVER (PARTITION BY date, team) AS weight FROM soft),
-        reach AS (SELECT date, team, opponent FROM e UNION SELECT r.date, r.team, e.opponent FROM reach r JOIN e ON e.date = r.date AND e.team = r.opponent),
+        reach AS (SELECT date, team, team AS opponent FROM e UNION SELECT date, opponent, opponent FROM e UNION SELECT date, team, opponent FROM e UNION SELECT r.date, r.team, e.opponent FROM reach r JOIN e ON e.date = r.date AND e.team = r.opponent),
         c AS (SELECT a.date, a.team, min(a.opponent) AS root, count(*) AS n FROM reach a JOIN reach b ON b.date = a.date AND b.team = a.opponent AND b.opponent = a.team GROUP BY 1, 2),
         smallest AS (SELECT date, arg_min(root, [n, root]) AS root FROM c GROUP BY 1),
         kept AS (SELECT c.date, team FROM c JOIN smallest USING (date, root)),
-        inside AS (SELECT e.date, e.team, e.opponent, weight / sum(weight) OVER (PARTITION BY e.date, e.team) AS weight FROM e JOIN kept k ON k.date = e.date AND k.team = e.team JOIN kept l ON l.date = e.date AND l.team = e.opponent),
+        linked AS (SELECT e.date, e.team, e.opponent, weight / sum(weight) OVER (PARTITION BY e.date, e.team) AS weight FROM e JOIN kept k ON k.date = e.date AND k.team = e.team JOIN kept l ON l.date = e.date AND l.team = e.opponent),
+        inside AS (SELECT * FROM linked UNION ALL SELECT date, team, team, 1 FROM kept ANTI JOIN linked USING (date, team)),
         walk AS (SELECT 0 AS i, date, team, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS rank FROM kept
                  UNION ALL SELECT i + 1, date, team, sum(rank) FROM (SELECT i, date, team, rank / 2 AS rank FROM walk UNION ALL SELECT i, d.date, d.opponent, rank * weight / 2 FROM walk w JOIN inside d ON d.date = w.date AND d.team = w.team) WHERE i < 120 GROUP BY i, date, team)
         SELECT strftime(date, '%Y-%m-%d') AS day, team, R6(rank) AS rank FROM walk WHERE i = 120""",
