@@ -24,6 +24,7 @@ from tablemill.skew import (
     quantiles,
     rows_per_slice,
     running,
+    same_rows,
     tie_ranks,
     top_rows,
 )
@@ -433,13 +434,12 @@ def _pairwise_rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]])
     """Rank correlations over the rows in which both columns of a pair have a value."""
     both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").alias("x"), F.col(f"`{b}`").alias("y")) for a, b in pairs])
     long = df.select(F.inline(both)).where("x IS NOT NULL AND y IS NOT NULL")
-    cells = long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    weighted = cells
+    weighted = settle(long.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("w")), "cells")
     for side in ("x", "y"):
-        counts = cells.groupBy("a", "b", side).agg(F.sum("w").alias("_n"))
+        counts = weighted.groupBy("a", "b", side).agg(F.sum("w").alias("_n"))
         upto = running(counts, ["a", "b"], [side], {"_upto": ("sum", F.col("_n"))})
         rank = (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"r{side}")
-        weighted = lookup(weighted, upto.select("a", "b", side, rank), ["a", "b", side]).where(F.col(f"r{side}").isNotNull())
+        weighted = same_rows(lookup(weighted, upto.select("a", "b", side, rank), ["a", "b", side]), weighted)
     w, x, y = F.col("w"), F.col("rx"), F.col("ry")
     sums = weighted.groupBy("a", "b").agg(
         F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),

@@ -52,14 +52,14 @@ def measurement_view(tests: DataFrame, projects: DataFrame, parameters: Sequence
     (project, project_name, point_name prefix columns, country).
     """
     point = ["project", "point"]
-    clean = columns.convert_parameter_units(tests.where(F.col("unit").isNotNull() & F.col("value").isNotNull()))
-    single = aggregates.upper_median_row(clean.drop("unit", "original_unit"), [*point, "parameter", "date"], "value", list(metadata))
+    clean = settle(columns.convert_parameter_units(tests.where(F.col("unit").isNotNull() & F.col("value").isNotNull())), "clean")
+    single = settle(aggregates.upper_median_row(clean.drop("unit", "original_unit"), [*point, "parameter", "date"], "value", list(metadata)), "single")
     typical = aggregates.mode_per_group(single, [*point, "date"], metadata)
     wide = series.pivot(single, [*point, "date"], "parameter", "value", parameters, "WQ_")
     joined = wide.join(typical, [*point, "date"]).join(projects, "project")
     named = joined.withColumn("identifier", text.point_label(F.col("project"), F.col("point"), F.col("project_name"), F.concat(F.lit("P"), F.col("point").cast("string"))))
     latest = windows.latest_per_group(named, ["identifier"], ["date"])
-    logged = columns.log_columns(latest, [f"WQ_{p}" for p in parameters if f"WQ_{p}" not in NOT_LOGGED])
+    logged = settle(columns.log_columns(latest, [f"WQ_{p}" for p in parameters if f"WQ_{p}" not in NOT_LOGGED]), "logged")
     values = [c for c in logged.columns if c.startswith("WQ_")]
     return aggregates.group_benchmark(logged.withColumn("organization", F.lit("all")), values, {"All": ["organization"], "Country": ["country"]})
 
@@ -76,9 +76,9 @@ def project_timeline_view(
     if orphans:
         raise ValueError(f"timeline without project: {[r['id'] for r in orphans]}")
     joined = joins.full(projects, timeline, ["id"])
-    real = filters.exclude_containing(joined, "name", list(test_words))
+    real = settle(filters.exclude_containing(joined, "name", list(test_words)), "real")
     filled = series.monthly_reindex(real, "id", "date", static, timed)
-    summed = columns.add_calculated_sums(filled)
+    summed = settle(columns.add_calculated_sums(filled), "summed")
     return aggregates.group_benchmark(summed, list(benchmarked), {"All": ["date"], "Country": ["date", "country"]})
 
 
@@ -105,7 +105,7 @@ def training_matrix(
     results = settle(results, "results")
     rows = results.where(F.col(f"`{response}`").isNotNull()).join(numbered.select("game", "team", "game_number", "is_home"), ["game", "team"])
     rows = rows.where(F.col("game_number") >= min_game).select("game", "date", "team", "opponent", "player", "is_home", "game_number", F.col(f"`{response}`").alias("response"))
-    rows = settle(filters.top_entities(rows, "player", "response", top_share), "rows")
+    rows = settle(filters.top_entities(settle(rows, "numbered"), "player", "response", top_share), "rows")
 
     # only (date, team) pairs of the rows are asked for
     asked = rows.select("date", "team").unionByName(rows.select("date", F.col("opponent").alias("team")))

@@ -22,7 +22,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,19 +109,60 @@ def slicing(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> Sl
     limit, known = rows_per_slice(df), _answers(df)
     names, order = tuple(keys), tuple(order)
     for (n, o, rows), found in known.items():
+        if n is None and rows == limit:  # too few rows for any hot key
+            return None
         if n == names and rows == limit and (o == order or not order):
             return found
         if n == names and rows == limit and list(o) == reversed_order(order):
             return found and replace(found, order=order, backward=not found.backward)
-    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
-    if bound.isDefined() and int(str(bound.get())) <= limit:
-        found = None
-    else:
-        found = _sampled_cuts(df, names, order, limit)
-    known[names, order, limit] = found
+    bound = row_bound(df.sparkSession, df._jdf.queryExecution().optimizedPlan(), limit)
+    if bound is not None and bound <= limit:
+        known[None, (), limit] = None
+        return None
+    known[names, order, limit] = found = _sampled_cuts(df, names, order, limit)
     return found
 
 
+#: Plan nodes that give no more rows than they get.
+_NARROWING = {"Project", "Filter", "Aggregate", "Window", "Sort", "Distinct", "Deduplicate", "SubqueryAlias", "Repartition", "RepartitionByExpression", "RebalancePartitions", "LocalLimit", "GlobalLimit"}
+
+
+def row_bound(spark: SparkSession, plan, limit: int) -> int | None:
+    """A proven upper bound of a plan's rows, or None; a table of no more rows than a slice has no hot key.
+
+    Table sizes come from the footers of Parquet files, and nodes whose output cannot outgrow
+    their input pass the bound on. Sums and products stop being of use above the limit.
+    """
+    known = plan.maxRows()
+    if known.isDefined():
+        return int(str(known.get()))
+    name = plan.nodeName()
+    children = plan.children()
+    inner = [row_bound(spark, children.apply(i), limit) for i in range(children.size())] if name != "LogicalRelation" else []
+    if None in inner:
+        return None
+    if name == "LogicalRelation":
+        relation = plan.relation()
+        if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+            return None
+        files = list(relation.location().inputFiles())
+        return spark.read.parquet(*files).count() if 0 < len(files) <= 64 else None  # footers alone
+    if name in _NARROWING:
+        return inner[0]
+    if name == "Union":
+        return sum(inner)
+    if name == "Join":
+        kind = plan.joinType().toString()
+        return inner[0] if kind in ("LeftSemi", "LeftAnti") else inner[0] * inner[1] + inner[0] + inner[1]
+    if name == "Generate":  # a list written out in the query
+        items = plan.generator().children()
+        listed = items.size() == 1 and items.apply(0).getClass().getSimpleName() == "CreateArray"
+        return inner[0] * items.apply(0).children().size() if listed else None
+    if name == "Expand":
+        return inner[0] * plan.projections().size()
+    return None
+
+
 def _sampled_cuts(df: DataFrame, names: tuple[str, ...], order: tuple[str, ...], limit: int) -> Slicing | None:
     share = min(1.0, SAMPLES / limit)
     least = limit + 1 if share == 1 else round(0.75 * SAMPLES)
