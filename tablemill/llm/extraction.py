@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,8 +66,13 @@ def parse(page: str) -> Node:
     """Tree of a page. Ends that are missing are implied, unknown or inline elements add no node unless named."""
     root = node = Node("html", frozenset(), None)
     open_tags: list[tuple[str, Node]] = []  # names of open elements with the node in which they began
+    places: dict[str, list[int]] = defaultdict(list)  # where in ``open_tags`` each name and each block is
+    blocks: list[int] = []
     at, line, links, unseen = 0, 0, 0, 0
 
+    def nearest(names) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=-1)
+
     def text(piece: str) -> None:
         if unseen:
             return
@@ -78,6 +84,9 @@ def parse(page: str) -> Node:
     def close(k: int) -> None:
         nonlocal node, links, line, unseen
         for name, before in reversed(open_tags[k:]):
+            places[name].pop()
+            if name in BLOCKS:
+                blocks.pop()
             links -= name == "a"
             unseen -= name in UNSEEN
             line += name in BLOCKS and not unseen
@@ -91,17 +100,14 @@ def parse(page: str) -> Node:
         if not name:
             continue
         if m[1] or m[4]:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    close(k)
-                    break
-                if open_tags[k][0] in ("table", "body") and name not in BLOCKS:
-                    break
+            k = nearest((name,))
+            if k >= 0 and (name in BLOCKS or k >= nearest(("table", "body"))):
+                close(k)
             continue
         attributes = m[3] if m[2] else m[6]
         empty = bool(attributes) and attributes.rstrip().endswith("/")
         if name in RAW:
-            if empty and any(before in FOREIGN for before, _ in open_tags):
+            if empty and nearest(FOREIGN) >= 0:
                 continue
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -115,11 +121,9 @@ def parse(page: str) -> Node:
         if name in BLOCKS:
             line += not unseen
             shut, until = CLOSES.get(name, (set(), set()))
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == "p" or open_tags[k][0] in shut:
-                    close(k)
-                elif open_tags[k][0] == "template" or open_tags[k][0] in until or open_tags[k][0] in BLOCKS and not shut:
-                    break
+            shuts = shut | {"p"}
+            while (k := nearest(shuts)) >= 0 and k > nearest((until | {"template"}) - shuts) and (shut or k == blocks[-1]):
+                close(k)
         words = frozenset(PLAIN.findall(" ".join(ATTRIBUTE.findall(attributes)).lower())) if "=" in (attributes or "") else frozenset()
         before = node
         if name == "html":
@@ -127,6 +131,9 @@ def parse(page: str) -> Node:
         if name in BLOCKS or words and name not in ("a", "html"):
             node = Node(name, words, node)
         if not empty or name in BLOCKS:
+            places[name].append(len(open_tags))
+            if name in BLOCKS:
+                blocks.append(len(open_tags))
             open_tags.append((name, before))
             links += name == "a"
             unseen += name in UNSEEN
