@@ -260,7 +260,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order: st
     """
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     keys = rows.select(F.col(lang).alias("l"), F.col(order).alias("k")).withColumn("h", F.xxhash64(F.lit(seed), "k"))
-    first = keys.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))).filter(F.col("r") <= examples)
+    # only keys with a small hash can be among the first: of each language half as many again as are wanted are ranked
+    share = F.least(F.lit(1.0), F.lit(1.5 * examples + 200) / F.count("*"))
+    below = keys.groupBy("l").agg((share * 2.0**64 - 2.0**63).cast("long").alias("most")).withColumnRenamed("l", "__l")
+    near = keys.join(F.broadcast(below), F.col("l") == F.col("__l")).filter("h <= most")
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))).filter(F.col("r") <= examples)
     # ``examples`` keys of each language: few, so that the texts need not be moved
     limits = first.groupBy("l").agg(F.max(F.struct("h", "k")).alias("top"))
     cut = F.broadcast(limits.withColumnRenamed("l", "__l"))
