@@ -242,8 +242,8 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
                 part = pdf.iloc[at : at + 500]
                 yield pd.DataFrame({"id": part["id"], "s": [shingles(t, words).view(np.int64) for t in part["text"]]})
 
-    # rows that repeat an id stand for its smallest text
-    found = scratch.settle(wanted.groupBy("id").agg(F.min("text").alias("text")).mapInPandas(build, "id long, s array<long>"), "sets")
+    # an id that repeats has a row for each of its texts, and links when one of them does
+    found = scratch.settle(wanted.distinct().mapInPandas(build, "id long, s array<long>"), "sets")
     left = pairs.groupBy("a").agg(F.count("*").alias("n"))
     ready = found.join(left.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("s").alias("sa"), "n")
     second = found.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -251,7 +251,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     half = spread_join(pairs, second.join(rights, "b"), "b", "n", ["a"])
     both = spread_join(half, ready, "a", "n", ["b"])
     shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    links = both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
     links = scratch.settle(links, "links")
     scratch.drop(use, found)
     return links
