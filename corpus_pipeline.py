@@ -23,17 +23,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8 or more.
 
-    Rows that repeat a doc_id are one document, of which the first row by its columns stays; documents with
-    fewer than five words link when they are equal; null ids stay.
+    Documents with fewer than five words link when they are equal. Where a doc_id repeats, every text under it is
+    a document by itself, so that no text goes because of its id; of equal rows one stays. Null ids stay.
     """
     found = ngram.linked_components(docs, words=5, percent=80)
-    gone = found.filter("component_id <> id").select(F.col("id").alias("__gone"))
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     if found.count() == docs.count():  # no doc_id repeats
-        return left
-    rest = left.select(F.struct("*").alias("doc"))
-    named = rest.filter("doc.doc_id is not null").groupBy(F.col("doc.doc_id").alias("k")).agg(F.min("doc").alias("doc"))
-    return named.select("doc.*").unionByName(rest.filter("doc.doc_id is null").select("doc.*"))
+        gone = found.filter("component_id <> id").select(F.col("id").alias("__gone"))
+        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("__key"), "doc_id", "text")
+    rows = settle(rows, "rows")
+    known = rows.filter("doc_id is not null")
+    found = ngram.linked_components(known.select("__key", "text"), "__key", words=5, percent=80)
+    texts = known.groupBy("__key").agg(F.min("doc_id").alias("doc_id"), F.min("doc").alias("doc"))
+    first = texts.join(found, texts["__key"] == found["id"]).groupBy("component_id").agg(F.min(F.struct("doc_id", "__key", "doc")).alias("first"))
+    return first.select("first.doc.*").unionByName(rows.filter("doc_id is null").select("doc.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
