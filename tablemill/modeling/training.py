@@ -16,7 +16,7 @@ from pyspark.ml.tuning import CrossValidatorModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill.session import fresh_folder
+from tablemill.session import fresh_folder, remove, settle
 from tablemill.skew import quantiles
 
 REFIT_FOLD = -1
@@ -35,11 +35,14 @@ def _predictions(scored: DataFrame, keys: Sequence[str], name: str, fold: int, o
     )
 
 
-def plain(model: Model) -> Model:
+def plain(model: Model, spark: SparkSession) -> Model:
     """The model as saved and loaded again: without its training summary, which holds on to the session."""
-    path = fresh_folder(SparkSession.getActiveSession(), "model")
+    path = fresh_folder(spark, "model")
     model.write().save(path)
-    return type(model).load(path)
+    try:
+        return type(model).load(path)
+    finally:
+        remove(spark, path)
 
 
 def cv_train(
@@ -74,7 +77,7 @@ def cv_train(
                 estimator = make().setFeaturesCol("features").setLabelCol(outcome)
                 if weight is not None:
                     estimator = estimator.setWeightCol(weight)
-                model = plain(estimator.fit(train))
+                model = plain(estimator.fit(train), df.sparkSession)
                 models[name, i, outcome] = model
                 if i != REFIT_FOLD:
                     parts.append(_predictions(model.transform(test), keys, name, i, outcome, classify))
@@ -174,7 +177,7 @@ def ice_clusters(curves: DataFrame, rows: DataFrame, key: str, grid: Sequence[fl
     """
     spark = curves.sparkSession
     spots = [F.max(F.when(F.col("grid") == float(g), F.col("prediction"))).alias(f"_g{i}") for i, g in enumerate(grid)]
-    wide = assemble(curves.groupBy(key).agg(*spots), [f"_g{i}" for i in range(len(grid))]).select(key, "features").persist()
+    wide = settle(assemble(curves.groupBy(key).agg(*spots), [f"_g{i}" for i in range(len(grid))]).select(key, "features"), "curves")
     groups = KMeans(k=clusters, seed=seed, predictionCol="cluster").fit(wide).transform(wide).select(key, "cluster")
     labelled = assemble(rows.join(groups, key), others)
     forest = RandomForestClassifier(labelCol="cluster", featuresCol="features", numTrees=20, seed=seed).fit(labelled)
@@ -226,7 +229,7 @@ def entity_blend(
 
 def multi_output_fit(df: DataFrame, keys: Sequence[str], features: Sequence[str], outcomes: Sequence[str], make: Callable[[], Estimator]) -> tuple[DataFrame, dict[str, Model]]:
     """One model per outcome, predictions side by side."""
-    rows = assemble(df, features).persist()
+    rows = settle(assemble(df, features), "rows")
     models = {o: make().setFeaturesCol("features").setLabelCol(o).setPredictionCol(f"{o}_prediction").fit(rows) for o in outcomes}
     out = rows
     for model in models.values():
