@@ -101,7 +101,7 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~bad
 
 
-def blocks(reference: DataFrame, ref_id: str, ref_vector: str) -> DataFrame:
+def blocks(reference: DataFrame, ref_id: str, ref_vector: str, block_points: int = BLOCK_POINTS) -> DataFrame:
     """One row for each block of reference rows: width, root ball, tree."""
     points = reference.where(F.col(ref_id).isNotNull() & usable(ref_vector)).select(F.col(ref_id).cast("long").alias("id"), F.col(ref_vector).cast("array<double>").alias("point"))
 
@@ -110,8 +110,8 @@ def blocks(reference: DataFrame, ref_id: str, ref_vector: str) -> DataFrame:
             widths = batch.column("point").value_lengths().to_numpy()
             for width in np.unique(widths).tolist():
                 mine = batch.filter(pa.array(widths == width))
-                for low in range(0, mine.num_rows, BLOCK_POINTS):
-                    part = mine.slice(low, BLOCK_POINTS)
+                for low in range(0, mine.num_rows, block_points):
+                    part = mine.slice(low, block_points)
                     x = part.column("point").flatten().to_numpy().reshape(-1, width)
                     tree = grow(x)
                     order = tree.pop("order")
@@ -162,7 +162,9 @@ class Forest:
         return search
 
 
-def nearest_row(df: DataFrame, vector: str, reference: DataFrame, ref_id: str, ref_vector: str) -> DataFrame:
+def nearest_row(
+    df: DataFrame, vector: str, reference: DataFrame, ref_id: str, ref_vector: str, block_points: int = BLOCK_POINTS
+) -> DataFrame:
     """Closest reference row by Euclidean distance, as ``nearest_id`` and ``distance``; smallest id on ties.
 
     The reference is cut into blocks, each a metric tree, and written to the shared folder.
@@ -171,7 +173,7 @@ def nearest_row(df: DataFrame, vector: str, reference: DataFrame, ref_id: str, r
     component have no nearest row and are nobody's, nor are reference rows without an id;
     vectors meet only those of their own length, and an empty reference gives nulls.
     """
-    held = settle(blocks(reference, ref_id, ref_vector), "blocks")
+    held = settle(blocks(reference, ref_id, ref_vector, block_points), "blocks")
     paths = held.inputFiles()
     rest = [c for c in df.columns if c not in ("nearest_id", "distance")]
     schema = T.StructType([*df.select(*rest).schema.fields, T.StructField("nearest_id", T.LongType()), T.StructField("distance", T.DoubleType())])

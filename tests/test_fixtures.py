@@ -196,15 +196,14 @@ def test_exclusion_join_keeps_later_weeks(spark):
     assert {r.id for r in joins.exclusion_join(scores, gone, "id", "week", 10).collect()} == {1, 4}
 
 
-def test_nearest_row_against_brute_force(spark, monkeypatch):
+def test_nearest_row_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x, refs = rng.normal(size=(60, 4)), rng.normal(size=(23, 4))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>")
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(refs)], "r int, c array<double>")
     want = ((x[:, None] - refs[None]) ** 2).sum(2).argmin(1).tolist()
     for block in (2000, 5):
-        monkeypatch.setattr(joins, "REFERENCE_BLOCK", block)
-        got = joins.nearest_row(df, "v", table, "r", "c").orderBy("i").collect()
+        got = joins.nearest_row(df, "v", table, "r", "c", block).orderBy("i").collect()
         assert [r.nearest_id for r in got] == want
 
 
