@@ -6,7 +6,7 @@ import functools
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +18,6 @@ from tablemill.llm.common import HOT_ROWS, HOT_SHARE, Scratch, components, sprea
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
-#: Segments with fewer shingles than this are shared by chance most often; they are left out where that is safe.
-THIN = 2
 #: Bands whose pairs differ in at most so many shingles use one-deletion neighbourhoods: there, segments that must be
 #: equal would hold one or two shingles each and cost more pairs than the further signatures cost rows.
 DELETIONS = 9
@@ -68,7 +66,7 @@ class Band:
     differ: int  # largest symmetric difference of a linked pair whose smaller set is in the band
     segments: int
     deletions: bool
-    spare: int  # segments a set may leave out
+    spare: int  # segments a set may leave out; with deletions, units of two a segment
 
 
 def band_of(size: int, percent: int) -> Band:
@@ -82,8 +80,9 @@ def band_of(size: int, percent: int) -> Band:
     # |r| = l and |s| <= l / t give |r xor s| = |r| + |s| - 2 |r and s| <= |s| - |r| * (2 t - 1) ... <= (1 - t) / t * l
     differ = high * (100 - percent) // percent
     if differ <= DELETIONS:
-        # few shingles: a few large segments and their one-deletion neighbourhoods (each segment forgives one difference)
-        return Band(number, low, high, differ, max(1, (differ + 2) // 2), differ > 0, 0)
+        # few shingles: a few large segments and their one-deletion neighbourhoods; units beyond differ + 1 are spare
+        segments = differ // 2 + 2 if differ else 1
+        return Band(number, low, high, differ, segments, differ > 0, 2 * segments - differ - 1 if differ else 0)
     spare = max(4, math.ceil(0.3 * (differ + 1)))
     return Band(number, low, high, differ, differ + 1 + spare, False, spare)
 
@@ -118,19 +117,19 @@ class Bands:
         return self.all[number]
 
 
-def signatures(tokens: np.ndarray, band: Band) -> np.ndarray:
-    """Hashes of the segments of a set in a band, so that any two linked sets share one.
-
-    The universe of shingles is cut into ``segments`` parts by hash. A linked pair differs in at most
-    ``differ`` shingles.
-    * With deletions: each segment is there whole and with any one shingle left out, so two segments that
-      differ in at most one shingle meet; 2 * segments > differ, so one of them does.
-    * Without: at least segments - differ = spare + 1 segments are equal. Thin segments cost most pairs and
-      say least; a set with at most ``spare`` of them leaves them out, any other keeps all. If either set of a
-      pair has few, some equal segment is not thin and both have it; if neither has, both have all of them.
+def segments(tokens: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the segments of a set in a band and their tags; the universe is cut into ``segments`` parts by hash.
+
+    A linked pair differs in at most ``differ`` shingles. A unit spent on a segment finds pairs that agree in it, two
+    units also those that differ in one shingle of it; a pair found by none of the units of a set differs in as many
+    shingles, so ``differ + 1`` units find every link. Which segments get them, ``allocated`` chooses by their cost.
+    * With deletions each segment is there whole and with any one shingle left out. The tag is negative and holds
+      segment, whether a shingle is left out, and the spare units.
+    * Without, segments are there whole, and the tag is the number that may still be left out: empty segments are left
+      out here, the first ones where there are more of them than spare ones, as every set does alike.
     """
     if not len(tokens):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     mixed = scramble(tokens)
     part = (mixed % np.uint64(band.segments)).astype(np.int64)
     size = np.bincount(part, minlength=band.segments)
@@ -140,42 +139,55 @@ def signatures(tokens: np.ndarray, band: Band) -> np.ndarray:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
     sums = sums[ends] - sums[ends - size]
     name = np.uint64(band.number << 32) + np.arange(band.segments, dtype=np.uint64)
+    whole = scramble(sums) ^ scramble(name)
     if band.deletions:
         less = scramble(sums[part] - value) ^ scramble(name[part])
-        return np.unique(np.concatenate([scramble(sums) ^ scramble(name), less]))
-    keep = size >= THIN
-    if (~keep).sum() > band.spare:
-        keep[:] = True
-    return scramble(sums[keep]) ^ scramble(name[keep])
+        tags = np.concatenate([np.arange(band.segments) << 3, (part << 3) | 4])
+        return np.concatenate([whole, less]), (-1 - (tags | band.spare)).astype(np.int32)
+    empty = np.flatnonzero(size == 0)[: band.spare]
+    return np.delete(whole, empty), np.array([band.spare - len(empty)], np.int32)
+
+
+def signatures(tokens: np.ndarray, band: Band) -> np.ndarray:
+    """The hashes of ``segments``: any two linked sets share one."""
+    return segments(tokens, band)[0]
 
 
 def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """``id``, the size ``n`` of each set, a digest of it, its ``band``, its ``parities`` and its signatures.
 
     32 hexadecimal digits tell different sets apart. ``own`` are the signatures in the set's own band, ``other`` those
-    in the band below, as a partner of smaller sets; ``NARROW`` and ``WIDE`` are the parity maps for the two.
+    in the band below, as a partner of smaller sets; ``NARROW`` and ``WIDE`` are the parity maps for the two. Bands whose
+    linked sets are equal need no signatures. ``own_tags`` and ``other_tags`` hold one tag for each signature or for all.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(percent)
-        nothing = np.zeros(0, np.int64)
+        nothing, untagged = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+        def cut(tokens: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
+            if not band.differ:
+                return nothing, untagged
+            signs, tags = segments(tokens, band)
+            return signs.view(np.int64), tags
+
         for pdf in batches:
             rows, held = [], 0
             for i, t in zip(pdf["id"], pdf["text"]):
                 tokens = shingles(t, words)
-                own = other = nothing
+                own = other = (nothing, untagged)
                 maps = below_maps = (nothing, nothing)
                 number = -1
                 if len(tokens):
                     band = bands.of(len(tokens))
                     number = band.number
-                    own, maps = signatures(tokens, band).view(np.int64), parities(tokens, band)
+                    own, maps = cut(tokens, band), parities(tokens, band)
                     # the smallest partner decides whether the band below is needed
                     if number and bands.at(number - 1).high * 100 >= percent * len(tokens):
                         below = bands.at(number - 1)
-                        other, below_maps = signatures(tokens, below).view(np.int64), parities(tokens, below)
-                rows.append((i, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest(), number, maps[0], below_maps[0], maps[1], below_maps[1], own, other))
-                held += len(own) + len(other)
+                        other, below_maps = cut(tokens, below), parities(tokens, below)
+                rows.append((i, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest(), number, maps[0], below_maps[0], maps[1], below_maps[1], *own, *other))
+                held += len(own[0]) + len(other[0])
                 if held > BATCH:
                     yield frame(rows)
                     rows, held = [], 0
@@ -183,20 +195,85 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
                 yield frame(rows)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["id", "n", "digest", "band", *NARROW, *WIDE, "own", "other"]).astype({"id": "Int64"})
+        return pd.DataFrame(rows, columns=["id", "n", "digest", "band", *NARROW, *WIDE, "own", "own_tags", "other", "other_tags"]).astype({"id": "Int64"})
 
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    longs = ", ".join(f"{c} array<long>" for c in (*NARROW, *WIDE, "own", "other"))
-    return named.mapInPandas(sign, f"id long, n long, digest string, band int, {longs}")
+    longs = ", ".join(f"{c} array<long>" for c in (*NARROW, *WIDE))
+    signs = ", ".join(f"{c} array<long>, {c}_tags array<int>" for c in ("own", "other"))
+    return named.mapInPandas(sign, f"id long, n long, digest string, band int, {longs}, {signs}")
 
 
 def index(found: DataFrame) -> DataFrame:
-    """(sig, id, own): one row for each signature of ``sets``."""
+    """(sig, id, own, tag): one row for each signature of ``sets``."""
 
     def named(column: str) -> Column:
-        return F.transform(column, lambda s: F.struct(s.alias("sig"), F.lit(column == "own").alias("own")))
+        tags = F.col(f"{column}_tags")
+
+        def one(s: Column, i: Column) -> Column:
+            return F.struct(s.alias("sig"), F.lit(column == "own").alias("own"), F.get(tags, F.when(F.size(tags) == 1, 0).otherwise(i)).alias("tag"))
+
+        return F.transform(column, one)
+
+    return found.select("id", F.explode(F.concat(named("own"), named("other"))).alias("s")).select("s.sig", "id", "s.own", "s.tag")
+
+
+def less(tag: Column) -> Column:
+    """1 for a segment without one of its shingles, 0 for a whole one."""
+    return F.when(tag < 0, F.shiftright(-1 - tag, 2).bitwiseAND(1)).otherwise(0)
+
+
+def units(tags: Iterable[int], whole: Iterable[int], short: Iterable[int]) -> list[int]:
+    """How many units (0 to 2) the segment of each tag gets, so that the sets met are fewest and the spare units go.
+
+    ``whole`` and ``short`` count the rows of each signature. One unit meets the sets whose whole segment is the same,
+    two also those with one shingle more or less.
+    """
+    one, two = {}, {}
+    spare = 0
+    for tag, w, d in zip(tags, whole, short):
+        code = -1 - int(tag)
+        spare, part = code & 3, code >> 3
+        if not code & 4:
+            one[part] = one.get(part, 0) + int(w) - 1
+        two[part] = two.get(part, 0) + (int(w) if code & 4 else int(w) - 1 + int(d))
+    # the most that can be saved with each number of units left out, and how
+    best = [(0, {})] + [(-1, {})] * spare
+    for part in sorted(two):
+        for left in range(spare, 0, -1):
+            for cut in (1, 2):
+                if cut <= left and best[left - cut][0] >= 0:
+                    saved = best[left - cut][0] + (two[part] if cut == 2 else two[part] - one.get(part, 0))
+                    if saved > best[left][0]:
+                        best[left] = (saved, {**best[left - cut][1], part: cut})
+    out = max(best, key=lambda b: b[0])[1]
+    return [2 - out.get((-1 - int(tag)) >> 3, 0) for tag in tags]
+
+
+def allocated(shared: DataFrame, several: DataFrame) -> DataFrame:
+    """``shared`` with the ``units`` spent on each row; rows that no set has to look at are left out.
+
+    * Without deletions all sets rank signatures alike, by the rows that bear them, and leave out the most frequent
+      ones, as many as the tag says. Of the equal segments of a linked pair (more than either may leave out) the rarest
+      is left out by neither.
+    * With deletions ``units`` chooses; a set looks at all rows of its signatures, whatever the others chose.
+    ``several`` are ids with several texts; they leave out nothing. Other groups hold one set's segments.
+    """
+
+    @F.pandas_udf("array<int>")
+    def chosen(tags: pd.Series, whole: pd.Series, short: pd.Series) -> pd.Series:
+        return pd.Series([units(*row) for row in zip(tags, whole, short)], dtype=object)
 
-    return found.select("id", F.explode(F.concat(named("own"), named("other"))).alias("s")).select("s.sig", "id", "s.own")
+    plain = shared.join(several, "id", "left_anti")
+    rarest_last = Window.partitionBy("id", "own").orderBy(F.desc("whole"), "sig")
+    exact = plain.filter("tag >= 0").withColumn("rank", F.row_number().over(rarest_last)).filter("rank > tag").drop("rank")
+    columns = ["sig", "tag", "whole", "short", "lead", "parted"]
+    lists = plain.filter("tag < 0").groupBy("id", "own").agg(F.collect_list(F.struct(*columns)).alias("r"))
+    lists = lists.withColumn("units", chosen("r.tag", "r.whole", "r.short"))
+    near = lists.select("id", "own", F.explode(F.arrays_zip("r", "units")).alias("z")).select("id", "own", "z.r.*", "z.units")
+    rest = shared.join(several, "id", "left_semi")
+    order = ["sig", "id", "own", "tag", "lead", "parted", "units"]
+    both = exact.unionByName(rest).withColumn("units", F.lit(2))
+    return both.select(order).union(near.select(order)).withColumn("less", less(F.col("tag"))).drop("tag")
 
 
 def by_id(maps: DataFrame) -> DataFrame:
@@ -262,8 +339,11 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Two documents link when 100 * |intersection| >= percent * |union|. One row for each distinct id.
     * Equal sets form a class by digest and are never compared; a class is named by its smallest id.
-    * A signature that two sets share makes them candidates. First only the smallest class of each signature
-      is compared with the others of it, which joins nearly all members of a group of copies in one step.
+    * A signature that two sets share makes them candidates. The rows of each signature are counted, and every set
+      spends its units on the segments that cost least (``allocated``), so that a passage of many unlike documents
+      makes no candidates where their own shingles suffice.
+    * First only the smallest class of each signature is compared with the others of it, which joins nearly all
+      members of a group of copies in one step.
     * Then every pair of classes of a signature whose components still differ is compared: whatever was not
       joined yet is, so no link between components is missed. Signatures whose classes all joined drop out.
     Frequent signatures are cut into salted parts before their smallest class is found, and joined in blocks.
@@ -295,25 +375,31 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     total = meta.count()
     limit = max(HOT_ROWS, int(total * HOT_SHARE) + 1)
     # a signature of a large group is hot; a sample shows which, and its rows are spread over parts by id. The list
-    # has at most (signatures of a document) / HOT_SHARE rows, and only the balance of tasks depends on it.
+    # has at most (mean signatures of a document) / HOT_SHARE rows. Its counts stand for all rows of the signature.
     few = index(signed.filter((F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0) & F.col("id").isNotNull()))
-    hot = few.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") * SAMPLE > limit)
-    hot = scratch.settle(hot.select("sig", F.ceil(F.col("n") * SAMPLE / limit).cast("int").alias("cuts")), "hot")
-    whole = Window.partitionBy("sig", "part")
+    removed = less(F.col("tag"))
+    hot = few.groupBy("sig").agg(F.count("*").alias("n"), F.sum(removed).alias("hot_short")).filter(F.col("n") * SAMPLE > limit)
+    hot = hot.select("sig", F.ceil(F.col("n") * SAMPLE / limit).cast("int").alias("cuts"), *[(c * SAMPLE).alias(a) for c, a in ((F.col("n") - F.col("hot_short"), "hot_whole"), (F.col("hot_short"), "hot_short"))])
+    hot = scratch.settle(hot, "hot")
+    every = Window.partitionBy("sig", "part")
     least_own = F.min(F.when(F.col("own"), F.col("id")))
     matched = []
     for turn in range(ROUNDS):
-        rows = index(single).filter(F.pmod("sig", F.lit(ROUNDS)) == turn).join(F.broadcast(hot), "sig", "left")
-        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("cuts", F.lit(1))))
-        rows = rows.withColumn("c", F.count("*").over(whole)).withColumn("lead", least_own.over(whole))
-        rows = rows.filter("(c > 1 and lead is not null) or cuts is not null")
-        matched.append(scratch.settle(rows.select("sig", "id", "own", "lead", F.col("cuts").isNotNull().alias("parted")), "shared"))
-    shared = functools.reduce(DataFrame.union, matched)
-    scratch.drop(signed, classes, hot)
+        rows = index(single).filter(F.pmod("sig", F.lit(ROUNDS)) == turn).join(F.broadcast(hot.select("sig", "cuts")), "sig", "left")
+        rows = rows.withColumn("part", F.when(F.col("cuts").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), "cuts")).cast("int")).drop("cuts")
+        counts = {"whole": F.count(F.when(removed == 0, 1)), "short": F.count(F.when(removed == 1, 1)), "lead": least_own}
+        rows = rows.withColumns({name: count.over(every) for name, count in counts.items()})
+        meets = F.when(removed == 1, F.col("whole") > 0).otherwise((F.col("whole") > 1) | (F.col("short") > 0))
+        rows = rows.filter((meets & F.col("lead").isNotNull()) | (F.col("part") >= 0)).join(F.broadcast(hot.drop("cuts")), "sig", "left")
+        counted = [F.coalesce(f"hot_{c}", c).alias(c) for c in ("whole", "short")]
+        matched.append(scratch.settle(rows.select("sig", "id", "own", "tag", *counted, "lead", (F.col("part") >= 0).alias("parted")), "shared"))
+    several = meta.filter("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x < y")
+    shared = scratch.settle(allocated(functools.reduce(DataFrame.union, matched), several.select("id")), "allocated")
+    scratch.drop(signed, classes, hot, *matched)
     # the parts of a hot signature have a lead each; the list of hot signatures bounds this table
     leads = scratch.settle(shared.filter("parted").groupBy("sig").agg(least_own.alias("first")), "leads")
     first = shared.join(F.broadcast(leads), "sig", "left").withColumn("lead", F.when(F.col("parted"), F.col("first")).otherwise(F.col("lead")))
-    first = first.filter("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    first = first.filter("id <> lead and units > less").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = scratch.settle(first, "pairs")
     maps_of = by_id(maps.filter("n > 0 and id is not null"))
     links = checked(first, maps_of, NARROW, WIDE)
@@ -322,13 +408,14 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     open_ = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("sig")
-    placed = scratch.settle(placed.join(open_, "sig", "left_semi").select("sig", "id", "own", "comp"), "open")
-    scratch.drop(*matched)
+    placed = scratch.settle(placed.join(open_, "sig", "left_semi").select("sig", "id", "own", "comp", "units", "less"), "open")
+    scratch.drop(shared)
     # a signature stands for one band, so its rows carry the maps of that band and pairs are ruled out where they meet
     seen = F.when(F.col("own"), F.col("bits")).otherwise(F.col("lower")).alias("m")
-    mapped = placed.join(maps_of, "id").select("sig", "id", "own", "comp", "n", seen)
-    one, two = mapped.alias("p"), mapped.alias("q")
-    rest = one.join(two, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.own") | F.col("q.own")))
+    mapped = placed.join(maps_of, "id").select("sig", "id", "own", "comp", "units", "less", "n", seen)
+    one, two = mapped.filter("units > less").alias("p"), mapped.alias("q")
+    found_by = (F.col("p.less") + F.col("q.less") <= 1) & (F.col("p.units") > F.col("p.less") + F.col("q.less"))
+    rest = one.join(two, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.own") | F.col("q.own")) & found_by)
     rest = rest.filter(fits(*(F.col(c) for c in ("p.n", "q.n", "p.m", "q.m")), percent))
     rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     rest = scratch.settle(rest, "pairs")
