@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, CountVectorizer, NGram, RFormula, StandardScaler, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.session import settle
 from tablemill.skew import attach, join_on_keys, lookup, numbered, quantiles, top_rows
@@ -209,18 +213,22 @@ def topic_models(
     topic, share). The model holds k numbers for each term of the vocabulary.
     """
     spark = terms.sparkSession
+    # small files hold many rows; spread over the cores, as each row is visited in every fit
+    terms = settle(terms.repartition(max(spark.sparkContext.defaultParallelism, terms.rdd.getNumPartitions())), "terms")
     size = terms.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().where(F.col("count") >= min_documents).count()
     if not size:
         raise ValueError(f"no term occurs in {min_documents} rows")
     vectors = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=size, minDF=float(min_documents)).fit(terms)
     counted = settle(vectors.transform(terms).select(key, "features", (F.pmod(F.xxhash64(key), F.lit(held_out)) == 0).alias("apart")), "counts")
-    train, apart = counted.where("NOT apart"), counted.where("apart")
-    words = apart.select(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0.0))).first()[0]
+    train, documents = counted.where("NOT apart"), counted.count()
     fits = {}
     for k in counts:
         model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="features").fit(train)
-        fits[k] = (float(model.logLikelihood(train)), float(model.logLikelihood(apart)) / words if words else 0.0, model)
-    documents = counted.count()
+        found = {r["apart"]: r for r in topic_likelihoods(model, counted, "apart").collect()}  # at most three rows
+        inner, outer = found.get(False), found.get(True)
+        topics = _topics_bound(model)
+        words = outer["words"] if outer else 0.0
+        fits[k] = (topics + (inner["rows_bound"] if inner else 0.0), (topics + outer["rows_bound"]) / words if words else 0.0, model)
     quality = spark.createDataFrame(
         [(k, a, b, len(vectors.vocabulary), documents) for k, (a, b, _) in fits.items()], "k int, log_likelihood double, held_out double, vocabulary long, documents long"
     )
@@ -229,3 +237,65 @@ def topic_models(
     rows = [(r["topic"], vectors.vocabulary[i], float(w)) for r in top for i, w in zip(r["termIndices"], r["termWeights"])]
     shares = best.transform(counted).select(key, F.posexplode(vector_to_array("topicDistribution")).alias("topic", "share"))
     return quality, spark.createDataFrame(rows, "topic int, term string, weight double"), shares
+
+
+def topic_likelihoods(model, counted: DataFrame, group: str) -> DataFrame:
+    """(group, words, rows_bound): the rows' part of the variational bound that ``model.logLikelihood`` gives.
+
+    That method takes the exponential of the whole topic matrix anew for each row, so its time
+    grows with rows times vocabulary. Here a row's topic shares come from ``transform`` and only
+    the columns of its own terms are read; the rest of the bound is ``_topics_bound``.
+    """
+    alpha = np.array(model.estimatedDocConcentration().toArray())
+    beta = counted.sparkSession.sparkContext.broadcast(_log_topics(model))
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = beta.value
+        for batch in batches:
+            n_out, out = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            features, shares = batch.column("features"), batch.column("shares").to_pylist()
+            indices, values = features.field("indices"), features.field("values")
+            for i, share in enumerate(shares):
+                n = np.array(values[i].values, dtype=float)
+                if not n.any():
+                    continue
+                gamma = np.array(share) * (alpha.sum() + n.sum())
+                theta = digamma(gamma) - digamma(gamma.sum())
+                cells = logs[np.array(indices[i].values)] + theta
+                peak = cells.max(axis=1)
+                n_out[i] = n.sum()
+                out[i] = n @ (peak + np.log(np.exp(cells - peak[:, None]).sum(axis=1))) + (alpha - gamma) @ theta
+                out[i] += sum(map(math.lgamma, gamma)) - sum(map(math.lgamma, alpha)) + math.lgamma(alpha.sum()) - math.lgamma(gamma.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(group), pa.array(n_out), pa.array(out)], [group, "words", "rows_bound"])
+
+    shared = model.transform(counted).select(group, "features", vector_to_array("topicDistribution").alias("shares"))
+    out = T.StructType([counted.schema[group], T.StructField("words", T.DoubleType()), T.StructField("rows_bound", T.DoubleType())])
+    return shared.mapInArrow(bounds, out).groupBy(group).agg(F.sum("words").alias("words"), F.sum("rows_bound").alias("rows_bound"))
+
+
+def _log_topics(model) -> np.ndarray:
+    """Expected log weight of each term in each topic, one row a term."""
+    weights = model.topicsMatrix().toArray()
+    return np.ascontiguousarray(digamma(weights) - digamma(weights.sum(axis=0)))
+
+
+def _topics_bound(model) -> float:
+    """What the topics themselves add to the variational bound."""
+    weights = model.topicsMatrix().toArray()
+    terms, k = weights.shape
+    eta = model.getTopicConcentration() if model.isDefined("topicConcentration") else 1.0 / k
+    log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+    bound = ((eta - weights) * _log_topics(model)).sum() + (log_gamma(weights).astype(float) - math.lgamma(eta)).sum()
+    return float(bound + k * math.lgamma(eta * terms) - log_gamma(weights.sum(axis=0)).astype(float).sum())
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of the log gamma function: recurrence up to 6, then the asymptotic series."""
+    x = np.array(x, dtype=float)
+    out = np.zeros_like(x)
+    for _ in range(6):
+        low = x < 6
+        out = np.where(low, out - 1 / x, out)
+        x = np.where(low, x + 1, x)
+    f = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
