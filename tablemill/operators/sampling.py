@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.skew import attach, numbered
+from tablemill.session import settle
+from tablemill.skew import bucketed, numbered
 
 # hexadecimal digits of the hash used as a number: 15 digits fit a signed long
 HASH_DIGITS = 15
@@ -58,11 +59,10 @@ def holdout_mask(df: DataFrame, key: str, n: int, seed: int = 0, name: str = "ho
 
 def stratified_fraction(df: DataFrame, response: str, key: str, fraction: float, strata: int = 10, seed: int = 0) -> DataFrame:
     """The same fraction (rounded down) out of equally filled ranges of the response."""
-    ranked = attach(numbered(df, [], [response, key], "_no"), [], {"_n": F.count(F.lit(1))})
-    tiled = ranked.withColumn("_tile", F.floor((F.col("_no") - 1) * strata / F.col("_n")))
-    drawn = numbered(tiled.withColumn("_draw", draw(F.col(key), seed)), ["_tile"], ["_draw", key], "_pick")
-    sized = attach(drawn, ["_tile"], {"_size": F.count(F.lit(1))})
-    return sized.where(F.col("_pick") <= F.floor(F.col("_size") * fraction)).select(*df.columns)
+    tile = lambda no, n: F.floor((no - 1) * strata / n)
+    tiled = settle(bucketed(df, [], [response, key], "_tile", tile), "tiles").withColumn("_draw", draw(F.col(key), seed))
+    drawn = bucketed(tiled, ["_tile"], ["_draw", key], "_left", lambda no, n: no > F.floor(n * fraction))
+    return drawn.where(~F.col("_left")).select(*df.columns)
 
 
 def bootstrap(df: DataFrame, key: str, samples: int, seed: int = 0, name: str = "sample") -> DataFrame:

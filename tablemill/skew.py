@@ -26,11 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablemill.session import settle
+
 ROWS_PER_SLICE = 2_000_000
 #: sampled rows for each slice of rows; a key is hot from three quarters of a slice's share on
 SAMPLES = 64
-#: cut points compared at once; longer lists are searched level by level
-FAN = 32
+#: slices compared at once; longer lists are searched level by level
+FAN = 16
 _SLICE = "_slice"
 
 
@@ -232,8 +234,8 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Slic
     """Add ``_hot`` and ``_slice``; slice numbers follow the sort order inside a key.
 
     The cut points of a key form a search tree with ``FAN`` branches; a level of it is a
-    broadcast table with one row for each of its nodes, so a row carries at most
-    ``FAN - 1`` cut points at a time however many its key has.
+    broadcast table with one row for each child of its nodes and the bounds the child lies
+    between, so a row meets at most ``FAN`` of them at a time however many cuts its key has.
     """
     taken_in = reversed_order(order) if cuts.backward else order
     out = _hot_flag(df, keys, cuts).withColumns({"_slice_at": sort_tuple(df, taken_in), "_slice_node": F.lit(0)})
@@ -242,7 +244,7 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Slic
     while FAN**depth <= most:
         depth += 1
     schema = T.StructType(
-        [*[T.StructField(f"_h{i}", df.schema[k].dataType) for i, k in enumerate(keys)], T.StructField("_slice_n", T.IntegerType()), T.StructField("_slice_cuts", T.ArrayType(cuts.tuple_type))]
+        [*[T.StructField(f"_h{i}", df.schema[k].dataType) for i, k in enumerate(keys)], T.StructField("_slice_n", T.IntegerType()), T.StructField("_child", T.IntegerType()), T.StructField("_low", cuts.tuple_type), T.StructField("_high", cuts.tuple_type)]
     )
     for level in range(depth):
         stride = FAN ** (depth - 1 - level)
@@ -250,13 +252,15 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], cuts: Slic
         for key, points in zip(cuts.keys, cuts.cuts):
             marks = points[stride - 1 :: stride]  # what parts the children of all nodes of this level, and nodes from each other
             for low in range(0, len(marks), FAN):
-                nodes.append((*key, low // FAN, marks[low : low + FAN - 1]))
+                bounds = [None, *marks[low : low + FAN - 1], None]
+                nodes += [(*key, low // FAN, i, *bounds[i : i + 2]) for i in range(len(bounds) - 1)]
         table = F.broadcast(df.sparkSession.createDataFrame(nodes, schema))
         same = F.col("_slice_node") == F.col("_slice_n")
+        same = same & (F.col("_low").isNull() | (F.col("_low") <= F.col("_slice_at"))) & (F.col("_high").isNull() | (F.col("_slice_at") < F.col("_high")))
         for i, k in enumerate(keys):
             same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_h{i}"))
-        child = F.size(F.filter(F.coalesce("_slice_cuts", F.array().cast(T.ArrayType(cuts.tuple_type))), lambda c: c <= F.col("_slice_at")))
-        out = out.join(table, same, "left").withColumn("_slice_node", F.col("_slice_node") * FAN + child).drop("_slice_n", "_slice_cuts", *[f"_h{i}" for i in range(len(keys))])
+        child = F.coalesce("_child", F.lit(0))
+        out = out.join(table, same, "left").withColumn("_slice_node", F.col("_slice_node") * FAN + child).drop("_slice_n", "_child", "_low", "_high", *[f"_h{i}" for i in range(len(keys))])
     return out.withColumn(_SLICE, -F.col("_slice_node") if cuts.backward else F.col("_slice_node")).drop("_slice_at", "_slice_node")
 
 
@@ -299,7 +303,7 @@ def running(
     before = window(keys, [_SLICE]).rowsBetween(Window.unboundedPreceding, -1)
     outer = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "last": _MERGE["last"][0]}
     carry = carry.select(*group, *[outer[k](F.col(f"_tot_{n}")).over(before).alias(f"_pre_{n}") for n, (k, _) in columns.items()])
-    joined = join_on_keys(inside, carry, group)
+    joined = join_on_keys(inside, F.broadcast(carry), group)  # one row for each slice of a hot key
     result = joined.withColumns({n: _MERGE[k][1](F.col(f"_loc_{n}"), F.col(f"_pre_{n}")) for n, (k, _) in columns.items()})
     extra = [f"{p}{n}" for n in columns for p in ("_in_", "_loc_", "_pre_")]
     return same_rows(result.drop("_hot", _SLICE, *extra), df)
@@ -398,6 +402,33 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return running(df, keys, order, {name: ("count", F.lit(1))})
 
 
+def bucketed(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, bucket: Callable[[Column, Column], Column]) -> DataFrame:
+    """Add ``bucket(row number, rows of the group)``, which must not fall as the number rises.
+
+    Slices of hot keys are counted, which says at what number each begins and ends. Only where
+    the bucket changes inside a slice are its rows shuffled and numbered, so what moves is a
+    slice for each bucket, whatever the number of rows.
+    """
+    cuts = slicing(df, keys, order)
+    if cuts is None:
+        ranked = attach(numbered(df, keys, order, "_no"), keys, {"_all": F.count(F.lit(1))})
+        return same_rows(ranked.withColumn(name, bucket(F.col("_no"), F.col("_all"))).drop("_no", "_all"), df)
+    parts = _sliced(df, keys, order, cuts)
+    group = [*keys, _SLICE]
+    sizes = parts.where("_hot").groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(window(keys, [_SLICE]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.select(*group, "_rows", before.alias("_before"), F.sum("_rows").over(window(keys)).alias("_all"))
+    first, last = bucket(F.col("_before") + 1, F.col("_all")), bucket(F.col("_before") + F.col("_rows"), F.col("_all"))
+    places = settle(places.select(*group, "_before", "_all", first.alias(name), first.eqNullSafe(last).alias("_steady")), "places")
+    placed = join_on_keys(parts, F.broadcast(places), group)
+    steady = F.coalesce("_steady", F.lit(False))
+    number = F.row_number().over(window(group, order)) + F.coalesce("_before", F.lit(0))
+    among = F.coalesce("_all", F.count(F.lit(1)).over(window(group)))
+    moved = placed.where(~steady).withColumns({"_no": number, "_among": among}).withColumn(name, bucket(F.col("_no"), F.col("_among")))
+    out = [*[F.col(f"`{c}`") for c in df.columns], F.col(name)]
+    return same_rows(placed.where(steady).select(*out).unionByName(moved.select(*out)), df)
+
+
 def bounded(
     df: DataFrame,
     keys: Sequence[str],
