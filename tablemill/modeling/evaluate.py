@@ -8,7 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.skew import attach, join_on_keys, numbered, quantiles, running, top_rows
+from tablemill.session import settle
+from tablemill.skew import attach, bucketed, join_on_keys, quantiles, running, top_rows
 
 EPSILON = 1e-15
 
@@ -114,12 +115,13 @@ def agreement(table: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def lift_gain(df: DataFrame, keys: Sequence[str], row: str, actual: str = "actual", score: str = "predicted", groups: int = 10) -> DataFrame:
     """Rows by score in equal groups (the rest in the last): rates, lift and cumulated gain."""
-    ranked = attach(numbered(df, keys, [f"-{score}", row], "_no"), keys, {"_all": F.count(F.lit(1)), "baseline_rate": F.avg(actual)})
-    size = F.greatest(F.floor(F.col("_all") / groups), F.lit(1))
-    spot = F.least(F.floor((F.col("_no") - 1) / size), F.lit(groups - 1)) + 1
-    sums = ranked.groupBy(*keys, spot.cast("int").alias("prediction_group"), "baseline_rate").agg(
-        F.avg(actual).alias("sensitivity"), F.sum(actual).cast("double").alias("model_count"), F.count(F.lit(1)).alias("n")
+    spot = lambda no, n: (F.least(F.floor((no - 1) / F.greatest(F.floor(n / groups), F.lit(1))), F.lit(groups - 1)) + 1).cast("int")
+    placed = bucketed(df, keys, [f"-{score}", row], "prediction_group", spot)
+    sums = placed.groupBy(*keys, "prediction_group").agg(
+        F.avg(actual).alias("sensitivity"), F.sum(actual).cast("double").alias("model_count"), F.count(F.lit(1)).alias("n"), F.count(actual).alias("_known")
     )
+    rated = attach(settle(sums, "groups"), keys, {"_hits": F.sum("model_count"), "_among": F.sum("_known")})
+    sums = rated.select(*keys, "prediction_group", F.try_divide("_hits", "_among").alias("baseline_rate"), "sensitivity", "model_count", "n")
     sums = sums.withColumns(
         {"baseline_count": F.col("n") * F.col("baseline_rate"), "lift_model": F.try_divide("sensitivity", "baseline_rate"), "lift_baseline": F.lit(1.0)}
     )
