@@ -196,9 +196,12 @@ def term_counts(terms: DataFrame, key: str) -> DataFrame:
 
 
 def document_term_matrix(terms: DataFrame, key: str, min_documents: int = 1) -> DataFrame:
-    """Long form (key, term, n) for terms found in enough documents; a term that many documents hold is not gathered anywhere."""
-    cells = counted_terms(terms, key)
-    known = cells.groupBy("term").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= min_documents)
+    """Long form (key, term, n) for terms found in enough documents; a term that many documents hold is not gathered anywhere.
+
+    The cells are read several times (counts, hot terms, both sides of the lookup), the texts once.
+    """
+    cells = settle(counted_terms(terms, key), "cells")
+    known = settle(cells.groupBy("term").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") >= min_documents), "known")
     return lookup(cells, known, ["term"]).where("_d IS NOT NULL").drop("_d")
 
 
