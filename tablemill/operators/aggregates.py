@@ -25,6 +25,7 @@ from tablemill.skew import (
     rows_per_slice,
     running,
     same_rows,
+    spread,
     tie_ranks,
     top_rows,
 )
@@ -315,9 +316,11 @@ def mode_per_group(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     return best.groupBy(*keys).pivot("_column", list(columns)).agg(F.first("_value"))
 
 
-def upper_median_row(df: DataFrame, keys: Sequence[str], value: str, tie_break: Sequence[str] = ()) -> DataFrame:
-    """Of the rows of a group, the one at sorted position floor(n / 2) (0-based)."""
-    ranked = attach(numbered(df, keys, [value, *tie_break], "_no"), keys, {"_n": F.count(F.lit(1))})
+def upper_median_row(df: DataFrame, keys: Sequence[str], value: str, tie_break: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Of the rows of a group, the one at sorted position floor(n / 2) (0-based); ``rows`` is their number, if it is known."""
+    order = [value, *tie_break]
+    dealt = spread(df, keys, order, rows) if keys else df
+    ranked = attach(numbered(dealt, keys, order, "_no"), keys, {"_n": F.count(F.lit(1))})
     return ranked.where(F.col("_no") == F.floor(F.col("_n") / 2) + 1).drop("_no", "_n")
 
 

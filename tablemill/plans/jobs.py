@@ -53,7 +53,7 @@ def measurement_view(tests: DataFrame, projects: DataFrame, parameters: Sequence
     """
     point = ["project", "point"]
     clean = settle(columns.convert_parameter_units(tests.where(F.col("unit").isNotNull() & F.col("value").isNotNull())), "clean")
-    single = settle(aggregates.upper_median_row(clean.drop("unit", "original_unit"), [*point, "parameter", "date"], "value", list(metadata)), "single")
+    single = settle(aggregates.upper_median_row(clean.drop("unit", "original_unit"), [*point, "parameter", "date"], "value", list(metadata), clean.count()), "single")
     typical = aggregates.mode_per_group(single, [*point, "date"], metadata)
     wide = series.pivot(single, [*point, "date"], "parameter", "value", parameters, "WQ_")
     joined = wide.join(typical, [*point, "date"]).join(projects, "project")

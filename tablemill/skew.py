@@ -186,6 +186,18 @@ def _answers(df: DataFrame) -> dict:
     return df.__dict__["_tablemill_hot"]
 
 
+def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Deal rows out by their keys to as many tasks as they fill slices, where Spark's setting has fewer.
+
+    Only for tables whose size is given or known from Parquet files; hot keys are left to their slices.
+    """
+    bound = rows if rows is not None else row_bound(df.sparkSession, df._jdf.queryExecution().optimizedPlan(), rows_per_slice(df))
+    tasks = -(-bound // rows_per_slice(df)) if bound else 1
+    if tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) or slicing(df, keys, order) is not None:
+        return df
+    return same_rows(df.repartition(tasks, *[F.col(k) for k in keys]), df)
+
+
 def same_rows(out: DataFrame, source: DataFrame) -> DataFrame:
     """Declare that a DataFrame has the rows and keys of another one."""
     out.__dict__["_tablemill_hot"] = _answers(source)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablemill import skew
 from tablemill.modeling import evaluate, features
-from tablemill.operators import sampling
+from tablemill.operators import aggregates, sampling
 
 
 def test_topic_models_give_the_bound_without_a_pass_over_the_vocabulary_for_each_row(spark, monkeypatch):
@@ -85,3 +85,23 @@ def test_slices_are_found_without_interpreted_lists(tiny_slices):
     rows = tiny_slices.range(900).select("id", (F.col("id") % 5).alias("v"))
     plan = skew.numbered(rows, [], ["v", "id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_term_cells_are_read_back_not_made_anew(spark):
+    docs = spark.range(60).select("id", F.concat(F.lit("all "), F.repeat(F.concat(F.lit("t"), F.chr(97 + F.col("id") % 5), F.lit(" ")), 2)).alias("text"))
+    matrix = features.document_term_matrix(features.text_terms(docs, "id", "text", ["the"]), "id", 13)
+    assert "regexp_replace" not in matrix._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["id"], r["term"], r["n"]) for r in matrix.collect()) == [(i, "all", 1) for i in range(60)]
+
+
+def test_groups_of_a_large_table_are_dealt_to_more_tasks_than_the_setting_has(spark, tmp_path):
+    spark.range(3000).select((F.col("id") % 300).alias("k"), (F.col("id") * 7 % 11).alias("v"), "id").write.parquet(str(tmp_path / "t"))
+    made = lambda: aggregates.upper_median_row(spark.read.parquet(str(tmp_path / "t")), ["k"], "v", ["id"])
+    plain = sorted(map(tuple, made().collect()))
+    spark.conf.set("tablemill.rowsPerSlice", "200")
+    try:
+        got = made()
+        assert "hashpartitioning(k" in got._jdf.queryExecution().executedPlan().toString() and ", 15)" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect())) == plain
+    finally:
+        spark.conf.unset("tablemill.rowsPerSlice")
