@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablemill.functions import numbers, times
 from tablemill.operators.filters import Report
+from tablemill.session import settle
 from tablemill.skew import attach, order_columns
 
 # Words that mean "too many to count", their stand-in, and the sign rules.
@@ -79,7 +80,8 @@ def convert_parameter_units(df: DataFrame, parameter: str = "parameter", unit: s
         .when(used("CFU/100ml"), F.when(allowed("CFU/100ml"), "count"))
         .otherwise(F.when(F.min(unit) == F.max(unit), "other"))
     )
-    families = df.groupBy(parameter).agg(F.coalesce(family, F.lit("mixed")).alias("_family"))
+    # one row for each parameter; written down, it is known to be small, so the rows need not meet in a task for each parameter
+    families = settle(df.groupBy(parameter).agg(F.coalesce(family, F.lit("mixed")).alias("_family")), "families")
     joined = df.join(families, parameter)
     kind, number = F.col("_family"), numbers.coerce_numeric(text)
     beyond = F.lower(text).isin(*TOO_NUMEROUS) | (number > TOO_NUMEROUS_VALUE)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablemill import skew
 from tablemill.modeling import evaluate, features
-from tablemill.operators import aggregates, sampling
+from tablemill.operators import aggregates, columns, sampling
 
 
 def test_topic_models_give_the_bound_without_a_pass_over_the_vocabulary_for_each_row(spark, monkeypatch):
@@ -105,3 +105,10 @@ def test_groups_of_a_large_table_are_dealt_to_more_tasks_than_the_setting_has(sp
         assert sorted(map(tuple, got.collect())) == plain
     finally:
         spark.conf.unset("tablemill.rowsPerSlice")
+
+
+def test_rows_of_a_parameter_are_not_gathered_to_convert_units(spark):
+    rows = spark.range(500).select(F.concat(F.lit("p"), F.col("id") % 3).alias("parameter"), F.lit("ppb").alias("unit"), F.col("id").cast("string").alias("value"))
+    got = columns.convert_parameter_units(rows)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["value"] for r in got.collect()) == [i / 1000 for i in range(500)]
