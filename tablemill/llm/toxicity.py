@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablemill.llm.common import Scratch
+from tablemill.llm.warc import store
+from tablemill.session import fresh_folder
+
 GAP = re.compile(r"[\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows learned from, the first in a seeded order.
 EXAMPLES = 20_000
 #: From so many standard deviations between the labels on a term has its full IDF weight, which leaves no room for chance.
@@ -27,7 +35,7 @@ NEIGHBOURS = 25
 #: Cosines that differ by less than this are compared in double precision before one is passed over.
 SLACK = 1e-5
 #: Postings read in about the time that the whole cosine of one example takes.
-WORTH = 600
+WORTH = 2500
 #: Lengths of word beginnings that are terms besides whole words.
 BEGINNINGS = (4, 5, 6)
 
@@ -81,21 +89,19 @@ class Index:
         cuts = self.cuts[term[order]]
         left = np.cumsum((cuts[:, 1] - cuts[:, 0])[::-1])[::-1]
         rest = np.cumsum(bound[order][::-1])[::-1]
-        found, look, n = np.zeros(examples), 8, len(term)
+        found, done, n = np.zeros(examples), 0, len(term)
         if leave >= 0:
             found[leave] = -9.0
-        for i, ((a, z), w) in enumerate(zip(cuts.tolist(), weight[order].tolist()), 1):
-            here = self.at[a:z]
-            if z - a > examples >> 3:
-                found += np.bincount(here, self.weight[a:z], examples) * w
-            else:
-                found[here] += w * self.weight[a:z]
-            if i == look or i == n:
-                look *= 2
-                worst = np.partition(found, -k)[-k] if examples >= k else -1.0
-                near = np.flatnonzero(found >= worst - (rest[i] if i < n else 0.0) - SLACK)
-                if i < n and len(near) * WORTH <= left[i]:
-                    break
+        while done < n:
+            look = min(max(8, 2 * done), n)
+            lists = cuts[done:look].tolist()
+            held = np.concatenate([self.weight[a:z] * w for (a, z), w in zip(lists, weight[order[done:look]].astype(np.float32))])
+            found += np.bincount(np.concatenate([self.at[a:z] for a, z in lists]), held, examples)
+            done = look
+            worst = np.partition(found, -k)[-k] if examples >= k else -1.0
+            near = np.flatnonzero(found >= worst - (rest[done] if done < n else 0.0) - SLACK)
+            if done < n and len(near) * WORTH <= left[done]:
+                break
         else:
             near = near[found[near] > 0]
         near = near[near != leave]
@@ -103,7 +109,7 @@ class Index:
             self.room = np.zeros(len(self.vocabulary))
         query = self.room
         query[term] = weight
-        cos = np.array([query[self.term[a:z]] @ self.exact[a:z] for a, z in zip(self.edges[near].tolist(), self.edges[near + 1].tolist())])
+        cos = np.array([query.take(self.term[a:z]) @ self.exact[a:z] for a, z in zip(self.edges[near].tolist(), self.edges[near + 1].tolist())])
         query[term] = 0.0
         first = np.argsort(-cos, kind="stable")[:k]
         first = first[cos[first] > 0]
@@ -134,21 +140,23 @@ def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def reader(vocabulary: list[str]):
     """Function from a text to the numbers of its terms, in order, and how often each occurs."""
     number = {t: i for i, t in enumerate(vocabulary)}
-    known: dict[str, list[int]] = {}
+    known: dict[str, np.ndarray] = {}
 
     def read(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found: list[int] = []
+        found: list[np.ndarray] = []
         times: list[int] = []
-        for w, n in Counter(words(text).split()).items():
+        for w, n in Counter(WORD.findall((text or "").lower())).items():
             own = known.get(w)
             if own is None:
                 if len(known) >= 200_000:
                     known.clear()
-                own = known[w] = [number[t] for t in parts(w) if t in number]
-            found += own
-            times += [n] * len(own)
-        term, place = np.unique(np.array(found, np.int64), return_inverse=True)
-        return term, np.bincount(place, times, len(term))
+                own = known[w] = np.array([number[t] for t in parts(w) if t in number], np.int64)
+            found.append(own)
+            times.append(n)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        term, place = np.unique(np.concatenate(found), return_inverse=True)
+        return term, np.bincount(place, np.repeat(times, [len(own) for own in found]), len(term))
 
     return read
 
@@ -159,19 +167,71 @@ def weigh(term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray,
     return term, w / (np.sqrt(w @ w) or 1.0)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label", examples: int = EXAMPLES, seed: int = 5) -> Index:
+@dataclass
+class Stored:
+    """An index as a file of the shared folder; a process reads it when it first needs it, and keeps one."""
+
+    path: str
+    empty: float
+    prior: float
+    curve: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+
+    def load(self) -> Index:
+        index = kept("index", self.path, pickle.load)
+        index.curve = self.curve
+        return index
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return getattr(self.load(), name)
+
+
+HELD: dict[str, tuple[str, object]] = {}
+
+
+def kept(kind: str, path: str, read):
+    """What ``read`` makes of a file of the shared folder; a process keeps the last of each kind."""
+    if HELD.get(kind, ("",))[0] != path:
+        if kind != "reader":  # a reader of terms alone is of no use beside an index, nor an older index
+            HELD.clear()
+        disk, name = store(path)
+        with disk.open_input_file(name) as file:
+            HELD[kind] = (path, read(file))
+    return HELD[kind][1]
+
+
+def table_of(path: str, columns: list[str] | None = None) -> pa.Table:
+    disk, name = store(path)
+    with disk.open_input_file(name) as file:
+        return pq.ParquetFile(file).read(columns)
+
+
+def column(path: str, name: str) -> list:
+    return table_of(path, [name]).column(name).to_pylist()
+
+
+def vocabulary_of(path: str):
+    """Reader for the terms of a file, in its order."""
+    return kept("terms", path, lambda file: reader(pq.ParquetFile(file).read(["term"]).column("term").to_pylist()))
+
+
+def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label", examples: int = EXAMPLES, seed: int = 5) -> Stored:
     """Build the index from ``labelled`` (``key``, ``label`` 0 or 1, one row for each key) and the texts in ``docs``.
 
     At most ``examples`` labelled rows, the first by a seeded hash of the key, are learned from: they give the
     vocabulary, which is all their terms, and the example vectors. Document frequencies for the IDF weights are
     counted over all of ``docs``. A term whose document counts do not differ between the labels beyond doubt
     keeps only a share of its weight, down to ``LEAST``: under IDF alone the names and rare words of a text
-    outweigh what its label depends on.
+    outweigh what its label depends on. Terms, counts, vectors and the index go through the shared folder; the
+    driver holds the votes of the examples.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     keys = labelled.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     keys = keys.orderBy(F.xxhash64(F.lit(seed), "k"), "k").limit(examples)  # keys and labels only
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(keys), "k").dropDuplicates(["k"])
+    rows = scratch.settle(rows, "examples")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, list[int]] = {}
@@ -186,35 +246,76 @@ def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
 
     size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
-    vocabulary: list[str] = []
+    words_at, counts_at, vectors_at = None, [], []
     if n0 and n1:
         table = rows.mapInPandas(count, "term string, no long, yes long").groupBy("term").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
-        table = table.toPandas().sort_values("term")
-        vocabulary, no, yes = table["term"].tolist(), table["no"].to_numpy(float), table["yes"].to_numpy(float)
+        # as many terms as the examples have, so one task sorts them and one builds the index
+        table = scratch.settle(table.coalesce(1).sortWithinPartitions("term"), "terms")
+        words_at = max(table.inputFiles(), key=lambda path: _rows(path))
+        counts_at = scratch.settle(document_frequencies(docs, text, words_at).coalesce(1), "frequencies").inputFiles()
+        vectors_at = scratch.settle(vectors(rows, words_at), "vectors").inputFiles()
+    folder = fresh_folder(spark, "toxicity")
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        HELD.clear()
+        for _ in batches:
+            index = assemble(words_at, counts_at, vectors_at, n0, n1)
+            disk, root = store(folder)
+            disk.create_dir(root, recursive=True)
+            name = f"index-{uuid.uuid4().hex}.pickle"  # a task that runs again writes a file of its own
+            with disk.open_output_stream(f"{root}/{name}") as file:
+                pickle.dump(index, file, protocol=5)
+            yield pd.DataFrame({"name": [name], "n": [len(index.labels)], "empty": [index.empty], "prior": [index.prior]})
+
+    made = spark.range(1).coalesce(1).mapInPandas(build, "name string, n long, empty double, prior double").first()
+    scratch.drop(rows)
+    index = Stored(f"{folder}/{made['name']}", made["empty"], made["prior"])
+    if made["n"]:
+        index.curve = rising(*judged(spark, index, made["n"]))
+    return index
+
+
+def _rows(path: str) -> int:
+    disk, name = store(path)
+    with disk.open_input_file(name) as file:
+        return pq.ParquetFile(file).metadata.num_rows
+
+
+def assemble(words_at: str | None, counts_at: list[str], vectors_at: list[str], n0: int, n1: int) -> Index:
+    """The index from the files of terms, document frequencies and example vectors; they are as many as the examples give."""
+    vocabulary: list[str] = column(words_at, "term") if words_at else []
+    trust = df = np.zeros(0)
+    total = 0
+    if vocabulary:
+        no, yes = (np.array(column(words_at, c), float) for c in ("no", "yes"))
         p = (no + yes + 1.0) / (n0 + n1 + 2.0)
         z = np.abs(yes / n1 - no / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
         trust = np.clip((z / SURE) ** DOUBT, LEAST, 1.0)
-        del table
-    else:
-        trust = np.zeros(0)
-    held = spark.sparkContext.broadcast(vocabulary)
-    total, df = document_frequencies(docs, text, held)
+        df = np.zeros(len(vocabulary) + 1)
+        for path in counts_at:
+            df[np.array(column(path, "term"), np.int64) + 1] = column(path, "n")
+        total, df = int(df[0]), df[1:]
     idf = (np.log((1.0 + total) / (1.0 + df)) + 0.01) * trust
-    made = vectors(rows, held).toPandas() if vocabulary else pd.DataFrame({"k": [], "y": [], "terms": [], "n": []})
-    held.unpersist()
-    made = made.iloc[np.argsort(made["k"].astype(str).to_numpy(), kind="stable")]
-    size = np.array([len(t) for t in made["terms"]], np.int64) // 4
-    ids, labels = made["k"][size > 0].to_numpy(object), made["y"][size > 0].to_numpy(float)
-    none = made["y"][size == 0]
+    keys, y, size = np.zeros(0, object), np.zeros(0), np.zeros(0, np.int64)
+    term = n = np.zeros(0, np.int32)
+    if vectors_at:
+        made = pa.concat_tables([table_of(path) for path in vectors_at])
+        made = made.take(pa.array(np.argsort(np.array(made["k"].to_pylist(), object).astype(str), kind="stable")))
+        keys, y = np.array(made["k"].to_pylist(), object), made["y"].to_numpy().astype(float)
+        size = np.diff(np.frombuffer(made["terms"].combine_chunks().buffers()[1], np.int32, len(y) + 1)).astype(np.int64) // 4
+        if size.any():
+            term, n = (np.frombuffer(made[c].combine_chunks().buffers()[2], np.int32, size.sum()) for c in ("terms", "n"))
+        del made
+    ids, labels = keys[size > 0], y[size > 0]
+    none = y[size == 0]
     edges = np.concatenate([[0], np.cumsum(size[size > 0])])
-    term, n = (np.frombuffer(b"".join(made.pop(c)), np.int32) for c in ("terms", "n"))  # the driver holds each only once
     exact = np.log(n)
-    del made, n
+    del n
     exact += 1
     exact *= idf[term]
     if len(ids):
         exact /= np.repeat(np.sqrt(np.add.reduceat(exact * exact, edges[:-1])), np.diff(edges))
-    order = np.argsort(term, kind="stable")
+    order = np.argsort(term, kind="stable").astype(np.int32 if len(term) < 1 << 31 else np.int64)
     at = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(edges))[order]
     weight = exact[order].astype(np.float32)
     ends = np.searchsorted(term[order], np.arange(len(vocabulary)), "right")
@@ -222,38 +323,33 @@ def learn(docs: DataFrame, labelled: DataFrame, *, key: str = "doc_id", text: st
     tops = np.zeros(len(vocabulary))
     np.maximum.at(tops, term, exact)
     prior = (n1 + 0.5) / (n0 + n1 + 1.0) if n0 + n1 else 0.0
-    index = Index(
+    return Index(
         vocabulary, idf, trust >= 1.0, labels, ids, at, weight, np.stack([begins, ends], 1), tops, term, exact, edges,
         (none.sum() + prior) / (len(none) + 1.0) if n0 + n1 else 0.0, prior,
     )
-    if len(ids):
-        index.curve = rising(*judged(spark, index))
-    return index
 
 
-def judged(spark: SparkSession, index: Index) -> tuple[np.ndarray, np.ndarray]:
+def judged(spark: SparkSession, index: Stored, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Vote and label of every example that has terms, each judged by the others."""
-    held = spark.sparkContext.broadcast(index)
-    size = len(index.labels)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = held.value
+        ix = index.load()
         for pdf in batches:
             votes = []
             for j in pdf["id"]:
                 own = slice(ix.edges[j], ix.edges[j + 1])
                 at, cos = ix.nearest(ix.term[own], ix.exact[own], NEIGHBOURS, leave=j)
                 votes.append(ix.vote(cos, at) if len(at) else ix.prior)
-            yield pd.DataFrame({"id": pdf["id"], "vote": votes})
+            yield pd.DataFrame({"id": pdf["id"], "vote": votes, "label": ix.labels[pdf["id"]]})
 
-    found = spark.range(size).repartition(max(1, size // 500)).mapInPandas(judge, "id long, vote double").toPandas().sort_values("id")
-    return found["vote"].to_numpy(), index.labels
+    found = spark.range(size).repartition(max(1, size // 500)).mapInPandas(judge, "id long, vote double, label double").toPandas().sort_values("id")
+    return found["vote"].to_numpy(), found["label"].to_numpy()
 
 
-def document_frequencies(docs: DataFrame, text: str, vocabulary: Broadcast) -> tuple[int, np.ndarray]:
-    """Number of documents and of those that hold each term, over all documents."""
+def document_frequencies(docs: DataFrame, text: str, words_at: str) -> DataFrame:
+    """``n``, the number of documents that hold each ``term`` (by number), over all documents; under -1 that of all."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read, sums, rows = reader(vocabulary.value), np.zeros(len(vocabulary.value), np.int64), 0
+        read, rows, sums = vocabulary_of(words_at), 0, np.zeros(_rows(words_at), np.int64)
         for pdf in batches:
             rows += len(pdf)
             for t in pdf["t"]:
@@ -261,16 +357,13 @@ def document_frequencies(docs: DataFrame, text: str, vocabulary: Broadcast) -> t
         held = np.flatnonzero(sums)
         yield pd.DataFrame({"term": [-1, *held], "n": [rows, *sums[held]]})
 
-    found = docs.select(F.col(text).alias("t")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(vocabulary.value) + 1)
-    df[found["term"].to_numpy(np.int64) + 1] = found["n"]
-    return int(df[0]), df[1:]
+    return docs.select(F.col(text).alias("t")).mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def vectors(rows: DataFrame, vocabulary: Broadcast) -> DataFrame:
+def vectors(rows: DataFrame, words_at: str) -> DataFrame:
     """Term numbers and counts of the examples, as bytes of 32-bit integers."""
     def vector(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = reader(vocabulary.value)
+        read = vocabulary_of(words_at)
         for pdf in batches:
             made = [[x.astype(np.int32).tobytes() for x in read(t)] for t in pdf["t"]]
             yield pd.DataFrame({"k": pdf["k"], "y": pdf["y"], "terms": [m[0] for m in made], "n": [m[1] for m in made]})
@@ -282,18 +375,17 @@ def vectors(rows: DataFrame, vocabulary: Broadcast) -> DataFrame:
 RESULT = "score double, evidence array<struct<example:string,cosine:double,label:int>>, terms array<string>"
 
 
-def toxicity(spark: SparkSession, text: str | Column, index: Index, neighbours: int = NEIGHBOURS, shown: int = 3) -> Column:
+def toxicity(spark: SparkSession, text: str | Column, index: Stored, neighbours: int = NEIGHBOURS, shown: int = 3) -> Column:
     """Struct of the calibrated score, the nearest examples and the terms of the text that tell the labels apart beyond doubt.
 
     All terms known from the examples count for the score. A text without any (null and empty ones too) gets the share of label 1 among the examples without
     any, and no evidence. Under an index without labels of both kinds every score is that of the prior.
     """
-    held = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf(RESULT)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ix = held.value
-        read, known = reader(ix.vocabulary), {}
+        ix = index.load()
+        read, known = kept("reader", index.path, lambda _: reader(ix.vocabulary)), {}
         for texts in batches:
             out = []
             for t in texts:

@@ -1,5 +1,6 @@
 """The operators against brute force and on awkward rows: nulls, empty texts and tables, repeated rows, clashing columns."""
 
+import pickle
 import re
 import sys
 from pathlib import Path
@@ -319,3 +320,16 @@ def test_toxicity_counts_rare_words(spark):
     new = spark.createDataFrame([(f"a text of number3 with vile{c} said",) for c in "abcdefghij"] + [("a text of kind3",)], "text string")
     got = [r.r for r in new.select(toxicity.toxicity(spark, "text", index).alias("r")).collect()]
     assert all(r.score >= 0.7 for r in got[:10]) and got[10].score < 0.3 and got[10].evidence
+
+
+def test_the_toxicity_index_stays_off_the_driver(spark):
+    """What the driver holds does not grow with the terms of the examples; a file of the shared folder does."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}{'x' * (k % 7)}" for k in range(200))) for i in range(60)], "doc_id long, text string")
+    index = toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("label")))
+    assert len(index.vocabulary) > 1000 and len(pickle.dumps(index)) < 10_000
+    assert index.load() is index.load()
+    kind, twin = index.load(), docs.filter("doc_id in (3, 29)")  # equal texts of both labels
+    assert kind.labels.tolist() == [float(int(i) % 3 == 0) for i in kind.ids]
+    assert twin.select(toxicity.toxicity(spark, "text", index).alias("r")).filter("size(r.evidence) = 3").count() == 2
+    blank = toxicity.learn(docs.withColumn("text", F.lit(None).cast("string")), docs.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("label")).filter("label < 2"))
+    assert {r.s for r in twin.select(toxicity.toxicity(spark, "text", blank)["score"].alias("s")).collect()} == {blank.empty}
