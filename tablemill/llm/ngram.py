@@ -158,12 +158,14 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
 
     32 hexadecimal digits tell different sets apart. ``own`` are the signatures in the set's own band, ``other`` those
     in the band below, as a partner of smaller sets; ``NARROW`` and ``WIDE`` are the parity maps for the two. Bands whose
-    linked sets are equal need no signatures. ``own_tags`` and ``other_tags`` hold one tag for each signature or for all.
+linked sets are equal need no signatures. ``own_tags`` and ``other_tags`` hold one tag for each signature or for all.
+    Of equal sets that one task meets only the first gets maps and signatures, and none under a null id.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bands = Bands(percent)
         nothing, untagged = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        seen: set[bytes] = set()
 
         def cut(tokens: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
             if not band.differ:
@@ -178,15 +180,18 @@ def sets(docs: DataFrame, key: str, text: str, words: int, percent: int) -> Data
                 own = other = (nothing, untagged)
                 maps = below_maps = (nothing, nothing)
                 number = -1
+                sign = hashlib.md5(tokens.tobytes())
                 if len(tokens):
                     band = bands.of(len(tokens))
                     number = band.number
+                if len(tokens) and not pd.isna(i) and sign.digest() not in seen:
+                    seen.add(sign.digest())
                     own, maps = cut(tokens, band), parities(tokens, band)
                     # the smallest partner decides whether the band below is needed
                     if number and bands.at(number - 1).high * 100 >= percent * len(tokens):
                         below = bands.at(number - 1)
                         other, below_maps = cut(tokens, below), parities(tokens, below)
-                rows.append((i, len(tokens), hashlib.md5(tokens.tobytes()).hexdigest(), number, maps[0], below_maps[0], maps[1], below_maps[1], *own, *other))
+                rows.append((i, len(tokens), sign.hexdigest(), number, maps[0], below_maps[0], maps[1], below_maps[1], *own, *other))
                 held += len(own[0]) + len(other[0])
                 if held > BATCH:
                     yield frame(rows)
@@ -276,13 +281,6 @@ def allocated(shared: DataFrame, several: DataFrame) -> DataFrame:
     return both.select(order).union(near.select(order)).withColumn("less", less(F.col("tag"))).drop("tag")
 
 
-def by_id(maps: DataFrame) -> DataFrame:
-    """``n``, ``band`` and parity maps of each id; the maps are null when several different texts bear the id."""
-    one = F.min("digest") == F.max("digest")
-    arrays = [F.when(one, F.any_value(c)).alias(c) for c in (*NARROW, *WIDE)]
-    return maps.groupBy("id").agg(F.min("n").alias("n"), F.min("band").alias("band"), *arrays)
-
-
 def fits(na: Column, nb: Column, ma: Column, mb: Column, percent: int) -> Column:
     """Whether sizes and the parity maps of one band leave room for a link; never false for a similar pair.
 
@@ -306,21 +304,21 @@ def plausible(pairs: DataFrame, found: DataFrame, percent: int, maps: tuple[str,
     return pairs.filter(fits(*(F.col(c) for c in ("n_a", "n_b", "m_a", "m_b")), percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by exact intersection."""
-    scratch = Scratch(docs.sparkSession)
-    use = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    use = scratch.settle(use, "use")
-    wanted = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(use.select("id"), "id", "left_semi")
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by exact intersection; ``texts`` has texts that may be of the set ``id``."""
+    scratch = Scratch(texts.sparkSession)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
-                yield pd.DataFrame({"id": part["id"], "s": [shingles(t, words).view(np.int64) for t in part["text"]]})
+                sets = [shingles(t, words) for t in part["text"]]
+                digests = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
+                yield pd.DataFrame({"id": part["id"], "digest": digests, "s": [s.view(np.int64) for s in sets]})
 
-    # an id that repeats has a row for each of its texts, and links when one of them does
-    found = scratch.settle(wanted.distinct().mapInPandas(build, "id long, s array<long>"), "sets")
+    built = texts.distinct().mapInPandas(build, "id long, digest string, s array<long>")
+    # the document that names a class may hold other texts too
+    found = scratch.settle(built.filter(F.col("id") == set_class()).select("id", "s"), "sets")
     left = pairs.groupBy("a").agg(F.count("*").alias("n"))
     ready = found.join(left.withColumnRenamed("a", "id"), "id").select(F.col("id").alias("a"), F.col("s").alias("sa"), "n")
     second = found.select(F.col("id").alias("b"), F.col("s").alias("sb"))
@@ -330,15 +328,21 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int,
     shared = F.size(F.array_intersect("sa", "sb"))
     links = both.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
     links = scratch.settle(links, "links")
-    scratch.drop(use, found)
+    scratch.drop(found)
     return links
 
 
+def set_class() -> Column:
+    """Number of the class of equal sets."""
+    return F.xxhash64("digest")
+
+
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """Sets of word shingles and the components of the graph of similar ones: id, n_shingles, component_id.
 
     Two documents link when 100 * |intersection| >= percent * |union|. One row for each distinct id.
-    * Equal sets form a class by digest and are never compared; a class is named by its smallest id.
+    * Equal sets form a class by digest and are never compared. Signatures, maps and pairs are those of classes, so
+      no table of sets is joined to find its copies; at the end a class is named by its smallest id.
     * A signature that two sets share makes them candidates. The rows of each signature are counted, and every set
       spends its units on the segments that cost least (``allocated``), so that a passage of many unlike documents
       makes no candidates where their own shingles suffice.
@@ -352,31 +356,37 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     scratch = Scratch(docs.sparkSession)
 
-    def checked(pairs: DataFrame, maps_of: DataFrame, *rounds: tuple[str, str]) -> DataFrame:
+    def checked(pairs: DataFrame, *rounds: tuple[str, str]) -> DataFrame:
+        ids = scratch.settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "use")
+        maps = scratch.settle(maps_of.join(ids, "id", "left_semi"), "few")
         likely = pairs
         for columns in rounds:
-            before, likely = likely, scratch.settle(plausible(likely, maps_of, percent, columns), "likely")
+            before, likely = likely, scratch.settle(plausible(likely, maps, percent, columns), "likely")
             if before is not pairs:
                 scratch.drop(before)
-        out = verified(likely, docs, key, text, words, percent)
-        scratch.drop(likely)
+        scratch.drop(ids, maps)
+        ids = scratch.settle(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "use")
+        bearers = scratch.settle(ids.join(classes, "id").select("id", F.col("class").alias("doc")), "bearers")
+        texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(bearers, "doc").select("id", "text")
+        out = verified(likely, texts, words, percent)
+        scratch.drop(likely, ids, bearers)
         return out
 
     signed = scratch.settle(sets(docs, key, text, words, percent), "sets")
-    maps = scratch.settle(signed.select("id", "n", "digest", "band", *NARROW, *WIDE), "maps")
-    meta = maps.select("id", "n", "digest")
+    meta = scratch.settle(signed.select("id", "n", set_class().alias("class")), "meta")
     sizes = meta.groupBy("id").agg(F.max("n").alias("n_shingles"))
-    classes = meta.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("n"))
-    classes = scratch.settle(classes.filter("n > 1"), "classes")
-    member = spread_join(meta.filter("n > 0 and id is not null").select("id", "digest"), classes, "digest", "n", ["id"]).filter("id <> class")
+    known = meta.filter("n > 0 and id is not null").select(F.col("id").alias("doc"), F.col("class").alias("id"))
+    classes = scratch.settle(known.groupBy("id").agg(F.min("doc").alias("class"), F.count("*").alias("n")), "classes")
+    member = spread_join(known, classes.filter("n > 1"), "id", "n", ["doc"]).filter("doc <> class").select("class", F.col("doc").alias("id"))
     member = scratch.settle(member.distinct(), "member")
 
-    single = signed.filter("n > 0 and id is not null").join(member.select("id", "digest"), ["id", "digest"], "left_anti")
+    single = signed.withColumn("id", set_class()).filter((F.size("own") > 0) | (F.size("other") > 0))
+    maps_of = scratch.settle(single.select("id", "n", "band", *NARROW, *WIDE).dropDuplicates(["id"]), "maps")
     total = meta.count()
     limit = max(HOT_ROWS, int(total * HOT_SHARE) + 1)
     # a signature of a large group is hot; a sample shows which, and its rows are spread over parts by id. The list
     # has at most (mean signatures of a document) / HOT_SHARE rows. Its counts stand for all rows of the signature.
-    few = index(signed.filter((F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0) & F.col("id").isNotNull()))
+    few = index(single.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).distinct()
     removed = less(F.col("tag"))
     hot = few.groupBy("sig").agg(F.count("*").alias("n"), F.sum(removed).alias("hot_short")).filter(F.col("n") * SAMPLE > limit)
     hot = hot.select("sig", F.ceil(F.col("n") * SAMPLE / limit).cast("int").alias("cuts"), *[(c * SAMPLE).alias(a) for c, a in ((F.col("n") - F.col("hot_short"), "hot_whole"), (F.col("hot_short"), "hot_short"))])
@@ -387,22 +397,23 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     for turn in range(ROUNDS):
         rows = index(single).filter(F.pmod("sig", F.lit(ROUNDS)) == turn).join(F.broadcast(hot.select("sig", "cuts")), "sig", "left")
         rows = rows.withColumn("part", F.when(F.col("cuts").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), "cuts")).cast("int")).drop("cuts")
+        # equal sets of several tasks meet here
+        rows = rows.repartition("sig", "part").dropDuplicates(["sig", "part", "id", "own", "tag"])
         counts = {"whole": F.count(F.when(removed == 0, 1)), "short": F.count(F.when(removed == 1, 1)), "lead": least_own}
         rows = rows.withColumns({name: count.over(every) for name, count in counts.items()})
         meets = F.when(removed == 1, F.col("whole") > 0).otherwise((F.col("whole") > 1) | (F.col("short") > 0))
         rows = rows.filter((meets & F.col("lead").isNotNull()) | (F.col("part") >= 0)).join(F.broadcast(hot.drop("cuts")), "sig", "left")
         counted = [F.coalesce(f"hot_{c}", c).alias(c) for c in ("whole", "short")]
         matched.append(scratch.settle(rows.select("sig", "id", "own", "tag", *counted, "lead", (F.col("part") >= 0).alias("parted")), "shared"))
-    several = meta.filter("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x < y")
-    shared = scratch.settle(allocated(functools.reduce(DataFrame.union, matched), several.select("id")), "allocated")
-    scratch.drop(signed, classes, hot, *matched)
+    # a class has one set, so none holds several
+    shared = scratch.settle(allocated(functools.reduce(DataFrame.union, matched), classes.filter("false").select("id")), "allocated")
+    scratch.drop(signed, hot, *matched)
     # the parts of a hot signature have a lead each; the list of hot signatures bounds this table
     leads = scratch.settle(shared.filter("parted").groupBy("sig").agg(least_own.alias("first")), "leads")
     first = shared.join(F.broadcast(leads), "sig", "left").withColumn("lead", F.when(F.col("parted"), F.col("first")).otherwise(F.col("lead")))
     first = first.filter("id <> lead and units > less").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     first = scratch.settle(first, "pairs")
-    maps_of = by_id(maps.filter("n > 0 and id is not null"))
-    links = checked(first, maps_of, NARROW, WIDE)
+    links = checked(first, NARROW, WIDE)
     scratch.drop(leads)
     joined = scratch.settle(components(links, "a", "b"), "joined")
 
@@ -420,9 +431,12 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     rest = scratch.settle(rest, "pairs")
     scratch.drop(placed, first, joined)
-    more = checked(rest, maps_of, WIDE)
-    scratch.drop(rest)
-    found = links.union(more).union(member.select(F.col("class").alias("a"), F.col("id").alias("b")))
+    more = checked(rest, WIDE)
+    scratch.drop(rest, maps_of)
+    found = links.union(more)
+    for side in ("a", "b"):
+        found = found.join(classes.select(F.col("id").alias(side), F.col("class").alias(f"name_{side}")), side)
+    found = found.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).union(member.select(F.col("class").alias("a"), F.col("id").alias("b")))
     final = components(found, "a", "b")
     out = sizes.join(final.withColumnRenamed("node", "id"), "id", "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

@@ -90,3 +90,15 @@ def test_a_passage_of_many_unlike_documents_makes_no_candidates(spark):
     assert kept.groupBy("sig").count().filter("count > 10").count() == 0
     got = {r.id: r.component_id for r in ngram.linked_components(docs).collect()}
     assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
+
+
+def test_equal_sets_of_a_task_are_signed_once(spark):
+    """Copies carry no signatures of their own, yet all are linked, under repeated and null ids too."""
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, text) for i in range(40, 0, -1)] + [(41, text + " end"), (41, "other words of one id " * 3), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    signed = ngram.sets(docs, "doc_id", "text", 4, 85)
+    assert signed.filter("id < 41 and size(own) > 0").count() == 1
+    assert signed.filter("n > 0").count() == 43 and signed.filter("id is null and size(own) > 0").count() == 0
+    got = {r.id: r.component_id for r in ngram.linked_components(docs).collect()}
+    assert got == {None: None, **{i: 1 for i in range(1, 42)}}
