@@ -26,7 +26,6 @@ from tablemill.skew import (
     running,
     same_rows,
     spread,
-    tie_ranks,
     top_rows,
 )
 
@@ -367,6 +366,10 @@ def weighted_total(df: DataFrame, weight: str, keep: Column | None = None) -> Da
     return df.agg(F.sum(weight).alias("total"), F.coalesce(F.sum(F.when(inside, F.col(weight))), F.lit(0.0)).alias("subset_total"))
 
 
+#: Ranks of so many values at most are broadcast.
+FEW_VALUES = 100_000
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson", min_filled: float = 0.5) -> DataFrame:
     """(a, b, correlation) over pairwise complete rows, for columns filled above a share.
 
@@ -390,14 +393,23 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pea
 
 
 def _ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add ``_rank_<column>``, the average rank of each value; values are counted and ranked once for all columns."""
+    """Add ``_rank_<column>``, the average rank of each value; values are counted and ranked once for all columns.
+
+    Rows go to the ranks of a column of many values; ranks of few values come to the rows, which would
+    otherwise meet in as few tasks as there are values.
+    """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns])
-    ranks = settle(tie_ranks(df.select(F.inline(cells)), ["column"], "value").select("column", "value", "n", "avg_rank"), "ranks")
-    hot = ranks.agg(F.max("n")).first()[0] or 0
+    counts = settle(df.select(F.inline(cells)).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "counts")
+    upto = running(counts, ["column"], ["value"], {"_upto": ("sum", F.col("n"))})
+    ranks = settle(upto.select("column", "value", (F.col("_upto") - F.col("n") + (F.col("n") + 1) / 2).alias("avg_rank")), "ranks")
+    sizes = {r["column"]: r for r in counts.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.max("n").alias("hot")).collect()}
     out = df
     for c in columns:
         mine = ranks.where(F.col("column") == c).select(F.col("value").alias(c), F.col("avg_rank").alias(f"_rank_{c}"))
-        out = (lookup if hot > rows_per_slice(df) else join_on_keys)(out, mine, [c])
+        if sizes[c]["values"] <= FEW_VALUES:
+            out = join_on_keys(out, F.broadcast(mine), [c])
+        else:
+            out = (lookup if sizes[c]["hot"] > rows_per_slice(df) else join_on_keys)(out, mine, [c])
     return out
 
 
@@ -416,7 +428,8 @@ def _correlations(df: DataFrame, centred: Mapping[str, Column], pairs: Sequence[
             known = np.array([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], dtype=np.float64)
             x = np.array([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
             for k, (left, right) in enumerate(((known, known), (x, known), (known, x), (x, x), (x * x, known), (known, x * x))):
-                sums[k] += left @ right.T
+                # a few columns take no time, but the matrix library would start its threads in every task
+                sums[k] += np.einsum("ir,jr->ij", left, right) if len(names) <= 16 else left @ right.T
         a, b = np.triu_indices(len(names), 1)
         yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), *[pa.array(s[a, b]) for s in sums]], [k.split()[0] for k in kinds.split(", ")])
 
@@ -442,7 +455,10 @@ def _pairwise_rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]])
         counts = weighted.groupBy("a", "b", side).agg(F.sum("w").alias("_n"))
         upto = running(counts, ["a", "b"], [side], {"_upto": ("sum", F.col("_n"))})
         rank = (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(f"r{side}")
-        weighted = same_rows(lookup(weighted, upto.select("a", "b", side, rank), ["a", "b", side]), weighted)
+        ranks = settle(upto.select("a", "b", side, rank), "ranks")
+        few = ranks.count() <= FEW_VALUES  # as above
+        found = join_on_keys(weighted, F.broadcast(ranks), ["a", "b", side]) if few else lookup(weighted, ranks, ["a", "b", side])
+        weighted = same_rows(found, weighted)
     w, x, y = F.col("w"), F.col("rx"), F.col("ry")
     sums = weighted.groupBy("a", "b").agg(
         F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),

@@ -137,3 +137,19 @@ def test_merge_refuses_tables_that_disagree(spark):
     assert "a_thin" not in got.columns and sorted(r["country"] for r in got.collect()) == [5, 6]
     with pytest.raises(ValueError, match="country"):
         merge(b.withColumn("country", F.col("country") + 1))
+
+
+def test_ranks_of_few_values_come_to_the_rows(spark):
+    """Rows are not dealt out by a column of few values, whatever Spark thinks of the size of its ranks."""
+    table = spark.range(500).selectExpr("CAST(id % 3 AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS b")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = aggregates._ranked(table, ["a", "b"])
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        rows = ranked.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    assert {(r["a"], r["_rank_a"]) for r in rows} == {(0.0, 84.0), (1.0, 251.0), (2.0, 417.5)}
+    assert all(r["_rank_b"] == r["b"] + 1 for r in rows) and len(rows) == 500
