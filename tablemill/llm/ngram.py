@@ -211,15 +211,12 @@ linked sets are equal need no signatures. ``own_tags`` and ``other_tags`` hold o
 def index(found: DataFrame) -> DataFrame:
     """(sig, id, own, tag): one row for each signature of ``sets``."""
 
-    def named(column: str) -> Column:
+    def listed(column: str) -> DataFrame:
         tags = F.col(f"{column}_tags")
+        rows = found.select("id", tags, F.posexplode(column).alias("i", "sig"))
+        return rows.select("sig", "id", F.lit(column == "own").alias("own"), F.get(tags, F.when(F.size(tags) == 1, 0).otherwise(F.col("i"))).alias("tag"))
 
-        def one(s: Column, i: Column) -> Column:
-            return F.struct(s.alias("sig"), F.lit(column == "own").alias("own"), F.get(tags, F.when(F.size(tags) == 1, 0).otherwise(i)).alias("tag"))
-
-        return F.transform(column, one)
-
-    return found.select("id", F.explode(F.concat(named("own"), named("other"))).alias("s")).select("s.sig", "id", "s.own", "s.tag")
+    return listed("own").union(listed("other"))
 
 
 def less(tag: Column) -> Column:
