@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from tablemill.llm.common import HOT_ROWS, HOT_SHARE, Scratch, components, spread_join
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 #: Bands whose pairs differ in at most so many shingles use one-deletion neighbourhoods: there, segments that must be
 #: equal would hold one or two shingles each and cost more pairs than the further signatures cost rows.
 DELETIONS = 9
@@ -29,31 +27,51 @@ NARROW, WIDE = ("bits", "lower"), ("wide", "wide_lower")
 BATCH = 200_000
 #: Signatures are matched in so many rounds, by hash: the shuffle of one round is gone before the next one's is written.
 ROUNDS = 3
+#: Most pairs of one class that are tried before all pairs of a signature are, and the most such trials.
+TRIED, TRIALS = 8, 6
+#: With so few pairs in a trial the groups left are small enough for all their pairs.
+FEW_PAIRS = 1000
+#: Trials end when fewer than one pair in so many links: then most pairs have to be compared anyway.
+POOR = 32
 #: One document in so many is looked at to find hot signatures.
 SAMPLE = 64
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factor between the words of a shingle; its powers are far apart in their low bits too.
+STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit numbers (splitmix64)."""
-    x = (x + MIX).astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x + MIX
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words; of all words when there are fewer."""
-    w = WORD.findall((text or "").translate(LOWER) if text and not text.isascii() else (text or "").lower())
+    # on bytes, lower() and split() know A-Z and \x20, \x09-\x0D only, as the words are defined
+    w = (text or "").encode().lower().split()
     if not w:
         return np.zeros(0, np.uint64)
     h = pd.util.hash_array(np.array(w, dtype=object), categorize=False)
     n = min(words, len(w))
     total = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
-        total = scramble(total ^ h[k : len(w) - n + 1 + k])
-    return np.unique(total)
+        total *= STEP
+        total += h[k : len(w) - n + 1 + k]
+    total = scramble(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
+
+
+def mixes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each shingle, which all bands share: one deals shingles to parts, the other is summed."""
+    return scramble(tokens), scramble(tokens ^ np.uint64(0x51ED270B0A1F39C1))
 
 
 @dataclass(frozen=True)
@@ -87,14 +105,15 @@ def band_of(size: int, percent: int) -> Band:
     return Band(number, low, high, differ, differ + 1 + spare, False, spare)
 
 
-def parities(tokens: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
+def parities(tokens: np.ndarray, band: Band, mixed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Whether each of the buckets of a band holds an odd number of the shingles, as longs: a narrow and a wide map.
 
     A shingle in one of two sets alone turns one bit, so their maps differ in no more bits than the sets in shingles.
     The wide map has the power of two next to the band's size; folded to ``LONGS`` longs it is the narrow one.
     """
     bits = 64 << max(0, math.ceil(band.high / 64) - 1).bit_length()
-    odd = np.bincount((scramble(tokens) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    mixed = mixed or mixes(tokens)
+    odd = np.bincount((mixed[0] & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1
     wide = np.packbits(odd.astype(np.uint8)).view(np.int64)
     return (np.bitwise_xor.reduce(wide.reshape(-1, LONGS)) if len(wide) > LONGS else wide), wide
 
@@ -111,13 +130,18 @@ class Bands:
         return self.all[number]
 
     def of(self, size: int) -> Band:
-        number = 0
-        while self.at(number).high < size:
-            number += 1
-        return self.all[number]
+        while not self.all or self.all[-1].high < size:
+            self.at(len(self.all))
+        return self.all[bisect.bisect_left(self.all, size, key=lambda band: band.high)]
 
 
-def segments(tokens: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=4096)
+def names(band: Band) -> np.ndarray:
+    """One hash for each segment of a band."""
+    return scramble(np.uint64(band.number << 32) + np.arange(band.segments, dtype=np.uint64))
+
+
+def segments(tokens: np.ndarray, band: Band, mixed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the segments of a set in a band and their tags; the universe is cut into ``segments`` parts by hash.
 
     A linked pair differs in at most ``differ`` shingles. A unit spent on a segment finds pairs that agree in it, two
@@ -130,22 +154,18 @@ def segments(tokens: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
     """
     if not len(tokens):
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    mixed = scramble(tokens)
-    part = (mixed % np.uint64(band.segments)).astype(np.int64)
+    dealt, value = mixed or mixes(tokens)
+    part = (dealt % np.uint64(band.segments)).view(np.int64)
     size = np.bincount(part, minlength=band.segments)
-    value = scramble(tokens ^ np.uint64(0x51ED270B0A1F39C1))
-    order = np.argsort(part, kind="stable")
-    ends = np.cumsum(size)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
-    sums = sums[ends] - sums[ends - size]
-    name = np.uint64(band.number << 32) + np.arange(band.segments, dtype=np.uint64)
-    whole = scramble(sums) ^ scramble(name)
+    sums = np.zeros(band.segments, np.uint64)
+    np.add.at(sums, part, value)
+    whole = scramble(sums) ^ names(band)
     if band.deletions:
-        less = scramble(sums[part] - value) ^ scramble(name[part])
+        less = scramble(sums[part] - value) ^ names(band)[part]
         tags = np.concatenate([np.arange(band.segments) << 3, (part << 3) | 4])
         return np.concatenate([whole, less]), (-1 - (tags | band.spare)).astype(np.int32)
     empty = np.flatnonzero(size == 0)[: band.spare]
-    return np.delete(whole, empty), np.array([band.spare - len(empty)], np.int32)
+    return whole if not len(empty) else np.delete(whole, empty), np.array([band.spare - len(empty)], np.int32)
 
 
 def signatures(tokens: np.ndarray, band: Band) -> np.ndarray:
@@ -167,10 +187,10 @@ linked sets are equal need no signatures. ``own_tags`` and ``other_tags`` hold o
         nothing, untagged = np.zeros(0, np.int64), np.zeros(0, np.int32)
         seen: set[bytes] = set()
 
-        def cut(tokens: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
+        def cut(tokens: np.ndarray, band: Band, mixed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             if not band.differ:
                 return nothing, untagged
-            signs, tags = segments(tokens, band)
+            signs, tags = segments(tokens, band, mixed)
             return signs.view(np.int64), tags
 
         for pdf in batches:
@@ -186,11 +206,12 @@ linked sets are equal need no signatures. ``own_tags`` and ``other_tags`` hold o
                     number = band.number
                 if len(tokens) and not pd.isna(i) and sign.digest() not in seen:
                     seen.add(sign.digest())
-                    own, maps = cut(tokens, band), parities(tokens, band)
+                    mixed = mixes(tokens)
+                    own, maps = cut(tokens, band, mixed), parities(tokens, band, mixed)
                     # the smallest partner decides whether the band below is needed
                     if number and bands.at(number - 1).high * 100 >= percent * len(tokens):
                         below = bands.at(number - 1)
-                        other, below_maps = cut(tokens, below), parities(tokens, below)
+                        other, below_maps = cut(tokens, below, mixed), parities(tokens, below, mixed)
                 rows.append((i, len(tokens), sign.hexdigest(), number, maps[0], below_maps[0], maps[1], below_maps[1], *own, *other))
                 held += len(own[0]) + len(other[0])
                 if held > BATCH:
@@ -301,6 +322,23 @@ def plausible(pairs: DataFrame, found: DataFrame, percent: int, maps: tuple[str,
     return pairs.filter(fits(*(F.col(c) for c in ("n_a", "n_b", "m_a", "m_b")), percent)).select("a", "b")
 
 
+def neighbours(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) for a trial: of the ``rows`` of a signature those next to each other by some bits of their maps.
+
+    Sets that differ in few shingles come together where none of these bits differs; every turn looks at others. No more than ``TRIED`` for each a. What the signature leaves out does not matter for a trial. Frequent signatures are cut at random into parts of about ``HOT_ROWS`` rows.
+    """
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("rows") / HOT_ROWS)))
+    some_bits = F.transform("m", lambda x, i: x.bitwiseAND(F.xxhash64(F.lit(turn), i)).bitwiseAND(F.xxhash64(i, F.lit(turn))))
+    beside = Window.partitionBy("sig", "part").orderBy(some_bits, F.xxhash64("comp", F.lit(turn)), "id")
+    columns = ["id", "own", "comp", "n", "m"]
+    ahead = F.lead(F.struct(*columns)).over(beside).alias("y")
+    pairs = rows.select(*columns, ahead).filter("y.comp <> comp and (own or y.own)")
+    pairs = pairs.filter(fits(*(F.col(c) for c in ("n", "y.n", "m", "y.m")), percent))
+    pairs = pairs.select(F.least("id", "y.id").alias("a"), F.greatest("id", "y.id").alias("b")).distinct()
+    some = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)), "b")
+    return pairs.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= TRIED).drop("rank")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by exact intersection; ``texts`` has texts that may be of the set ``id``."""
     scratch = Scratch(texts.sparkSession)
@@ -345,6 +383,8 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
       makes no candidates where their own shingles suffice.
     * First only the smallest class of each signature is compared with the others of it, which joins nearly all
       members of a group of copies in one step.
+    * While many classes of a signature are in different components, each is tried with a few of the others, so that
+      a large group of near copies joins by a few pairs for each member (``neighbours``), not by all pairs.
     * Then every pair of classes of a signature whose components still differ is compared: whatever was not
       joined yet is, so no link between components is missed. Signatures whose classes all joined drop out.
     Frequent signatures are cut into salted parts before their smallest class is found, and joined in blocks.
@@ -412,25 +452,46 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = scratch.settle(first, "pairs")
     links = checked(first, NARROW, WIDE)
     scratch.drop(leads)
-    joined = scratch.settle(components(links, "a", "b"), "joined")
 
-    placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    open_ = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("sig")
-    placed = scratch.settle(placed.join(open_, "sig", "left_semi").select("sig", "id", "own", "comp", "units", "less"), "open")
+    def still_open(links: DataFrame, rows: DataFrame) -> DataFrame:
+        """``rows`` with their components under the links so far, of signatures that several components bear."""
+        joined = scratch.settle(components(links, "a", "b"), "joined")
+        placed = rows.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        borne = placed.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("rows")).filter("x < y")
+        placed = scratch.settle(placed.join(borne.drop("x", "y"), "sig"), "open")
+        scratch.drop(joined)
+        return placed
+
+    placed = still_open(links, shared.select("sig", "id", "own", "units", "less"))
     scratch.drop(shared)
     # a signature stands for one band, so its rows carry the maps of that band and pairs are ruled out where they meet
     seen = F.when(F.col("own"), F.col("bits")).otherwise(F.col("lower")).alias("m")
+    tried, found_links = [first], [links]
+    for turn in range(TRIALS):
+        carried = placed.join(maps_of, "id").select("sig", "id", "own", "comp", "rows", "n", seen)
+        some = neighbours(carried, turn, percent).join(functools.reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
+        some = scratch.settle(some, "pairs")
+        size = some.count()
+        if size <= FEW_PAIRS:
+            scratch.drop(some)
+            break
+        tried.append(some)
+        found_links.append(checked(some, WIDE))
+        before, placed = placed, still_open(functools.reduce(DataFrame.union, found_links), placed.drop("comp", "rows"))
+        scratch.drop(before)
+        if POOR * found_links[-1].count() < size:
+            break
     mapped = placed.join(maps_of, "id").select("sig", "id", "own", "comp", "units", "less", "n", seen)
     one, two = mapped.filter("units > less").alias("p"), mapped.alias("q")
     found_by = (F.col("p.less") + F.col("q.less") <= 1) & (F.col("p.units") > F.col("p.less") + F.col("q.less"))
     rest = one.join(two, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.own") | F.col("q.own")) & found_by)
     rest = rest.filter(fits(*(F.col(c) for c in ("p.n", "q.n", "p.m", "q.m")), percent))
-    rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct().join(functools.reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
     rest = scratch.settle(rest, "pairs")
-    scratch.drop(placed, first, joined)
+    scratch.drop(placed, *tried)
     more = checked(rest, WIDE)
     scratch.drop(rest, maps_of)
-    found = links.union(more)
+    found = functools.reduce(DataFrame.union, [*found_links, more])
     for side in ("a", "b"):
         found = found.join(classes.select(F.col("id").alias(side), F.col("class").alias(f"name_{side}")), side)
     found = found.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).union(member.select(F.col("class").alias("a"), F.col("id").alias("b")))
