@@ -35,7 +35,9 @@ NEIGHBOURS = 25
 #: Cosines that differ by less than this are compared in double precision before one is passed over.
 SLACK = 1e-5
 #: Postings read in about the time that the whole cosine of one example takes.
-WORTH = 2500
+WORTH = 2000
+#: Terms are read in tiers of so many and the rest, by the length they have in all examples together.
+TIERS = (2048, 8192, 32768)
 #: Lengths of word beginnings that are terms besides whole words.
 BEGINNINGS = (4, 5, 6)
 
@@ -66,7 +68,8 @@ class Index:
     at: np.ndarray  # postings: positions of examples, term after term
     weight: np.ndarray  # postings: weights in single precision
     cuts: np.ndarray  # terms x 2: where a term's postings begin and end
-    tops: np.ndarray  # largest weight of each term
+    tier: np.ndarray  # tier of each term
+    tails: np.ndarray  # tiers x examples: length of what a vector has behind a tier
     term: np.ndarray  # vectors: term numbers, example after example
     exact: np.ndarray  # vectors: weights in double precision
     edges: np.ndarray  # where the vector of an example begins, and the end of the last
@@ -78,43 +81,57 @@ class Index:
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the ``k`` nearest examples; ties go to the earlier one.
 
-        Terms are read by falling bound of what they can add. Once the rest can lift only few examples to the
-        k-th cosine so far, the whole cosines of these are taken; no other example can be among the nearest.
+        Terms are read tier by tier. What the tiers behind add to a cosine is no more than the product of the lengths
+        that query and example have there. Once that can lift only few examples to the k-th cosine so far, the whole
+        cosines of these are taken, the foremost first; no other example can be among the nearest.
         """
         examples = len(self.labels)
         if not examples or not len(term):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weight * self.tops[term]
-        order = np.argsort(-bound, kind="stable")
+        tier = self.tier[term]
+        order = np.argsort(tier, kind="stable")
+        ends = np.searchsorted(tier[order], np.arange(len(self.tails)), "right").tolist()
         cuts = self.cuts[term[order]]
-        left = np.cumsum((cuts[:, 1] - cuts[:, 0])[::-1])[::-1]
-        rest = np.cumsum(bound[order][::-1])[::-1]
-        found, done, n = np.zeros(examples), 0, len(term)
+        read = np.concatenate([[0], np.cumsum(cuts[:, 1] - cuts[:, 0])])
+        length = np.sqrt(np.append(np.cumsum(np.square(weight[order])[::-1])[::-1], 0.0))
+        found, done = np.zeros(examples), 0
         if leave >= 0:
             found[leave] = -9.0
-        while done < n:
-            look = min(max(8, 2 * done), n)
-            lists = cuts[done:look].tolist()
-            held = np.concatenate([self.weight[a:z] * w for (a, z), w in zip(lists, weight[order[done:look]].astype(np.float32))])
-            found += np.bincount(np.concatenate([self.at[a:z] for a, z in lists]), held, examples)
-            done = look
+        for look, tails in zip(ends, self.tails):
+            if look > done:
+                lists = cuts[done:look].tolist()
+                held = np.concatenate([self.weight[a:z] * w for (a, z), w in zip(lists, weight[order[done:look]].astype(np.float32))])
+                found += np.bincount(np.concatenate([self.at[a:z] for a, z in lists]), held, examples)
+                done = look
+            elif done:
+                continue
             worst = np.partition(found, -k)[-k] if examples >= k else -1.0
-            near = np.flatnonzero(found >= worst - (rest[done] if done < n else 0.0) - SLACK)
-            if done < n and len(near) * WORTH <= left[done]:
+            most = found + (length[done] * tails + SLACK)
+            near = np.flatnonzero(most >= worst)
+            if len(near) * WORTH <= read[-1] - read[done]:
                 break
-        else:
+        if done == len(term):
             near = near[found[near] > 0]
         near = near[near != leave]
         if self.room is None:
             self.room = np.zeros(len(self.vocabulary))
         query = self.room
         query[term] = weight
-        cos = np.array([query.take(self.term[a:z]) @ self.exact[a:z] for a, z in zip(self.edges[near].tolist(), self.edges[near + 1].tolist())])
+        cos = np.full(len(near), -1.0)
+        foremost = np.argpartition(-found[near], k - 1) if len(near) > k else np.arange(len(near))
+        self.cosines(query, near, foremost[:k], cos)
+        if len(near) > k:
+            self.cosines(query, near, foremost[k:][most[near[foremost[k:]]] >= cos[foremost[:k]].min()], cos)
         query[term] = 0.0
         first = np.argsort(-cos, kind="stable")[:k]
         first = first[cos[first] > 0]
         return near[first], cos[first]
 
+    def cosines(self, query: np.ndarray, near: np.ndarray, places: np.ndarray, out: np.ndarray) -> None:
+        """Put the cosines of the examples ``near[places]`` with a query, spread over all terms, into ``out[places]``."""
+        for place, a, z in zip(places.tolist(), self.edges[near[places]].tolist(), self.edges[near[places] + 1].tolist()):
+            out[place] = query.take(self.term[a:z]) @ self.exact[a:z]
+
     def vote(self, cos: np.ndarray, at: np.ndarray) -> float:
         """Share of label 1 among the neighbours, nearer ones counting more; the prior counts as one distant neighbour."""
         w = 1.0 / (1.05 - np.minimum(cos, 1.0))
@@ -138,25 +155,28 @@ def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def reader(vocabulary: list[str]):
-    """Function from a text to the numbers of its terms, in order, and how often each occurs."""
+    """Function from a text to the numbers of its terms, in order, and how often each occurs.
+
+    When not ``counted``, the numbers come in any order and some repeat, without how often.
+    """
     number = {t: i for i, t in enumerate(vocabulary)}
     known: dict[str, np.ndarray] = {}
 
-    def read(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found: list[np.ndarray] = []
-        times: list[int] = []
-        for w, n in Counter(WORD.findall((text or "").lower())).items():
-            own = known.get(w)
-            if own is None:
-                if len(known) >= 200_000:
-                    known.clear()
-                own = known[w] = np.array([number[t] for t in parts(w) if t in number], np.int64)
-            found.append(own)
-            times.append(n)
+    def read(text: str | None, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        found = Counter(WORD.findall((text or "").lower()))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        term, place = np.unique(np.concatenate(found), return_inverse=True)
-        return term, np.bincount(place, np.repeat(times, [len(own) for own in found]), len(term))
+        if len(known) >= 200_000:
+            known.clear()
+        for w in (w for w in found if w not in known):
+            known[w] = np.array([number[t] for t in parts(w) if t in number], np.int64)
+        own = [known[w] for w in found]
+        every = np.concatenate(own)
+        if not counted:
+            return every, np.zeros(0)
+        term, place = np.unique(every, return_inverse=True)
+        times = np.fromiter(found.values(), float, len(found))
+        return term, np.bincount(place, np.repeat(times, np.fromiter(map(len, own), np.int64, len(own))), len(term))
 
     return read
 
@@ -315,20 +335,33 @@ def assemble(words_at: str | None, counts_at: list[str], vectors_at: list[str],
     exact *= idf[term]
     if len(ids):
         exact /= np.repeat(np.sqrt(np.add.reduceat(exact * exact, edges[:-1])), np.diff(edges))
+    tier, tails = tiers(term, exact, edges, len(vocabulary))
     order = np.argsort(term, kind="stable").astype(np.int32 if len(term) < 1 << 31 else np.int64)
     at = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(edges))[order]
     weight = exact[order].astype(np.float32)
     ends = np.searchsorted(term[order], np.arange(len(vocabulary)), "right")
     begins = np.concatenate([np.zeros(min(1, len(ends)), np.int64), ends[:-1]])
-    tops = np.zeros(len(vocabulary))
-    np.maximum.at(tops, term, exact)
     prior = (n1 + 0.5) / (n0 + n1 + 1.0) if n0 + n1 else 0.0
     return Index(
-        vocabulary, idf, trust >= 1.0, labels, ids, at, weight, np.stack([begins, ends], 1), tops, term, exact, edges,
+        vocabulary, idf, trust >= 1.0, labels, ids, at, weight, np.stack([begins, ends], 1), tier, tails, term, exact, edges,
         (none.sum() + prior) / (len(none) + 1.0) if n0 + n1 else 0.0, prior,
     )
 
 
+def tiers(term: np.ndarray, exact: np.ndarray, edges: np.ndarray, terms_held: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tier of each term, and how long each vector is behind each tier."""
+    tier = np.full(terms_held, len(TIERS), np.int8)
+    by_length = np.argsort(-np.bincount(term, np.square(exact), terms_held), kind="stable")
+    for number, size in reversed(list(enumerate(TIERS))):
+        tier[by_length[:size]] = number
+    tails = np.zeros((len(TIERS) + 1, len(edges) - 1))
+    for number in range(len(TIERS) if len(term) else 0):
+        held = np.square(exact)
+        held[tier[term] <= number] = 0.0
+        tails[number] = np.sqrt(np.add.reduceat(held, edges[:-1]))
+    return tier, tails
+
+
 def judged(spark: SparkSession, index: Stored, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Vote and label of every example that has terms, each judged by the others."""
 
@@ -353,7 +386,7 @@ def document_frequencies(docs: DataFrame, text: str, words_at: str) -> DataFrame
         for pdf in batches:
             rows += len(pdf)
             for t in pdf["t"]:
-                sums[read(t)[0]] += 1
+                sums[read(t, counted=False)[0]] += 1  # a repeated number adds one, too
         held = np.flatnonzero(sums)
         yield pd.DataFrame({"term": [-1, *held], "n": [rows, *sums[held]]})
 
